@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing, token_store
+from . import decontam, langid, neardup, packing, token_store
 from .common import read
 
 
@@ -15,6 +16,17 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_shards(manifest, folder)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(langid.sample(docs)))
+    held = F.coalesce(langid.remainder() == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -26,6 +38,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_store": op2_token_store,
+        "op3_decontamination": op3_decontamination,
+        "op4_language_id": op4_language_id,
         "op7_packing": op7_packing,
         "op8_near_duplicates": op8_near_duplicates,
     }
