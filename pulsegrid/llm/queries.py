@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, token_store
-from .common import read
+from . import decontam, html_extract, langid, neardup, packing, token_store, warc_zip
+from .common import new_folder, read
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    return warc_zip.read_archives(warc_zip.write_archives(read(spark, sf_dir, "pages"), folder), folder)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -37,9 +46,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_token_store": op2_token_store,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op5_warc": op5_warc,
         "op7_packing": op7_packing,
         "op8_near_duplicates": op8_near_duplicates,
     }
