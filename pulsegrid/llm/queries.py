@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, neardup, packing, token_store, warc_zip
+from . import decontam, html_extract, langid, neardup, packing, quality, token_store, warc_zip
 from .common import new_folder, read
 
 
@@ -36,6 +36,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(warc_zip.write_archives(read(spark, sf_dir, "pages"), folder), folder)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
+        "op6_quality": op6_quality,
         "op7_packing": op7_packing,
         "op8_near_duplicates": op8_near_duplicates,
     }
