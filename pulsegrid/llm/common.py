@@ -86,3 +86,22 @@ def map_batches(
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list, object], list[bool]], shared: object) -> DataFrame:
+    """Rows whose ``text`` a function of texts keeps; ``shared`` is sent once, of bounded size.
+
+    Every column passes through unchanged, so no join brings them back.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            step = max(1, int(batch.num_rows * SLICE_CHARS / max(1, texts.nbytes)))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist(), sent.value), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

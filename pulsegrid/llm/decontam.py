@@ -11,6 +11,7 @@ documents pass once for each, carrying what the blocks before found.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import keep_rows, map_batches
 
 #: A-Z become a-z, digits and bytes of other letters stay, all else parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -127,14 +128,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int
     columns of either table are ignored.
     """
     spark = docs.sparkSession
-    n = blocks(benchmark, block_chars)
-    source = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     empty = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items")]
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *empty)
-    for i in range(n):
-        part = source.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else source
-        windows = spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in part.collect()], size))  # about block_chars
-        last = i == n - 1 and not keep_text
+    tables = list(block_windows(benchmark, size, block_chars))
+    for i, table in enumerate(tables):
+        windows = spark.sparkContext.broadcast(table)
+        last = i == len(tables) - 1 and not keep_text
 
         def run(rows, w, last=last):
             sizes, spans, items = w.scan(rows["text"])
@@ -150,6 +149,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int
     return out
 
 
+def block_windows(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[Windows]:
+    """The hash sets of the benchmark's blocks, one after another, each of bounded size."""
+    n = blocks(benchmark, block_chars)
+    source = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    for i in range(n):
+        part = source.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else source
+        yield Windows([(r[0], r[1]) for r in part.collect()], size)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns."""
+    for windows in block_windows(benchmark, size, block_chars):
+        docs = keep_rows(docs, lambda texts, w: [not s for s in w.scan(texts)[1]], windows)
+    return docs
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts and the digest of the items for each scanned row."""
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -191,4 +206,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataF
     return out
 
 
-__all__ = ["TABLE", "Windows", "blocks", "cut_spans", "digest", "merged", "remove_spans", "scan", "words"]
+__all__ = ["TABLE", "Windows", "block_windows", "blocks", "cut_spans", "digest", "keep_clean", "merged", "remove_spans", "scan", "words"]

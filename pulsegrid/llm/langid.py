@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import keep_rows, map_batches
 
 SIZES = (2, 3, 4)
 PIECE = 1 << 20
@@ -210,3 +210,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return {"doc_id": rows["doc_id"], "lang_pred": lang, "score": score, "rejected": out}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PREDICTED, setup=lambda: shared.value)
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    return keep_rows(docs, lambda rows, m: [not x for x in m.predict(rows)[2]], model)

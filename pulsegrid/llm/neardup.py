@@ -112,10 +112,10 @@ class Sketcher:
             if hi - lo >= self.width:
                 out.append(np.unique(grams[lo : hi - self.width + 1]))
             elif hi > lo:
-                x = np.uint64(hi - lo)
-                for v in h[lo:hi].tolist():
-                    x = mix(np.array([x * np.uint64(31) + np.uint64(v)], "u8"))[0]
-                out.append(np.array([x], "u8"))
+                x = np.full(1, hi - lo, "u8")
+                for i in range(lo, hi):
+                    x = mix(x * np.uint64(31) + h[i : i + 1])
+                out.append(x)
             else:
                 out.append(h[:0])
         return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, neardup, packing, quality, token_store, warc_zip
+from . import chat, decontam, html_extract, langid, neardup, packing, quality, secrets, token_store, warc_zip
 from .common import new_folder, read
 
 
@@ -48,6 +48,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.alternatives(read(spark, sf_dir, "conversations")))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -58,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_packing": op7_packing,
         "op8_near_duplicates": op8_near_duplicates,
+        "op9_preferences": op9_preferences,
+        "op10_secrets": op10_secrets,
     }
 
 
