@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, langid, neardup, packing, quality, secrets, token_store, warc_zip
+from . import chat, decontam, html_extract, langid, neardup, oracles, packing, quality, secrets, token_store, warc_zip
 from .common import new_folder, read
 
 
@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontamination": oracles.OP3,
+        "op5_warc": oracles.OP5,
+        "op6_quality": oracles.OP6,
+        "op9_preferences": oracles.OP9,
+    }
