@@ -23,7 +23,7 @@ BYTE_LEVEL = re.compile(f" ?{WORD}{END}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[
 #: Blocks of BPE that drops white space.
 WORD_LEVEL = re.compile(f"{WORD}{END}|[^ \\n\\t\\r]+")
 #: Distinct blocks that a worker remembers before it starts anew.
-CACHE_BLOCKS = 1_000_000
+CACHE_BLOCKS = 1_600_000
 #: New words that are encoded as one text.
 TOGETHER = 2048
 
@@ -42,6 +42,8 @@ class Encoder:
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        if hasattr(t.model, "_resize_cache"):
+            t.model._resize_cache(0)  # each word comes once; the library's own cache only costs
         self.blocks = (BYTE_LEVEL if byte_level else WORD_LEVEL).findall
         self.plain = re.compile(f" ?{WORD}").fullmatch
         self.cache: dict[str, bytes] = {}
@@ -79,13 +81,21 @@ class Encoder:
         cut = [self.blocks(t) if t else [] for t in texts]
         if len(self.cache) > self.cache_blocks:
             self.cache.clear()
-        found = [list(map(self.cache.get, c)) for c in cut]
-        short = [i for i, f in enumerate(found) if None in f]
+        out: list = []
+        short = []
+        get = self.cache.get
+        for i, c in enumerate(cut):
+            try:
+                out.append(b"".join(map(get, c)))
+            except TypeError:  # a block that is not known yet
+                out.append(None)
+                short.append(i)
         if short:
-            self._learn(list({b for i in short for b, x in zip(cut[i], found[i], strict=True) if x is None}))
+            cache = self.cache
+            self._learn(list({b for i in short for b in cut[i] if b not in cache}))
             for i in short:
-                found[i] = map(self.cache.__getitem__, cut[i])
-        return [b"".join(f) for f in found]
+                out[i] = b"".join(map(cache.__getitem__, cut[i]))
+        return out
 
 
 @lru_cache(maxsize=4)
