@@ -244,13 +244,14 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 cols = [[row["part"]] * len(docs), docs, starts + row["before"], sizes, crc]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, cols, strict=True)))
 
+    tasks = max(1, -(-manifest.count() // 4))  # a few files each, whatever their sizes
     sums = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     from pyspark.sql import Window
 
     base = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     # one row for each writing task, a few bytes each: their number is that of the shuffle's partitions
     return (
-        manifest.repartition(F.col("path"))
+        manifest.repartition(tasks, F.col("path"))
         .mapInArrow(run, DOCS)
         .join(F.broadcast(base), "part")
         .select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
