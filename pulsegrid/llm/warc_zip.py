@@ -287,4 +287,5 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                         rows.append((entry["page_id"], entry["url"], int(http["content-length"]), sha, warc["warc-type"], int(refers[10:-1]) if refers else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, RECORDS)
+    tasks = max(1, manifest.count())  # one archive each; they have a like size
+    return manifest.select("path").repartition(tasks, F.col("path")).mapInArrow(run, RECORDS)
