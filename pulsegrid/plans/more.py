@@ -1 +1,227 @@
+"""Queries of ground, trees, voxels, graphs, polygons and fits."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import fit, graph, ground, pulses, raster, trees, voxels
+from ..operators.polygons import polygon_join
+from .catalog import BOX, CHM, query
+from .views import centres, shots
+from .views import points as point_view
+
+# --- ground -----------------------------------------------------------------
+
+
+def pmf_sql(size: float, windows: list[tuple[int, float]], last: float) -> str:
+    parts = [f"s0 AS (SELECT CAST(floor(y / {size}) AS BIGINT) AS row, CAST(floor(x / {size}) AS BIGINT) AS col, min(z) AS value FROM p GROUP BY 1, 2)"]
+    for i, (w, limit) in enumerate(windows):
+        parts.append(BOX.format(n=f"lo{i}", f="min", t=f"s{i}", w=w))
+        parts.append(BOX.format(n=f"hi{i}", f="max", t=f"lo{i}", w=w))
+        parts.append(f"s{i + 1} AS (SELECT row, col, CASE WHEN s.value - h.value > {limit}::DOUBLE THEN h.value ELSE s.value END AS value FROM s{i} s JOIN hi{i} h USING (row, col))")
+    n = len(windows)
+    return f"WITH {', '.join(parts)} SELECT pid, coalesce(z - s.value <= {last}::DOUBLE, false) AS ground FROM p LEFT JOIN s{n} s ON s.row = floor(p.y / {size}) AND s.col = floor(p.x / {size})"
+
+
+@query(pmf_sql(4.0, [(1, 1.35), (2, 2.0)], 0.15 + 0.3 * 4.0))
+def progressive_morphology(spark, d):
+    return ground.progressive_morphology(point_view(spark, d), size=4.0, max_window=20.0).select("pid", "ground")
+
+
+@query()
+def cloth_simulation(spark, d):
+    return ground.cloth_simulation(point_view(spark, d), size=2.0, tile=40.0, buffer=10.0).select("pid", "ground")
+
+
+@query()
+def terrain(spark, d):
+    return ground.terrain(point_view(spark, d).filter("classification = 2"), 1.0)
+
+
+# --- trees ------------------------------------------------------------------
+
+
+@query(
+    f"""WITH r AS ({CHM}), t AS (SELECT a.row, a.col, a.value FROM r a WHERE a.value >= 20 AND NOT EXISTS (SELECT 1 FROM r b WHERE (b.row - a.row) * (b.row - a.row) * 4.0 + (b.col - a.col) * (b.col - a.col) * 4.0 <= 16.0
+    AND (b.row <> a.row OR b.col <> a.col) AND (b.value > a.value OR b.value = a.value AND (b.col < a.col OR b.col = a.col AND b.row < a.row)) AND b.value >= 20))
+    SELECT row_number() OVER (ORDER BY col, row) - 1 AS tree_id, row, col, (col + 0.5::DOUBLE) * 2 AS x, (row + 0.5::DOUBLE) * 2 AS y, value AS height FROM t""",
+    "x y height",
+)
+def tree_tops(spark, d):
+    return trees.tree_tops(raster.rasterize(point_view(spark, d), 2.0, reduce="max"), 2.0, 8.0, 20.0)
+
+
+def crowns(spark, d, method):
+    canopy = raster.rasterize(point_view(spark, d), 2.0, reduce="max")
+    tops = trees.tree_tops(canopy, 2.0, 8.0, 20.0)
+    return trees.crowns(canopy, tops, 2.0, method, least=10.0, widest=20.0, tile=50.0, buffer=20.0)
+
+
+@query()
+def watershed_crowns(spark, d):
+    return crowns(spark, d, "watershed")
+
+
+@query()
+def grown_crowns(spark, d):
+    return crowns(spark, d, "grow")
+
+
+@query()
+def crown_metrics(spark, d):
+    return trees.crown_metrics(point_view(spark, d))
+
+
+@query(
+    """WITH m AS (SELECT tree_id, avg(x) AS mx, avg(y) AS my FROM p GROUP BY 1), q AS (SELECT tree_id, mx, my, x - mx AS u, y - my AS v FROM p JOIN m USING (tree_id)),
+    s AS (SELECT tree_id, mx, my, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM q GROUP BY 1, 2, 3),
+    c AS (SELECT *, ((uuu + uvv) / 2 * vv - (vvv + vuu) / 2 * uv) / (uu * vv - uv * uv) AS cu, ((vvv + vuu) / 2 * uu - (uuu + uvv) / 2 * uv) / (uu * vv - uv * uv) AS cv FROM s)
+    SELECT tree_id, n, mx + cu AS x, my + cv AS y, sqrt(cu * cu + cv * cv + (uu + vv) / n) AS radius FROM c""",
+    "x y radius",
+)
+def circle_fit(spark, d):
+    return trees.circle_fit(point_view(spark, d), "tree_id")
+
+
+# --- voxels -----------------------------------------------------------------
+
+
+def rays(spark, d, upright: bool):
+    """Pulses from above; upright ones go straight down, the others by their angles."""
+    s = shots(spark, d)
+    angles = pulses.direction(F.lit(0.0) if upright else F.col("zenith") / 3.0, F.col("azimuth"))
+    s = s.withColumns(angles).withColumn("dz", -F.col("dz"))
+    ranges = F.sort_array(F.transform("echoes", lambda e: F.lit(40.25) - e["height"]))
+    return s.select("ox", "oy", F.lit(40.25).alias("oz"), "dx", "dy", "dz", F.lit(40.0).alias("reach"), ranges.alias("ranges"))
+
+
+@query(
+    """WITH r AS (SELECT shot_id, CAST(floor(ox / 2) AS BIGINT) AS ix, CAST(floor(oy / 2) AS BIGINT) AS iy, list_sort(list_transform(echoes, lambda e: 40.25::DOUBLE - e.height)) AS g FROM shots),
+    f AS (SELECT *, CASE WHEN len(g) > 0 THEN g[len(g)] ELSE 40.0::DOUBLE END AS far, CASE WHEN len(g) > 0 THEN g[1] END AS near FROM r),
+    v AS (SELECT ix, iy, iz, far, near, greatest(40.25::DOUBLE - (iz + 1) * 2, 0) AS enter, least(40.25::DOUBLE - iz * 2, far) AS leave FROM f, (SELECT unnest(generate_series(0, 20)) AS iz)),
+    w AS (SELECT ix, iy, iz, count(*)::DOUBLE AS rays, sum(leave - enter) AS path, sum(greatest(least(leave, coalesce(near, 1e9)) - enter, 0)) AS free_path,
+      (count(*) FILTER (near > enter AND near <= leave))::DOUBLE AS intercepted FROM v WHERE leave > enter GROUP BY 1, 2, 3),
+    h AS (SELECT ix, iy, CAST(floor((40.25::DOUBLE - e) / 2) AS BIGINT) AS iz, count(*)::DOUBLE AS hits FROM (SELECT ix, iy, unnest(g) AS e FROM f) GROUP BY 1, 2, 3)
+    SELECT ix, iy, iz, coalesce(rays, 0) AS rays, coalesce(hits, 0) AS hits, coalesce(path, 0) AS path, coalesce(free_path, 0) AS free_path, coalesce(intercepted, 0) AS intercepted FROM w FULL JOIN h USING (ix, iy, iz)""",
+    "rays hits path free_path intercepted",
+)
+def trace_upright(spark, d):
+    return voxels.trace(rays(spark, d, True).withColumn("dx", F.lit(0.0)).withColumn("dy", F.lit(0.0)), 2.0)
+
+
+@query()
+def trace_rays(spark, d):
+    return voxels.trace(rays(spark, d, False), 2.0)
+
+
+@query()
+def voxel_densities(spark, d):
+    return voxels.densities(voxels.trace(rays(spark, d, False), 2.0), 2.0)
+
+
+@query()
+def voxel_profile(spark, d):
+    return voxels.vertical_profile(voxels.densities(voxels.trace(rays(spark, d, False), 2.0), 2.0), 2.0)
+
+
+@query()
+def occlusion(spark, d):
+    return voxels.occlusion(voxels.trace(rays(spark, d, False), 2.0), (0, 49, 0, 49, 0, 14), 1.0)
+
+
+# --- graphs -----------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT pid, x, y, z FROM p WHERE z > 29.0),
+    e AS (SELECT a.pid AS s, b.pid AS d FROM v a, v b WHERE a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1.0),
+    r AS (SELECT pid, pid AS c FROM v UNION SELECT e.d, r.c FROM r JOIN e ON e.s = r.pid), m AS (SELECT pid, min(c) AS c FROM r GROUP BY 1)
+    SELECT pid, CASE WHEN count(*) OVER (PARTITION BY c) >= 3 THEN c ELSE -1 END AS cluster FROM m"""
+)
+def clusters(spark, d):
+    return graph.clusters(point_view(spark, d).filter("z > 29.0"), 1.0, 3)
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT row, col FROM (SELECT CAST(floor(y / 2.0) AS BIGINT) AS row, CAST(floor(x / 2.0) AS BIGINT) AS col, max(z) AS m FROM p GROUP BY 1, 2) WHERE m <= 26.0),
+    r AS (SELECT row, col, row AS r0, col AS c0 FROM v UNION SELECT v.row, v.col, r.r0, r.c0 FROM r JOIN v ON abs(v.row - r.row) + abs(v.col - r.col) = 1),
+    m AS (SELECT row, col, min((r0, c0)) AS g FROM r GROUP BY 1, 2)
+    SELECT (g[1] + 1073741824) * 2147483648 + g[2] + 1073741824 AS gap, count(*) AS n, count(*) * 4.0::DOUBLE AS area, avg(row) AS row, avg(col) AS col FROM m GROUP BY g HAVING count(*) >= 2""",
+    "area row col",
+)
+def canopy_gaps(spark, d):
+    return graph.canopy_gaps(raster.rasterize(point_view(spark, d), 2.0, reduce="max"), 2.0, 26.0, least=8.0)
+
+
+@query()
+def shortest_paths(spark, d):
+    p = point_view(spark, d).filter("z > 28.5")
+    return graph.shortest_paths(p, graph.radius_graph(p, 1.5), p.filter("pid % 97 = 0").select("pid"), reach=20.0)
+
+
+# --- polygons ---------------------------------------------------------------
+
+
+@query(
+    """SELECT pid, id AS feature FROM p JOIN centres c ON (p.y - c.y) >= -3.003 AND (p.y - c.y) <= 3.003 AND abs(p.x - c.x) <= (3.003 - (p.y - c.y)) / 2 AND NOT (abs(p.x - c.x) < 0.503 AND abs(p.y - c.y) < 0.503)"""
+)
+def polygon_join_query(spark, d):
+    """Triangles around the centres, each with a square hole whose edge belongs to it."""
+    c = centres(spark, d)
+
+    def ring(*corners):
+        return F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in corners])
+
+    shapes = c.select(F.col("id").alias("feature"), F.array(ring((-3.003, -3.003), (3.003, -3.003), (0, 3.003)), ring((-0.503, -0.503), (0.503, -0.503), (0.503, 0.503), (-0.503, 0.503))).alias("rings"))
+    return polygon_join(point_view(spark, d), shapes, 5.0).select("pid", "feature")
+
+
+# --- fits -------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT tree_id, avg(z) AS h, avg(intensity) AS i, count(*)::DOUBLE AS n FROM p GROUP BY 1)
+    SELECT tree_id, regr_intercept(h, i) OVER () + regr_slope(h, i) OVER () * i AS predicted FROM s""",
+    "predicted",
+)
+def upscale_linear(spark, d):
+    s = point_view(spark, d).groupBy("tree_id").agg(F.avg("z").alias("h"), F.avg("intensity").alias("i"))
+    return fit.Linear(s, "h", ["i"]).predict(s).select("tree_id", "predicted")
+
+
+@query()
+def upscale_leave_one_out(spark, d):
+    s = point_view(spark, d).groupBy("tree_id").agg(F.avg("z").alias("h"), F.avg("intensity").alias("i"), F.avg("x").alias("x"))
+    return fit.Linear(s, "h", ["i", "x"], log=True).leave_one_out(s).select("tree_id", "loo")
+
+
+@query()
+def rigid_registration(spark, d):
+    """Pairs of points of two epochs give back the move between them."""
+    from ..operators.points import rotation_z, transform, translation
+
+    p = point_view(spark, d)
+    m = translation(2.0, -1.0, 0.5) @ rotation_z(12.0)
+    b = transform(p, m).select("pid", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    pairs = p.select("pid", *[F.col(c).alias(f"a{c}") for c in "xyz"]).join(b, "pid")
+    found = fit.rigid(pairs)
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(found)], "row int, col int, value double")
+
+
+@query()
+def match_trees(spark, d):
+    a = centres(spark, d).select("id", "x", "y", (F.abs("value") / 500.0).alias("height"))
+    b = a.withColumns({"x": F.col("x") + 0.2, "y": F.col("y") - 0.1, "height": F.col("height") + 0.3}).filter("id % 7 <> 0")
+    return fit.match_trees(a, b, 1.0)
+
+
+@query()
+def waveform_echoes(spark, d):
+    """Each pulse's echoes as a sampled waveform, taken apart again."""
+    s = shots(spark, d).filter("size(echoes) > 0")
+    level = F.aggregate("echoes", F.lit(0.0), lambda a, e: a)
+    sample = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: F.aggregate("echoes", level, lambda a, e: a + 40.0 * F.exp(-F.pow(i - e["height"] * 2.0 - 8.0, F.lit(2.0)) / 8.0)))
+    return fit.decompose(s.select(F.col("shot_id").alias("wf_id"), sample.alias("samples")))
+
 
