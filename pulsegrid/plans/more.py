@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import fit, graph, ground, pulses, raster, trees, voxels
 from ..operators.polygons import polygon_join
+from ..streaming import aggregates
 from .catalog import BOX, CHM, query
-from .views import centres, shots
+from .views import centres, shots, table
 from .views import points as point_view
 
 # --- ground -----------------------------------------------------------------
@@ -225,3 +226,26 @@ def waveform_echoes(spark, d):
     return fit.decompose(s.select(F.col("shot_id").alias("wf_id"), sample.alias("samples")))
 
 
+
+
+# --- streams ----------------------------------------------------------------
+
+
+@query("SELECT CAST(floor(y / 10.0) AS BIGINT) AS row, CAST(floor(x / 10.0) AS BIGINT) AS col, count(*) AS n, sum(z) AS sum, min(z) AS low, max(z) AS high FROM p GROUP BY 1, 2", "sum low high")
+def stream_grid(spark, d):
+    return aggregates.grid(point_view(spark, d), 10.0)
+
+
+@query(
+    """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, sum(value) AS total FROM (
+    SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
+    "total",
+)
+def stream_sessions(spark, d):
+    return aggregates.pulse_sessions(table(spark, d, "events"), "user_id", "6 hours", "1 day")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", "total")
+def stream_windows(spark, d):
+    return aggregates.windowed(table(spark, d, "events"), "1 day", None, "1 day")
