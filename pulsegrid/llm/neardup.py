@@ -10,15 +10,15 @@ sets form a class of which the smallest doc_id goes on.  Then:
    sorts out chance meetings, the texts confirm; confirmed candidates give each
    document one parent, and trees of these give labels.
 2. Buckets that still hold several labels are compared in blocks of bounded
-   size, on signatures only: for each document the likeliest partners under
-   each other label go to the texts, and confirmed links join labels.
-3. The same again for what is left, now with every pair under different labels
-   that the estimate does not rule out.
+   size, on signatures only, and give pairs of labels that may be linked.
+3. For each such pair the documents of the smaller label are held against those
+   of the larger one, again in blocks: what the estimate does not rule out is
+   confirmed on the texts, likeliest first, until the pair has a link.
 
-So no link between different labels is lost, while pairs inside a group that
-already has one label are never made.  Pairs of documents that share no bucket
-are missed: with the default 32 bands of 5, three in a million at a similarity
-of 0.8.  The estimate rules out what lies ``margin`` deviations below it.
+So no link between different labels is lost, while pairs of documents are never
+made as rows.  Documents that share no bucket are missed: with the default 32
+bands of 5, three in a million at a similarity of 0.8.  The estimate rules out
+what lies ``margin`` deviations below it.
 
 All steps are joins and groupings of Spark, and each table that is used again
 is written to the shared folder.
@@ -241,87 +241,148 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def cross_pairs(rows: DataFrame, bits: int, k: int, least: float, top: int | None) -> DataFrame:
-    """Pairs under different labels in a bucket block whose estimate is ``least`` or more.
+def by_group(batches, names: tuple[str, ...]):
+    """Consecutive rows with equal values of ``names``, each group as a table."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        if not held.num_rows:
+            continue
+        keys = np.stack([held.column(n).to_numpy() for n in names])
+        edges = (np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist()
+        for start, stop in zip([0, *edges], edges, strict=False):
+            yield held.slice(start, stop - start)
+        held = held.slice(edges[-1]) if edges else held
+    if held is not None and held.num_rows:
+        yield held
+
+
+def signatures(table: pa.Table) -> np.ndarray:
+    flat = table.column("sig").combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).view("u8").reshape(table.num_rows, -1)
+
+
+def differing(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """In how many minima each signature of x differs from each of y."""
+    ones = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
+    z = x[:, None, :] ^ y[None, :, :]
+    fold = z.copy()
+    for n in range(1, bits):
+        fold |= z >> np.uint64(n)
+    return np.bitwise_count(fold & ones).sum(axis=2, dtype="i4")
+
+
+LABEL_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def label_pairs(rows: DataFrame, bits: int, most: float) -> DataFrame:
+    """Labels with documents in one bucket whose signatures differ in ``most`` minima or fewer.
 
     ``rows(bucket, i, j, block, doc, label, sig)`` stand together by (bucket, i, j),
-    a bounded number for each; with ``top``, a document names that many partners
-    under each other label.
+    a bounded number for each.
     """
-    ones = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
-    chance = 2.0**-bits
-    most = k * (1 - (least * (1 - chance) + chance))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def within(doc, label, sig, block, i, j):
-        side = np.flatnonzero(block == i)
-        other = np.flatnonzero(block == j)
-        found_a, found_b = [], []
-        for at in range(0, len(side), 64):
-            s = side[at : at + 64]
-            x = sig[s][:, None, :] ^ sig[other][None, :, :]
-            fold = x.copy()
-            for n in range(1, bits):
-                fold |= x >> np.uint64(n)
-            diff = np.bitwise_count(fold & ones).sum(axis=2, dtype="i4")
-            good = (diff <= most) & (label[s][:, None] != label[other][None, :])
-            if i == j:
-                good &= s[:, None] < other[None, :]
-            u, v = np.nonzero(good)
-            found_a.append(np.stack([s[u], other[v], diff[u, v]]))
-        p = np.concatenate(found_a, axis=1) if found_a else np.zeros((3, 0), "i8")
-        if top is not None and p.shape[1] > top:
-            keep = np.zeros(p.shape[1], bool)
-            for x, y in ((p[0], p[1]), (p[1], p[0])):
-                order = np.lexsort([p[2], label[y], x])
-                same = (np.diff(x[order]) == 0) & (np.diff(label[y][order]) == 0)
-                begin = np.concatenate([[0], np.flatnonzero(~same) + 1])
-                rank = np.arange(len(order)) - np.repeat(begin, np.diff([*begin, len(order)]))
-                keep[order[rank < top]] = True
-            p = p[:, keep]
-        a, b = doc[p[0]], doc[p[1]]
-        return np.minimum(a, b), np.maximum(a, b)
+    def run(batches):
+        out: set[tuple[int, int]] = set()
+        for t in by_group(batches, ("bucket", "i", "j")):
+            label = t.column("label").to_numpy()
+            if (label == label[0]).all():
+                continue
+            block, sig = t.column("block").to_numpy(), signatures(t)
+            one = np.flatnonzero(block == t.column("i")[0].as_py())
+            two = np.flatnonzero(block == t.column("j")[0].as_py())
+            for at in range(0, len(one), 64):
+                s = one[at : at + 64]
+                u, v = np.nonzero((differing(sig[s], sig[two], bits) <= most) & (label[s][:, None] != label[two][None, :]))
+                a, b = label[s[u]], label[two[v]]
+                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_pydict({"a": [p[0] for p in out], "b": [p[1] for p in out]})
+                out.clear()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return rows.mapInArrow(run, LABEL_PAIR).distinct()
+
+
+def linked_labels(rows: DataFrame, bits: int, most: float, width: int, percent: int) -> DataFrame:
+    """Pairs of labels with a confirmed link.
+
+    ``rows(big, qb, mb, label, doc, sig, text)`` stand together by (big, qb, mb):
+    documents of the label ``big`` and of smaller labels that may be linked to it.
+    """
 
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            yield from groups(held, False)
-            held = held.slice(cut[0])
-        if held is not None and held.num_rows:
-            yield from groups(held, True)
-
-    cut = [0]
-
-    def groups(t, last):
-        t = t.combine_chunks()
-        n = t.num_rows
-        cut[0] = 0
-        if not n:
-            return
-        bucket, i, j = (t.column(c).to_numpy() for c in ("bucket", "i", "j"))
-        edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        stops = [*edges.tolist(), n] if last else edges.tolist()
-        if not stops:
-            return
-        cut[0] = stops[-1]
-        doc, label, block = (t.column(c).to_numpy() for c in ("doc", "label", "block"))
-        flat = t.column("sig").combine_chunks()
-        sig = flat.flatten().to_numpy(zero_copy_only=False).view("u8").reshape(n, -1)
-        a = b = None
-        out_a, out_b = [], []
-        start = 0
-        for stop in stops:
-            if (label[start:stop] != label[start]).any():
-                a, b = within(doc[start:stop], label[start:stop], sig[start:stop], block[start:stop], i[start], j[start])
-                out_a.append(a)
-                out_b.append(b)
-            start = stop
-        if out_a:
-            yield pa.RecordBatch.from_pydict({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return rows.mapInArrow(run, schema).distinct()
+        for t in by_group(batches, ("big", "qb", "mb")):
+            big = t.column("big")[0].as_py()
+            label, sig, text = t.column("label").to_numpy(), signatures(t), t.column("text")
+            members, asked = np.flatnonzero(label == big), np.flatnonzero(label != big)
+            sets: dict[int, set] = {}
+            done: set[int] = set()
+
+            def own(i, sets=sets, text=text):
+                if i not in sets:
+                    sets[i] = shingle_set(text[i].as_py(), width)
+                return sets[i]
+
+            for at in range(0, len(asked), 64):
+                part = asked[at : at + 64]
+                diff = differing(sig[part], sig[members], bits)
+                for row, q in zip(diff, part.tolist(), strict=True):
+                    if label[q] in done:
+                        continue
+                    near = np.flatnonzero(row <= most)
+                    for m in members[near[np.argsort(row[near], kind="stable")]].tolist():
+                        x, y = own(q), own(m)
+                        common = len(x & y)
+                        if common and 100 * common >= percent * (len(x) + len(y) - common):
+                            done.add(label[q])
+                            break
+            if done:
+                found = [int(x) for x in done]
+                yield pa.RecordBatch.from_pydict({"a": [min(x, big) for x in found], "b": [max(x, big) for x in found]})
+
+    return rows.mapInArrow(run, LABEL_PAIR).distinct()
+
+
+def join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, asked) -> DataFrame:
+    """Labels after the links between the labels of ``pairs`` are confirmed."""
+    named = stage(pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct(), "dup-named")
+    held = labels.join(named, "label", "left_semi").select("doc", "label").union(named.select(F.col("label").alias("doc"), "label"))
+    held = stage(held, "dup-held")
+    sizes = stage(held.groupBy("label").agg(F.count("*").alias("n")), "dup-sizes")
+    a = sizes.select(F.col("label").alias("a"), F.col("n").alias("na"))
+    b = sizes.select(F.col("label").alias("b"), F.col("n").alias("nb"))
+    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    turned = pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("label"), F.greatest("na", "nb").alias("n"), F.least("na", "nb").alias("few"))
+    turned = stage(turned, "dup-turned")
+    bigs = turned.groupBy("big").agg(F.ceil(F.max("n") / block).cast("int").alias("mbs"), F.ceil(F.sum("few") / asked).cast("int").alias("qbs"))
+    bigs = stage(bigs, "dup-bigs")
+    every = F.sequence(F.lit(0), F.col("many") - 1)
+    one = F.pmod(F.xxhash64("doc"), F.col("own")).cast("int")
+    asking = turned.select("big", "label").join(bigs, "big").join(held, "label").select("big", "label", "doc", F.col("qbs").alias("own"), F.col("mbs").alias("many"), F.lit(True).alias("asks"))
+    asked_of = bigs.withColumnRenamed("big", "label").join(held, "label").select(F.col("label").alias("big"), "label", "doc", F.col("mbs").alias("own"), F.col("qbs").alias("many"), F.lit(False).alias("asks"))
+    ids = stage(asking.union(asked_of), "dup-asked")
+    need = stage(ids.select(F.col("doc").alias("doc_id")).distinct(), "dup-ids")
+    side = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(side, "doc_id", "left_semi")
+    texts = stage(texts, "dup-texts").withColumnRenamed("doc_id", "doc")
+    rows = (
+        ids.join(sig.withColumnRenamed("doc_id", "doc"), "doc")
+        .join(texts, "doc")
+        .withColumn("mine", one)
+        .withColumn("other", F.explode(every))
+        .select("big", F.when(F.col("asks"), F.col("mine")).otherwise(F.col("other")).alias("qb"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("mine")).alias("mb"), "label", "doc", "sig", "text")
+        .repartition("big", "qb", "mb")
+        .sortWithinPartitions("big", "qb", "mb", "doc")
+    )
+    joined = stage(linked_labels(rows, bits, most, width, percent), "dup-joined")
+    if joined.isEmpty():
+        return labels
+    roots = components(joined).select(F.col("doc").alias("label"), F.col("label").alias("root"))
+    grown = labels.join(roots, "label", "left").select("doc", F.coalesce("root", "label").alias("label"))
+    fresh = roots.filter("label <> root").select(F.col("label").alias("doc"), F.col("root").alias("label"))
+    return stage(grown.union(fresh.join(labels.select("doc"), "doc", "left_anti")), "dup-labels")
 
 
 def near_duplicates(
@@ -333,7 +394,7 @@ def near_duplicates(
     bits: int = 4,
     margin: float = 4.0,
     block: int = 512,
-    top: int = 8,
+    asked: int = 128,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -346,6 +407,7 @@ def near_duplicates(
     s = percent / 100
     chance = 2.0**-bits
     agree = s + (1 - s) * chance
+    most = k * (1 - agree) + margin * math.sqrt(agree * (1 - agree) * k)
     least = s - margin * math.sqrt(agree * (1 - agree) / k) / (1 - chance)
     sk = stage(sketches(docs, width, bands, rows, bits), "dup-sketch")
     real = sk.filter("set_key is not null and doc_id is not null")
@@ -373,36 +435,23 @@ def near_duplicates(
     parents = stage(confirm(docs, stage(likely.distinct(), "dup-pairs"), width, percent), "dup-parents")
     labels = jump(parents.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label")))
 
-    for limit in (top, None):
-        labelled = members.join(labels, "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("n")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        mixed = stage(mixed, "dup-mixed")
-        if mixed.isEmpty():
-            break
-        own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    labelled = members.join(labels, "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("n"))
+    mixed = stage(mixed.filter("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "dup-mixed")
+    if not mixed.isEmpty():
         placed = (
             labelled.drop("n")
             .join(mixed, "bucket")
-            .withColumn("block", own)
+            .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
             .join(sig.withColumnRenamed("doc_id", "doc"), "doc")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "label", "sig")
             .repartition("bucket", "i", "j")
             .sortWithinPartitions("bucket", "i", "j", "doc")
         )
-        pairs = stage(cross_pairs(placed, bits, k, least, limit), "dup-pairs")
-        if pairs.isEmpty():
-            break
-        links = confirm(docs, pairs, width, percent)
-        la = labels.select(F.col("doc").alias("a"), F.col("label").alias("la"))
-        lb = labels.select(F.col("doc").alias("b"), F.col("label").alias("lb"))
-        joined = stage(links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct(), "dup-joined")
-        if joined.isEmpty():
-            continue
-        roots = components(joined).select(F.col("doc").alias("label"), F.col("label").alias("root"))
-        grown = labels.join(roots, "label", "left").select("doc", F.coalesce("root", "label").alias("label"))
-        fresh = roots.filter("label <> root").select(F.col("label").alias("doc"), F.col("root").alias("label"))
-        labels = stage(grown.union(fresh.join(labels.select("doc"), "doc", "left_anti")), "dup-labels")
+        pairs = stage(label_pairs(placed, bits, most), "dup-label-pairs")
+        if not pairs.isEmpty():
+            labels = join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, asked)
 
     moved = classes.join(labels.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("set_key", "n", F.coalesce("label", "rep").alias("component"), "rep")
     moved = stage(moved.filter("n > 1 or component <> rep").select("set_key", "component"), "dup-components")
