@@ -8,6 +8,8 @@ Ties go to the smaller pid.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,9 +139,6 @@ def local_covariance(points: DataFrame, k: int = 12, start: float = 1.0, limit:
 
 def shape(points: DataFrame, k: int = 12, start: float = 1.0, limit: float = 1e3) -> DataFrame:
     """``nx, ny, nz`` (upward), planarity and linearity of the neighbourhood of each point."""
-    import numpy as np
-    import pandas as pd
-
     cov = local_covariance(points, k, start, limit)
     names = ["cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
 
