@@ -31,10 +31,10 @@ OUT_TAGS = frozenset("nav footer aside form script style noscript template head
 RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math".split())
 # Words of class and id attributes and of roles that name such parts.
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar submenu topbar breadcrumb breadcrumbs sidebar aside rail footer masthead cookie cookies consent gdpr ccpa notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond discussion pagination pager toolbar search searchbox widget widgets skip hidden contentinfo complementary alertdialog".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar submenu topbar breadcrumb breadcrumbs sidebar aside rail footer masthead cookie cookies consent gdpr ccpa notice notices notification alert popup modal overlay disclaimer newsletter subscribe subscription signup signin login register paywall share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond responses discussion feedback pagination pager toolbar search searchbox widget widgets skip hidden contentinfo complementary alertdialog".split()
 )
 HEAD_WORDS = frozenset("header siteheader pageheader topheader".split())
-KEPT_WORDS = frozenset("article main content".split())
+KEPT_WORDS = frozenset("article articlebody content main post story entry".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that begin and end a block.
 BLOCK_TAGS = frozenset(
@@ -45,7 +45,8 @@ LOOSE_TAGS = frozenset("p li dt dd tr td th thead tbody tfoot option colgroup".s
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"<(?:!--(?:>|->|(?:.*?--!?>|.*))|(?:[!?]|/(?![a-zA-Z]))[^>]*>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|aria-modal)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Every attribute in turn, so that a value which looks like one is never taken for it.
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW_TAGS}
 
@@ -56,25 +57,27 @@ class Rules:
         self.stops = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
-def outside(tag: str, attributes: str, within: bool) -> bool:
-    """Whether an element is no part of an article; ``within``: it stands in one."""
+def standing(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether it is one; ``within``: it stands in one."""
     if tag in OUT_TAGS or tag == "header" and not within:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, tag in ("article", "main")
+    holds = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif name in ("class", "id", "role"):
+                return True, False
+        elif name in ("class", "id", "role", "itemprop"):
             for token in value.split():
                 words = {w.lower() for w in PARTS.findall(token)}
                 if words & OUT_WORDS or token.lower() in HEAD_WORDS and not within:
-                    return True
-    return False
+                    return True, False
+                holds = holds or tag in ("div", "section", "td") and (bool(words & KEPT_WORDS) or token.lower() in KEPT_WORDS)
+    return False, holds
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
@@ -145,13 +148,14 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             flush()
         if tag in HEADINGS:
             heading = True
-        gone = out or outside(tag, attributes, article)
+        odd, holds = standing(tag, attributes, article)
+        gone = out or odd
         if gone != out and tag not in BLOCK_TAGS:
             flush()
         if tag in LOOSE_TAGS and gone == out:
             continue
         if tag in BLOCK_TAGS or tag in OUT_TAGS or gone != out:
-            here = article or tag in ("article", "main") or 'articleBody' in attributes
+            here = article or holds
             stack.append((tag, gone, here))
             out, article = gone, here
     flush()
