@@ -238,3 +238,73 @@ def stems(slices: DataFrame, offset: float = 0.3, least: int = 3, low: float = 1
     held = s.join(found, "pid").withColumn("h", (F.col("layer") + 0.5) * layer + low)
     g = held.groupBy(F.col("component").alias("stem")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.countDistinct("layer").alias("n_slices"), F.regr_slope("radius", "h").alias("s"), F.regr_intercept("radius", "h").alias("i"), F.avg("radius").alias("r"))
     return g.filter(F.col("n_slices") >= least).select("stem", "x", "y", (2 * F.coalesce(F.col("i") + 1.3 * F.col("s"), F.col("r"))).alias("dbh"), "n_slices")
+
+
+def li_2012(points: DataFrame, near: float = 1.5, far: float = 2.0, split: float = 15.0, least: float = 2.0, search: float = 10.0, tile: float = 100.0, buffer: float = 20.0) -> DataFrame:
+    """Points with ``tree``, by growing trees from the top down on buffered tiles.
+
+    The highest free point starts a tree; lower ones join it if they are nearer
+    to it than to what was turned away, by a spacing of ``near`` below ``split``
+    and ``far`` above.  A tree is named by its highest point, and a tile gives
+    the points of its core; points that belong to no tree are left out.
+    """
+    high = tiled(points.filter(F.col("z") >= least).select("pid", "x", "y", "z"), tile, buffer=buffer)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["z", "pid"], ascending=[False, True])
+        xy, z, pid = pdf[["x", "y"]].to_numpy(), pdf["z"].to_numpy(), pdf["pid"].to_numpy()
+        label = np.full(len(pid), -1, "i8")
+        free = np.arange(len(pid))
+        while len(free):
+            top = free[0]
+            mine, other = [top], []
+            close = free[np.hypot(*(xy[free] - xy[top]).T) <= search]
+            for i in close[1:]:
+                a = np.hypot(*(xy[mine] - xy[i]).T).min()
+                b = np.hypot(*(xy[other] - xy[i]).T).min() if other else np.inf
+                limit = far if z[i] > split else near
+                if a > limit and a > b or a > limit and not other:
+                    other.append(i)
+                elif a <= b:
+                    mine.append(i)
+                else:
+                    other.append(i)
+            label[mine] = pid[top]
+            free = free[label[free] < 0]
+        own = pdf["core"].to_numpy()
+        return pd.DataFrame({"pid": pid[own], "tree": label[own]})
+
+    return high.groupBy("tx", "ty").applyInPandas(run, "pid long, tree long")
+
+
+def prune(found: DataFrame, distance: float, quality: str = "n_points") -> DataFrame:
+    """Trees ``tree_id, x, y`` without those that stand within ``distance`` of a better one.
+
+    Better is more of ``quality``, of equals the smaller id; a tree yields only to
+    one that is not yielding itself, so the best of a chain stays.
+    """
+    from ..plans.scratch import cut
+    from .neighbours import radius_join
+
+    q = found.select(F.col("tree_id").alias("id"), "x", "y", F.col(quality).alias("q0"))
+    near = radius_join(q, found.select(F.col("tree_id").alias("pid"), "x", "y", F.col(quality).alias("q1")), distance, 2, keep=("id", "q0"))
+    pairs = cut(near.filter((F.col("id") != F.col("pid")) & ((F.col("q1") > F.col("q0")) | ((F.col("q1") == F.col("q0")) & (F.col("pid") < F.col("id"))))).select("id", F.col("pid").alias("better")))
+    state = cut(found.select(F.col("tree_id").alias("id"), F.lit(None).cast("boolean").alias("stays")))
+    while True:
+        seen = state.withColumnsRenamed({"id": "better", "stays": "b"})
+        votes = pairs.join(seen, "better").groupBy("id").agg(F.max("b").alias("beaten"), F.min(F.coalesce(F.col("b").cast("int") * 0 + 1, F.lit(0))).alias("known"))
+        nxt = state.join(votes, "id", "left").select("id", F.coalesce("stays", F.when(F.col("beaten"), F.lit(False)).when(F.coalesce("known", F.lit(1)) == 1, F.lit(True))).alias("stays"))
+        state = cut(nxt)
+        if state.filter("stays is null").isEmpty():
+            break
+    return found.join(state.filter("stays").select(F.col("id").alias("tree_id")), "tree_id", "left_semi")
+
+
+def contacts(points: DataFrame, distance: float) -> DataFrame:
+    """Pairs of trees that come within ``distance``: ``a, b, n, nearest, height``."""
+    from .neighbours import radius_join
+
+    p = points.filter("tree_id >= 0").select("pid", "x", "y", "z", "tree_id")
+    q = p.select(F.col("tree_id").alias("a"), "x", "y", "z")
+    near = radius_join(q, p, distance, 3, keep=("a",)).filter(F.col("a") < F.col("tree_id"))
+    return near.groupBy("a", F.col("tree_id").alias("b")).agg(F.count("*").alias("n"), F.sqrt(F.min("d2")).alias("nearest"), F.avg("z").alias("height"))

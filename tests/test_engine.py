@@ -236,3 +236,40 @@ def test_queries_agree_with_their_sql(spark, name):
     keys = sorted(got.columns)
     got, want = (f.sort_values(keys).reset_index(drop=True) for f in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-6, atol=2e-6)
+
+
+def test_utm_there_and_back(spark):
+    from pulsegrid.functions import geo
+
+    df = spark.createDataFrame([(147.0, -42.0), (148.9, -35.3), (146.2, -10.0)], "lon double, lat double")
+    xy = geo.to_utm(df, 55, south=True)
+    back = geo.from_utm(xy.withColumnsRenamed({"lon": "lon0", "lat": "lat0"}), 55, south=True).collect()
+    assert all(abs(r.lon - r.lon0) < 1e-9 and abs(r.lat - r.lat0) < 1e-9 for r in back)
+    first = xy.filter("lon = 147").first()
+    assert first.x == pytest.approx(500000.0) and first.y == pytest.approx(10000000 - 0.9996 * 4651307.0, abs=500)
+
+
+def test_leaf_projection(spark):
+    from pulsegrid.functions import leaves
+
+    assert leaves.projections("spherical") == pytest.approx(np.full(91, 0.5), abs=2e-3)
+    assert leaves.projections("ellipsoidal", 1.0) == pytest.approx(np.full(91, 0.5), abs=2e-3)
+    assert leaves.projections("planophile")[0] > 0.8 > leaves.projections("erectophile")[0]
+    t = np.linspace(0, np.pi / 2, 20001)
+    for f, a in (("uniform", ()), ("plagiophile", ()), ("extremophile", ()), ("beta", (2.5, 3.0)), ("ellipsoidal", (2.0,)), ("ellipsoidal", (0.5,))):
+        assert np.trapezoid(leaves.density(f, t, *a), t) == pytest.approx(1, abs=2e-3)
+    got = spark.createDataFrame([(0.0,), (45.5,), (90.0,)], "z double").select(leaves.projection("z", "planophile").alias("g")).collect()
+    table = leaves.projections("planophile")
+    assert [r.g for r in got] == pytest.approx([table[0], (table[45] + table[46]) / 2, table[90]])
+
+
+def test_li_prune_and_contacts(spark):
+    r = np.random.default_rng(8)
+    p = np.concatenate([np.stack([cx + r.normal(0, 0.8, 200), np.full(200, 5.0) + r.normal(0, 0.8, 200), 10 - 2 * np.abs(r.normal(0, 1, 200))], 1) for cx in (5.0, 15.0)])
+    df = spark.createDataFrame(pd.DataFrame({"pid": np.arange(400), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "tree_id": np.arange(400) // 200}))
+    got = trees.li_2012(df, tile=10.0, buffer=10.0).join(df, "pid").groupBy("tree").agg(F.countDistinct("tree_id").alias("n"), F.count("*").alias("c")).collect()
+    assert all(g.n == 1 for g in got) and sum(g.c for g in got) >= 390
+    t = spark.createDataFrame([(1, 0.0, 0.0, 5), (2, 0.5, 0.0, 9), (3, 1.0, 0.0, 7), (4, 1.45, 0.0, 1), (5, 9.0, 0.0, 1)], "tree_id long, x double, y double, n_points int")
+    assert sorted(x.tree_id for x in trees.prune(t, 0.6).collect()) == [2, 4, 5]
+    c = trees.contacts(df, 30.0).collect()
+    assert len(c) == 1 and (c[0].a, c[0].b, c[0].n) == (0, 1, 40000)
