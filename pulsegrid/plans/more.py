@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import fit, graph, ground, pulses, raster, trees, voxels
+from ..operators import canopy, fit, graph, ground, neighbours, pulses, raster, trees, voxels
 from ..operators.polygons import polygon_join
 from ..streaming import aggregates
 from .catalog import BOX, CHM, query
-from .views import centres, shots, table
+from .views import centres, later_points, shots, table
 from .views import points as point_view
 
 # --- ground -----------------------------------------------------------------
@@ -249,3 +249,155 @@ def stream_sessions(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", "total")
 def stream_windows(spark, d):
     return aggregates.windowed(table(spark, d, "events"), "1 day", None, "1 day")
+
+
+# --- canopy and plots -------------------------------------------------------
+
+
+@query("SELECT avg(CASE WHEN top > 20 THEN 1.0::DOUBLE ELSE 0 END) AS cover, count(*) AS cells FROM (SELECT max(z) AS top FROM p GROUP BY floor(x / 1.0), floor(y / 1.0))", "cover")
+def canopy_cover(spark, d):
+    return canopy.cover(point_view(spark, d), 1.0, 20.0)
+
+
+@query("SELECT layer, n, n / sum(n) OVER () AS share FROM (SELECT CAST(floor(z / 2.0) AS BIGINT) AS layer, count(*) AS n FROM p GROUP BY 1)", "share")
+def vertical_profile(spark, d):
+    return canopy.vertical_profile(point_view(spark, d), 2.0)
+
+
+@query("SELECT CAST(floor(x / 5.0) AS BIGINT) AS ix, CAST(floor(y / 5.0) AS BIGINT) AS iy, CAST(floor(z / 5.0) AS BIGINT) AS iz, count(*) / 125.0::DOUBLE AS density, count(*) FILTER (return_number = 1) / count(*) AS first_share FROM p GROUP BY 1, 2, 3", "density first_share")
+def density_grid(spark, d):
+    return canopy.density_grid(point_view(spark, d), 5.0)
+
+
+@query(
+    """WITH s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, var_pop(z) AS zz FROM p WHERE classification = 2),
+    t AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS b, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS c FROM s)
+    SELECT n, mz - b * mx - c * my AS a, b, c, sqrt(zz - b * xz - c * yz) AS sd FROM t""",
+    "a b c sd",
+)
+def ground_plane(spark, d):
+    return canopy.ground_plane(point_view(spark, d).filter("classification = 2"))
+
+
+@query("SELECT CAST(floor(zenith / 5.0) AS BIGINT) AS ring, count(*) AS fired, count(*) FILTER (len(echoes) > 0) AS returned, sum(len(echoes))::BIGINT AS echoes, sum(len(echoes)) / count(*) FILTER (len(echoes) > 0) AS per_return FROM shots GROUP BY 1", "per_return")
+def fired_pulses(spark, d):
+    return canopy.fired_pulses(shots(spark, d))
+
+
+@query(
+    """SELECT CAST(floor(32 - 32 * (zenith / 90.0::DOUBLE) * cos(radians(azimuth))) AS BIGINT) AS row, CAST(floor(32 + 32 * (zenith / 90.0::DOUBLE) * sin(radians(azimuth))) AS BIGINT) AS col, count(*) AS pulses,
+    count(*) FILTER (len(list_filter(echoes, lambda e: e.height > 20.0)) = 0) AS gaps, count(*) FILTER (len(list_filter(echoes, lambda e: e.height > 20.0)) = 0) / count(*) AS value FROM shots WHERE zenith BETWEEN 0 AND 90 GROUP BY 1, 2""",
+    "value",
+)
+def hemispherical_picture(spark, d):
+    return canopy.hemisphere(shots(spark, d), 64, 20.0)
+
+
+@query("SELECT pid, arg_min(s.id, ((x - s.ox) * (x - s.ox) + (y - s.oy) * (y - s.oy) + (z - s.oz) * (z - s.oz), s.id)) AS scan_id FROM p, (SELECT id, x AS ox, y AS oy, 2.0::DOUBLE AS oz FROM centres WHERE id < 5) s GROUP BY 1")
+def scan_ids(spark, d):
+    o = centres(spark, d).filter("id < 5").select(F.col("id").alias("scan_id"), "x", "y", F.lit(2.0).alias("z"))
+    return canopy.scan_ids(point_view(spark, d), o).select("pid", "scan_id")
+
+
+PLOT_TREES = "SELECT id AS tree_id, abs(value) / 21000.0::DOUBLE AS dbh, abs(value) / 310.0::DOUBLE AS height FROM centres"
+
+
+def plot_trees(spark, d):
+    return centres(spark, d).select(F.col("id").alias("tree_id"), (F.abs("value") / 21000.0).alias("dbh"), (F.abs("value") / 310.0).alias("height"))
+
+
+@query(
+    f"""WITH t AS ({PLOT_TREES}) SELECT count(*) / 2500.0::DOUBLE * 10000 AS stems_ha, sum(pi() * dbh * dbh / 4) / 2500.0::DOUBLE * 10000 AS basal_area, avg(dbh) AS mean_dbh, sqrt(avg(dbh * dbh)) AS quadratic_dbh, avg(height) AS mean_height,
+    (SELECT avg(height) FROM (SELECT height FROM t ORDER BY height DESC, tree_id LIMIT 25)) AS dominant_height FROM t""",
+    "stems_ha basal_area mean_dbh quadratic_dbh mean_height dominant_height",
+)
+def plot_summary(spark, d):
+    return canopy.plot_summary(plot_trees(spark, d), 2500.0)
+
+
+@query(
+    f"""WITH t AS ({PLOT_TREES}), q AS (SELECT tree_id, dbh AS dbh_a, height AS height_a, dbh + (tree_id % 5 - 1) / 100.0::DOUBLE AS dbh_b, height + (tree_id % 3) / 10.0::DOUBLE AS height_b FROM t)
+    SELECT *, (dbh_b - dbh_a) / 4.0::DOUBLE AS dbh_rate, (height_b - height_a) / 4.0::DOUBLE AS height_rate, dbh_b - dbh_a > 1.96 * sqrt(2) * 0.0031 AS grown, dbh_b - dbh_a < -1.96 * sqrt(2) * 0.0031 AS shrunk FROM q""",
+    "dbh_a height_a dbh_b height_b dbh_rate height_rate",
+)
+def tree_increments(spark, d):
+    t = plot_trees(spark, d).select("tree_id", F.col("dbh").alias("dbh_a"), F.col("height").alias("height_a"))
+    t = t.withColumns({"dbh_b": F.col("dbh_a") + (F.col("tree_id") % 5 - 1) / F.lit(100.0), "height_b": F.col("height_a") + (F.col("tree_id") % 3) / F.lit(10.0)})
+    return canopy.tree_increments(t, 4.0, se=0.0031)
+
+
+@query(
+    """WITH a AS (SELECT id, abs(value) AS height FROM centres WHERE id % 5 <> 1), b AS (SELECT id, abs(value) * (1 - (id % 4) / 8.0::DOUBLE) AS height FROM centres WHERE id % 7 <> 1)
+    SELECT a.id AS id_a, b.id AS id_b, a.height AS height_a, b.height AS height_b, CASE WHEN b.id IS NULL THEN 'dead' WHEN a.id IS NULL THEN 'recruit' WHEN b.height < 0.8 * a.height THEN 'damaged' ELSE 'survivor' END AS state FROM a FULL JOIN b USING (id)""",
+    "height_a height_b",
+)
+def tree_states(spark, d):
+    c = centres(spark, d)
+    a = c.filter("id % 5 <> 1").select("id", F.abs("value").alias("height"))
+    b = c.filter("id % 7 <> 1").select("id", (F.abs("value") * (1 - (F.col("id") % 4) / F.lit(8.0))).alias("height"))
+    pairs = a.join(b, "id").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
+    return canopy.tree_states(a, b, pairs)
+
+
+@query(
+    f"""WITH a AS ({CHM}), b AS (SELECT CAST(floor(y / 2.0) AS BIGINT) AS row, CAST(floor(x / 2.0) AS BIGINT) AS col, max(z) AS value FROM later GROUP BY 1, 2),
+    g AS (SELECT row, col, value, CASE WHEN lead(col) OVER r - lag(col) OVER r = 2 THEN (lead(value) OVER r - lag(value) OVER r) / 4.0::DOUBLE END AS gx,
+      CASE WHEN lead(row) OVER c - lag(row) OVER c = 2 THEN (lead(value) OVER c - lag(value) OVER c) / 4.0::DOUBLE END AS gy FROM a WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)),
+    j AS (SELECT g.value - b.value AS dz, gx, gy FROM g JOIN b USING (row, col) WHERE gx IS NOT NULL AND gy IS NOT NULL),
+    m AS (SELECT count(*) AS n, avg(dz) AS d, avg(gx) AS mx, avg(gy) AS my, var_pop(gx) AS xx, var_pop(gy) AS yy, covar_pop(gx, gy) AS xy, covar_pop(gx, dz) AS xd, covar_pop(gy, dz) AS yd FROM j),
+    t AS (SELECT *, -(xd * yy - yd * xy) / (xx * yy - xy * xy) AS tx, -(yd * xx - xd * xy) / (xx * yy - xy * xy) AS ty FROM m)
+    SELECT n, tx, ty, d + mx * tx + my * ty AS tz FROM t""",
+    "tx ty tz",
+)
+def survey_shift(spark, d):
+    a, b = (raster.rasterize(f(spark, d), 2.0, reduce="max") for f in (point_view, later_points))
+    return canopy.survey_shift(a, b, 2.0)
+
+
+@query(
+    """SELECT a, b, count(*) AS n, sqrt(min(d2)) AS nearest, avg(z) AS height FROM (
+    SELECT u.tree_id AS a, v.tree_id AS b, v.z, (u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y) + (u.z - v.z) * (u.z - v.z) AS d2
+    FROM (SELECT *, floor(x / 0.5) AS cx, floor(y / 0.5) AS cy, floor(z / 0.5) AS cz FROM p) u,
+      (SELECT *, floor(x / 0.5) + i AS cx, floor(y / 0.5) + j AS cy, floor(z / 0.5) + k AS cz FROM p, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) v
+    WHERE u.cx = v.cx AND u.cy = v.cy AND u.cz = v.cz AND u.tree_id < v.tree_id) WHERE d2 <= 0.25 GROUP BY 1, 2""",
+    "nearest height",
+)
+def tree_contacts(spark, d):
+    return trees.contacts(point_view(spark, d), 0.5)
+
+
+@query()
+def leaf_or_wood(spark, d):
+    p = point_view(spark, d).filter("tree_id < 10")
+    return canopy.leaf_or_wood(neighbours.shape(p, 8, 2.0, 100.0))
+
+
+@query()
+def leaf_angles(spark, d):
+    return canopy.leaf_angles(neighbours.shape(point_view(spark, d), 8, 1.0, 100.0))
+
+
+@query()
+def top_down_trees(spark, d):
+    return trees.li_2012(point_view(spark, d).filter("z > 24"), tile=25.0, buffer=10.0)
+
+
+@query()
+def normals_and_shapes(spark, d):
+    return neighbours.shape(point_view(spark, d), 12, 1.0, 100.0)
+
+
+@query()
+def statistical_outliers(spark, d):
+    return neighbours.statistical_outliers(point_view(spark, d), 8, 2.0, start=1.0, limit=200.0).select("pid", "mean_distance", "keep")
+
+
+@query()
+def icp_registration(spark, d):
+    """The move between an epoch and its turned copy, found again from nearest points."""
+    from ..operators.points import rotation_z, transform, translation
+
+    p = point_view(spark, d)
+    m = translation(0.05, -0.03, 0.02) @ rotation_z(0.05, (50, 50, 0))
+    found, rmse, n = fit.icp(p, transform(p, m), 1.0, rounds=6)
+    return spark.createDataFrame([(i, j, float(v), rmse, n) for (i, j), v in np.ndenumerate(found)], "row int, col int, value double, rmse double, rounds int")

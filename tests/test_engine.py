@@ -273,3 +273,28 @@ def test_li_prune_and_contacts(spark):
     assert sorted(x.tree_id for x in trees.prune(t, 0.6).collect()) == [2, 4, 5]
     c = trees.contacts(df, 30.0).collect()
     assert len(c) == 1 and (c[0].a, c[0].b, c[0].n) == (0, 1, 40000)
+
+
+def test_poses():
+    from pulsegrid.operators import poses as s
+
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        x = r.normal(0, 1, 6)
+        x[3:] *= min(1, 3 / np.linalg.norm(x[3:]))
+        m = s.se3_exp(x)
+        assert s.se3_log(m) == pytest.approx(x, abs=1e-9) and s.invert(m) @ m == pytest.approx(np.eye(4), abs=1e-12)
+        y = r.normal(0, 1e-3, 6)
+        assert m @ s.se3_exp(y) @ s.invert(m) == pytest.approx(s.se3_exp(s.adjoint(m) @ y), abs=1e-9)
+    truth = [np.eye(4)] + [s.se3_exp(r.normal(0, 1, 6) * [5, 5, 1, 0.1, 0.1, 1]) for _ in range(4)]
+    edges = [(i, j, s.invert(truth[i]) @ truth[j] @ s.se3_exp(r.normal(0, 1e-4, 6)), np.eye(6) * 1e4) for i in range(5) for j in range(i + 1, 5)]
+    edges.append((0, 4, np.eye(4), np.eye(6)))  # a wrong one of little weight
+    got = s.solve_pose_graph(5, edges)
+    assert all(np.abs(a - b).max() < 5e-3 for a, b in zip(got, truth, strict=True))
+    stems = np.column_stack([r.uniform(0, 30, (25, 2)), np.zeros(25)])
+    dbh = r.uniform(0.1, 0.5, 25)
+    m = s.se3_exp(np.array([3.0, -2, 0.5, 0, 0, 1.1]))
+    b = stems[3:] @ m[:3, :3].T + m[:3, 3] + r.normal(0, 0.01, (22, 3))
+    found, pairs = s.match_stem_maps(stems, b, dbh, dbh[3:])
+    assert np.abs(found - m).max() < 0.05 and len(pairs) >= 18
+    assert s.match_stem_maps(stems[:2], b[:1], dbh[:2], dbh[3:4])[0] is None
