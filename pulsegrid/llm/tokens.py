@@ -81,21 +81,12 @@ class Encoder:
         cut = [self.blocks(t) if t else [] for t in texts]
         if len(self.cache) > self.cache_blocks:
             self.cache.clear()
-        out: list = []
-        short = []
-        get = self.cache.get
-        for i, c in enumerate(cut):
-            try:
-                out.append(b"".join(map(get, c)))
-            except TypeError:  # a block that is not known yet
-                out.append(None)
-                short.append(i)
-        if short:
-            cache = self.cache
-            self._learn(list({b for i in short for b in cut[i] if b not in cache}))
-            for i in short:
-                out[i] = b"".join(map(cache.__getitem__, cut[i]))
-        return out
+        seen: set[str] = set()
+        for c in cut:
+            seen.update(c)
+        self._learn(list(seen.difference(self.cache)))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
 
 @lru_cache(maxsize=4)
