@@ -1,7 +1,8 @@
 """Spatial joins: radius, k nearest, and what is built on them.
 
-Both sides meet in cells whose side is the radius: one side stands once in its
-own cell, the other once in each cell around, and the distance decides.  That is
+Both sides meet in cells twice as wide as the radius: one side stands once in its
+own cell, the other once in each cell that its ball touches (at most two along
+an axis), and the distance decides.  That is
 an equi-join, which Spark shuffles, splits where it is skewed, and filters.
 Ties go to the smaller pid.
 """
@@ -13,21 +14,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import around, cell, finite
+from ..functions.cells import cell, finite
 from ..plans.scratch import cut
 
 AXES = ("x", "y", "z")
 
 
+def touched(df: DataFrame, keys: list[str], columns: list[str], size: float, radius: float) -> DataFrame:
+    """Each row once for every cell of a side ``size`` that its ball touches."""
+    for k, c in zip(keys, columns, strict=True):
+        # a little more than the radius, so that rounding never loses a point on the rim
+        reach = F.lit(radius * (1 + 1e-9)) + F.abs(c) * 1e-12
+        df = df.withColumn(k, F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))))
+    return df
+
+
+def _sides(queries: DataFrame, points: DataFrame, radius: float, dims: int, keep: tuple[str, ...]):
+    """Both sides in cells as wide as the ball: a query stands in at most two along each axis."""
+    axes = AXES[:dims]
+    keys, names = [f"_c{a}" for a in axes], [f"_q{a}" for a in axes]
+    q = queries.select(*keep, *[F.col(a).alias(n) for a, n in zip(axes, names, strict=True)])
+    p = points.withColumns({k: cell(a, 2 * radius) for k, a in zip(keys, axes, strict=True)})
+    d2 = sum(((F.col(a) - F.col(n)) * (F.col(a) - F.col(n)) for a, n in zip(axes, names, strict=True)), F.lit(0.0))
+    return touched(q, keys, names, 2 * radius, radius), p, keys, names, d2
+
+
 def radius_join(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """``points`` with the ``keep`` columns of every query within the radius, and ``d2``."""
-    axes = AXES[:dims]
-    keys = [f"_c{a}" for a in axes]
-    q = queries.select(*keep, *[F.col(a).alias(f"_q{a}") for a in axes]).withColumns({k: cell(f"_q{a}", radius) for k, a in zip(keys, axes, strict=True)})
-    p = points.withColumns({k: cell(a, radius) for k, a in zip(keys, axes, strict=True)})
-    d2 = sum(((F.col(a) - F.col(f"_q{a}")) * (F.col(a) - F.col(f"_q{a}")) for a in axes), F.lit(0.0))
-    both = p.join(around(q, keys), keys).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
-    return both.drop(*keys, *[f"_q{a}" for a in axes])
+    q, p, keys, names, d2 = _sides(queries, points, radius, dims, keep)
+    return p.join(q, keys).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop(*keys, *names)
 
 
 def count_within(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, id: str = "id") -> DataFrame:
@@ -46,8 +61,12 @@ def radius_outliers(points: DataFrame, radius: float, least: int = 4) -> DataFra
 
 def near_mask(points: DataFrame, targets: DataFrame, distance: float, dims: int = 3, invert: bool = False) -> DataFrame:
     """Points within a distance of any target, or the others."""
-    near = radius_join(points, targets.select(*AXES[:dims]).withColumn("_t", F.lit(1)), distance, dims, keep=("pid",))
-    return points.join(near.select("pid").distinct(), "pid", "left_anti" if invert else "left_semi")
+    q, p, keys, names, d2 = _sides(targets, points, distance, dims, ())
+    q = q.withColumnsRenamed({k: f"{k}2" for k in keys})
+    close = d2 <= distance * distance
+    for k in keys:
+        close = close & (F.col(k) == F.col(f"{k}2"))
+    return p.join(q, close, "left_anti" if invert else "left_semi").drop(*keys)
 
 
 def difference(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
