@@ -222,14 +222,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.5, rows
 
     Rows are matched by doc_id and text, so rows with one id keep their own texts.
     """
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = scan(keyed, threshold, rows, keep=("doc_id", "text_key")).filter("is_secret")
-    spans = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
-    spans = stage(spans.select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), "spans"), "secret-spans")
+    keyed = docs.withColumn("_secret_text", F.xxhash64("text"))
+    found = scan(keyed, threshold, rows, keep=("doc_id", "_secret_text")).filter("is_secret")
+    spans = found.groupBy("doc_id", "_secret_text").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_secret_spans"))
+    spans = stage(spans.withColumnsRenamed({"doc_id": "_secret_doc", "_secret_text": "_secret_key"}), "secret-spans")
     side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    both = keyed.join(side, keyed["doc_id"].eqNullSafe(F.col("span_doc")) & (keyed["text_key"] == F.col("span_key")), "left")
+    both = keyed.join(side, keyed["doc_id"].eqNullSafe(F.col("_secret_doc")) & (keyed["_secret_text"] == F.col("_secret_key")), "left")
     cut = F.aggregate(
-        "spans",
+        "_secret_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             (x["start"] + x["length"]).alias("at"),
@@ -237,7 +237,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.5, rows
         ),
     )
     clean = F.concat(cut["out"], F.substr("text", (cut["at"] + 1).cast("int"), F.length("text")))
-    both = both.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    both = both.withColumn("text", F.when(F.col("_secret_spans").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(F.col("_secret_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return both.select(*docs.columns)
