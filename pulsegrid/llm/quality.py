@@ -101,9 +101,8 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return out
 
 
-def divergence(counts: str, reference: Column) -> Column:
-    """Jensen-Shannon distance of counts from a reference in shares; null without counts."""
-    n = total(counts)
+def divergence(counts: str, n: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of counts, ``n`` in all, from a reference in shares; null without counts."""
 
     def term(x: Column, y: Column) -> Column:
         p = x / n
@@ -130,9 +129,10 @@ def judge(
     """
     measured = stage(measures(docs), "quality")
     refs = references(measured)
-    out = measured
+    # sums stand in columns of their own, or each bin would add them up again
+    out = measured.withColumns({"char_hist_n": total("char_hist"), "word_hist_n": total("word_hist")})
     for i, (name, counts) in enumerate((("char_distance", "char_hist"), ("word_distance", "word_hist"))):
-        each = [divergence(counts, F.lit(refs[k][i])) for k in sorted(refs)]
+        each = [divergence(counts, F.col(f"{counts}_n"), F.lit(refs[k][i])) for k in sorted(refs)]
         nearest = reduce(lambda a, b: F.least(a, b), each) if each else F.lit(None).cast("double")
         own = nearest
         for k, d in zip(sorted(refs), each, strict=True):
