@@ -432,7 +432,8 @@ def near_duplicates(
         .filter(estimate(bits, k, "sig_a", "sig_b") >= least)
         .select("a", "b")
     )
-    parents = stage(confirm(docs, stage(likely.distinct(), "dup-pairs"), width, percent), "dup-parents")
+    # one pair a document, so there is nothing to make distinct; that would keep Spark from splitting a hub's rows
+    parents = stage(confirm(docs, stage(likely, "dup-pairs"), width, percent), "dup-parents")
     labels = jump(parents.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label")))
 
     labelled = members.join(labels, "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("label"))
