@@ -23,7 +23,7 @@ BYTE_LEVEL = re.compile(f" ?{WORD}{END}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[
 #: Blocks of BPE that drops white space.
 WORD_LEVEL = re.compile(f"{WORD}{END}|[^ \\n\\t\\r]+")
 #: Distinct blocks that a worker remembers before it starts anew.
-CACHE_BLOCKS = 1_600_000
+CACHE_BLOCKS = 800_000
 #: New words that are encoded as one text.
 TOGETHER = 2048
 
