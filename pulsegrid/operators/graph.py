@@ -69,16 +69,16 @@ def clusters(points: DataFrame, radius: float, least: int = 1) -> DataFrame:
     return held.join(counts, "component").select("pid", F.when(F.col("n") >= least, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("cluster"))
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, reach: float = float("inf"), rounds: int = 1000) -> DataFrame:
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, reach: float = float("inf")) -> DataFrame:
     """``pid, dist, source`` from the nearest of many sources along weighted edges.
 
-    Every round relaxes the edges of the nodes that the last one improved; ties
-    go to the smaller source.
+    Every round relaxes the edges of the nodes that the last one improved, until
+    none is improved; ties go to the smaller source.
     """
     both = cut(edges.select("src", "dst", "cost").union(edges.select(F.col("dst"), F.col("src"), "cost")))
     best = cut(sources.select("pid", F.lit(0.0).alias("dist"), F.col("pid").alias("source")))
     front = best
-    for _ in range(rounds):
+    while True:
         step = front.join(both, front["pid"] == both["src"]).select(F.col("dst").alias("pid"), (F.col("dist") + F.col("cost")).alias("dist"), "source").filter(F.col("dist") <= reach)
         step = step.groupBy("pid").agg(F.min(F.struct("dist", "source")).alias("s")).select("pid", "s.*")
         old = best.select("pid", F.col("dist").alias("d0"), F.col("source").alias("s0"))

@@ -144,6 +144,12 @@ def clusters(spark, d):
     return graph.clusters(point_view(spark, d).filter("z > 29.0"), 1.0, 3)
 
 
+@query()
+def clusters_whole(spark, d):
+    """Clusters of every point; the SQL of ``clusters`` holds the upper ones alone."""
+    return graph.clusters(point_view(spark, d), 1.0, 3)
+
+
 @query(
     """WITH RECURSIVE v AS (SELECT row, col FROM (SELECT CAST(floor(y / 2.0) AS BIGINT) AS row, CAST(floor(x / 2.0) AS BIGINT) AS col, max(z) AS m FROM p GROUP BY 1, 2) WHERE m <= 26.0),
     r AS (SELECT row, col, row AS r0, col AS c0 FROM v UNION SELECT v.row, v.col, r.r0, r.c0 FROM r JOIN v ON abs(v.row - r.row) + abs(v.col - r.col) = 1),
@@ -157,8 +163,9 @@ def canopy_gaps(spark, d):
 
 @query()
 def shortest_paths(spark, d):
-    p = point_view(spark, d).filter("z > 28.5")
-    return graph.shortest_paths(p, graph.radius_graph(p, 1.5), p.filter("pid % 97 = 0").select("pid"), reach=20.0)
+    """Ways along near points from the ground to every point that they reach."""
+    p = point_view(spark, d)
+    return graph.shortest_paths(p, graph.radius_graph(p, 1.5), p.filter("classification = 2").select("pid"))
 
 
 # --- polygons ---------------------------------------------------------------
@@ -299,6 +306,14 @@ def scan_ids(spark, d):
     return canopy.scan_ids(point_view(spark, d), o).select("pid", "scan_id")
 
 
+@query()
+def scan_ids_whole(spark, d):
+    """The nearest of all origins; the SQL of ``scan_ids`` holds five alone."""
+    o = centres(spark, d).select(F.col("id").alias("pid"), "x", "y", F.lit(2.0).alias("z"))
+    q = point_view(spark, d).select(F.col("pid").alias("id"), "x", "y", "z")
+    return neighbours.nearest(q, o, 8.0, 200.0).select(F.col("id").alias("pid"), F.col("pid").alias("scan_id"))
+
+
 PLOT_TREES = "SELECT id AS tree_id, abs(value) / 21000.0::DOUBLE AS dbh, abs(value) / 310.0::DOUBLE AS height FROM centres"
 
 
@@ -368,8 +383,7 @@ def tree_contacts(spark, d):
 
 @query()
 def leaf_or_wood(spark, d):
-    p = point_view(spark, d).filter("tree_id < 10")
-    return canopy.leaf_or_wood(neighbours.shape(p, 8, 2.0, 100.0))
+    return canopy.leaf_or_wood(neighbours.shape(point_view(spark, d), 8, 2.0, 100.0))
 
 
 @query()
@@ -379,7 +393,7 @@ def leaf_angles(spark, d):
 
 @query()
 def top_down_trees(spark, d):
-    return trees.li_2012(point_view(spark, d).filter("z > 24"), tile=25.0, buffer=10.0)
+    return trees.li_2012(point_view(spark, d), tile=25.0, buffer=10.0)
 
 
 @query()
@@ -399,5 +413,5 @@ def icp_registration(spark, d):
 
     p = point_view(spark, d)
     m = translation(0.05, -0.03, 0.02) @ rotation_z(0.05, (50, 50, 0))
-    found, rmse, n = fit.icp(p, transform(p, m), 1.0, rounds=6)
+    found, rmse, n = fit.icp(p, transform(p, m), 1.0)
     return spark.createDataFrame([(i, j, float(v), rmse, n) for (i, j), v in np.ndenumerate(found)], "row int, col int, value double, rmse double, rounds int")

@@ -298,3 +298,23 @@ def test_poses():
     found, pairs = s.match_stem_maps(stems, b, dbh, dbh[3:])
     assert np.abs(found - m).max() < 0.05 and len(pairs) >= 18
     assert s.match_stem_maps(stems[:2], b[:1], dbh[:2], dbh[3:4])[0] is None
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_cover_every_point(spark):
+    import inspect
+
+    from pulsegrid.plans import catalog, views
+
+    q = catalog.queries()
+    p = views.points(spark, DATA).select("pid", "z", "classification").toPandas()
+    for name in ("leaf_or_wood", "shortest_paths", "clusters_whole", "scan_ids_whole"):
+        assert set(q[name](spark, DATA).toPandas()["pid"]) == set(p["pid"]), name  # two points share an id
+    paths = q["shortest_paths"](spark, DATA).toPandas()
+    assert set(paths.loc[paths["dist"] == 0, "pid"]) == set(p.loc[p["classification"] == 2, "pid"])
+    assert "rounds" not in inspect.signature(graph.shortest_paths).parameters
+    o = views.centres(spark, DATA).select("id", "x", "y").toPandas()
+    assert set(q["scan_ids_whole"](spark, DATA).toPandas()["scan_id"]) <= set(o["id"]) and len(o) > 5
+    low = p.loc[p["z"] < 24, "pid"]
+    assert set(q["top_down_trees"](spark, DATA).toPandas()["pid"]) & set(low)
+    assert q["icp_registration"](spark, DATA).first()["rounds"] < 30  # it stops where the residual stands still
