@@ -17,9 +17,12 @@ from .common import stage
 
 # The words, patterns and snippets of the scan.
 TELLING = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
-BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,16384}-----END [A-Z ]{0,24}PRIVATE KEY-----"
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}+[0-9])[A-Za-z0-9+/_=-]{16,}+"
-PATTERN = rf"{BLOCK}|(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?[^\s\"'`,;<>]{{8,}}+|{RUN}"
+#: What opens a key block; no other value runs into it.
+BEGIN = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY"
+#: A whole block, with headers, real or literal line ends, up to its END line; it holds no other run of five dashes.
+BLOCK = rf"{BEGIN}(?: BLOCK)?-----(?![^-]{{0,15}}-----END)(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
+RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,64}}+[0-9])(?:[A-Za-z0-9+/_=]|(?!{BEGIN})-){{16,}}+"
+PATTERN = rf"{BLOCK}|(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?(?:{BLOCK}|(?:[^\s\"'`,;<>-]|(?!{BEGIN})-){{8,}}+)|{RUN}"
 PREFIX = rf"^(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?"
 NEAR_GOOD = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
 NEAR_BAD = r"(?i)(commit|sha-?(1|256|512)?|md5|checksum|digest|hash|etag|uuid|guid|revision|build|version|isbn|order|phone|card|account|serial|integrity|example|placeholder|dummy)"
@@ -101,18 +104,18 @@ def starts(gaps: str, found: str) -> Column:
 
 def features(d: DataFrame) -> DataFrame:
     v, low = F.col("value"), F.lower("value")
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substr(v, F.lit(1), F.lit(256)), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     changes = F.regexp_count(kinds, F.lit("a(?=[^a])|B(?=[^B])|0(?=[^0])|[^aB0](?=[aB0])"))
     longest = F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), F.length))
     covered = F.length(v) - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), ""))
     number = {
         "length": F.length(v),
-        "distinct": F.size(F.array_distinct(F.split(F.substr(v, F.lit(1), F.lit(256)), ""))) / F.least(F.length(v), F.lit(256)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
         "digits": share(v, "[0-9]"),
         "uppers": share(v, "[A-Z]"),
         "vowels": share(low, "[aeiou]"),
         "hexes": share(low, "[0-9a-f]"),
-        "changes": changes / F.least(F.length(v), F.lit(256)),
+        "changes": changes / F.length(v),
         "longest_word": longest / F.length(v),
         "dictionary": covered / F.length(v),
         "slashes": share(v, "/"),

@@ -208,3 +208,28 @@ def test_secrets_are_told_from_hashes(spark, odd_docs, no_docs):
     assert clean[503].text == "é api_key: [SECRET], api_key: [SECRET]" and clean[501].text == text[501] and len(clean) == 125
     assert secrets.scan(no_docs).count() == 0
     assert secrets.redact(odd_docs).count() == odd_docs.count()
+
+
+def test_whole_private_keys_are_redacted(spark):
+    lines = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(600)]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    few, many = "\n".join(["abcdefghijKLMNOPqrstuvwxyz", *lines[:3]]), "\n".join(lines)
+    hard = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n" + few
+    literal = few.replace("\n", "\\n")
+    texts = [
+        ('private_key: "', f"{head}\n{few}\n{end}", '"\nend'),
+        ('{"private_key": "', f"-----BEGIN PRIVATE KEY-----\\n{literal}\\n-----END PRIVATE KEY-----", '\\n", "x": 1}'),
+        ("see ", f"{head}\n{hard}\n{end}", " end"),
+        ("secret=", f"{head}\n{hard}\n{end}", " end"),
+        ("see ", f"{head}\n{many}\n{end}", " end"),
+        ("SSH_HOST_KEY2=", f"{head}\n{few}\n{end}", " end"),
+        ("private_key=\\n", f"{head}\\n{literal}\\n{end}", " end"),
+        ("see ", f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2.0.22\n\n{few}\n-----END PGP PRIVATE KEY BLOCK-----", " end"),
+    ]
+    open_end = head + " well-known" * 50_000  # no end: no block, and no deep recursion
+    docs = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)] + [(99, open_end)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [f"{a}[SECRET]{b}" for a, _, b in texts] and got[99] == open_end
+    value = "aB3" * 200 + "!" * 400
+    (x,) = secrets.candidates(spark.createDataFrame([(1, f"token={value}")], "doc_id long, text string"), "doc_id").collect()
+    assert x.changes == pytest.approx(600 / 1000) and x.distinct == pytest.approx(4 / 1000)
