@@ -2,7 +2,9 @@
 
 A text is cut at white space that the tokenizer itself never merges across, and
 each distinct block is encoded once per worker, so the result equals encoding
-the whole text while frequent words cost one dictionary lookup.
+the whole text while frequent words cost one dictionary lookup.  Literals of
+added tokens such as ``<|endoftext|>`` get their own id, as the library does by
+default; what stands between them is cut by itself.
 """
 
 from __future__ import annotations
@@ -41,10 +43,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         if hasattr(t.model, "_resize_cache"):
             t.model._resize_cache(0)  # each word comes once; the library's own cache only costs
         self.blocks = (BYTE_LEVEL if byte_level else WORD_LEVEL).findall
+        added = t.get_added_tokens_decoder()
+        if any(a.normalized or a.single_word or a.lstrip or a.rstrip for a in added.values()):
+            raise ValueError("added tokens that are not plain literals")
+        self.added = {a.content: np.asarray([i], "<u4").tobytes() for i, a in added.items()}
+        literals = "|".join(re.escape(w) for w in sorted(self.added, key=lambda w: (-len(w), w)))
+        self.literals = re.compile(f"({literals})").split if literals else None
         self.plain = re.compile(f" ?{WORD}").fullmatch
         self.cache: dict[str, bytes] = {}
         self.cache_blocks = cache_blocks
@@ -77,10 +84,19 @@ class Encoder:
             for b, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[b] = np.asarray(e.ids, "<u4").tobytes()
 
+    def cut(self, text: str) -> list[str]:
+        if self.literals is None or not any(w in text for w in self.added):
+            return self.blocks(text)
+        out: list[str] = []
+        for i, part in enumerate(self.literals(text)):
+            out += [part] if i % 2 else self.blocks(part)
+        return out
+
     def encode_all(self, texts: list) -> list[bytes]:
-        cut = [self.blocks(t) if t else [] for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
         if len(self.cache) > self.cache_blocks:
             self.cache.clear()
+        self.cache.update(self.added)
         seen: set[str] = set()
         for c in cut:
             seen.update(c)

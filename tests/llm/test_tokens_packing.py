@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -13,6 +14,14 @@ from pulsegrid.llm.tokens import encoder, tokenizer_path
 FILES = {"word_bpe_49k.json": False, "byte_bpe_50k.json": True}
 
 
+@lru_cache
+def library(name):
+    """A tokenizer of its own, with the library's defaults."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
 def reference(name, text):
     return encoder(tokenizer_path(name), FILES[name]).tokenizer.encode(text or "", add_special_tokens=False).ids
 
@@ -90,3 +99,17 @@ def test_store_reads_back_in_order(spark, odd_docs, no_docs):
     assert sorted(map(tuple, rows), key=key) == want
     manifest, folder = token_store.store_tokens(no_docs)
     assert token_store.read_shards(manifest, folder).count() == 0
+
+
+@pytest.mark.parametrize("name", FILES)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "the", " ", "  ", "\n", "\t", "É", "é", "'s", "1", ".", "<", ">"]), max_size=16))
+@settings(max_examples=300, deadline=None)
+def test_added_tokens_as_the_library_has_them(name, parts):
+    text = "".join(parts)
+    got = np.frombuffer(encoder(tokenizer_path(name), FILES[name]).encode_all([text])[0], "<u4").tolist()
+    assert got == library(name).encode(text, add_special_tokens=False).ids
+
+
+def test_added_token_has_its_id():
+    got = encoder(tokenizer_path("word_bpe_49k.json"), False).encode_all(["a <|endoftext|> b"])[0]
+    assert np.frombuffer(got, "<u4").tolist() == [320, 49407, 321]
