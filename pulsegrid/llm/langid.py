@@ -17,7 +17,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,7 +126,9 @@ def train(rows: list[tuple[str, str, bool]], bits: int = 15, dim: int = 16, upda
     e = r.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype("f4")
     w, bias = np.zeros((dim, k), "f4"), np.zeros(k, "f4")
     data = [(*features(t, bits), langs.index(lang), c) for t, lang, c in rows]
-    fit = [x[:3] for x in data if not x[3] and len(x[0])] or [x[:3] for x in data if len(x[0])]
+    fitted = {x[2] for x in data if not x[3] and len(x[0])}
+    # a language that only calibration rows hold is learned from those
+    fit = [x[:3] for x in data if len(x[0]) and (not x[3] or x[2] not in fitted)]
     steps = max(updates, 3 * len(fit)) if fit else 0
     order = np.concatenate([r.permutation(len(fit)) for _ in range(-(-steps // len(fit)))])[:steps] if fit else []
     for step, i in enumerate(order):
@@ -165,25 +167,32 @@ def remainder(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % 4
 
 
-def sample(docs: DataFrame, per_lang: int = 800, max_chars: int = 20_000, max_langs: int = 64) -> list[tuple[str, str, bool]]:
-    """Labelled rows for training: about ``per_lang`` of each language, by hash.
+def sample(docs: DataFrame, per_lang: int = 800, max_chars: int = 20_000, all_chars: int = 1 << 30) -> list[tuple[str, str, bool]]:
+    """Labelled rows for training: about ``per_lang`` of every language, by hash.
 
-    The bound is a parameter: at most ``max_langs * per_lang`` rows of at most
-    ``max_chars`` characters reach the driver.  Rows whose remainder is 2 are
-    never read for training; those with 3 serve calibration.
+    The bounds are parameters: at most ``2 * per_lang`` rows of a language reach
+    the driver.  A text over ``max_chars`` characters lends a window of that
+    size, from a place by hash; with so many languages that ``per_lang`` such
+    windows of each would pass ``all_chars``, windows are shorter, and no
+    language is left out.  Rows whose remainder is 2 are never read for
+    training; those with 3 serve calibration.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 2) & (F.length("text") <= max_chars)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), place.alias("place")).filter(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 2)
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    langs = counts.count()
+    if not langs:
         return []
-    keep = F.lit(False)
-    # a share of the hash range that holds per_lang rows of each language
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    for c in counts:
-        keep = keep | ((F.col("lang") == c["lang"]) & (place < int((1 << 30) * min(1.0, per_lang / c["count"]))))
-    got = rows.filter(keep).select("doc_id", "text", "lang", remainder().alias("r")).limit(2 * per_lang * len(counts)).collect()
+    size = max(1, min(max_chars, all_chars // (per_lang * langs)))
+    # a share of the hash range that holds per_lang rows of each language, and one row at least
+    most = F.greatest((F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")) * float(1 << 30)).cast("long"), F.col("first") + 1)
+    start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - size + 1, F.lit(1)).cast("long")).cast("int") + 1
+    got = rows.join(F.broadcast(counts.select("lang", most.alias("most"))), "lang").filter(F.col("place") < F.col("most"))
+    got = got.select("doc_id", F.substr("text", start, F.lit(size)).alias("text"), "lang", remainder().alias("r"), "place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
+    got = got.withColumn("rank", rank).filter(F.col("rank") <= 2 * per_lang).collect()
     return [(x.text, x.lang, x.r == 3) for x in sorted(got, key=lambda x: (x.doc_id, x.lang, x.text))]
 
 
@@ -213,5 +222,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns.
+
+    A model without languages can't tell: every text with a letter is kept then.
+    """
+    if not model.langs:
+        return keep_rows(docs, lambda rows, _: [has_letter(x) for x in rows], None)
     return keep_rows(docs, lambda rows, m: [not x for x in m.predict(rows)[2]], model)

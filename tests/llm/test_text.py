@@ -233,3 +233,26 @@ def test_whole_private_keys_are_redacted(spark):
     value = "aB3" * 200 + "!" * 400
     (x,) = secrets.candidates(spark.createDataFrame([(1, f"token={value}")], "doc_id long, text string"), "doc_id").collect()
     assert x.changes == pytest.approx(600 / 1000) and x.distinct == pytest.approx(4 / 1000)
+
+
+def test_every_language_is_sampled(spark):
+    r = random.Random(12)
+    rows = [(i, prose("aa", r, 8), f"l{i % 70:02}") for i in range(1400)]
+    rows += [(2000 + i, prose("bb", r, 9000), "long") for i in range(12)]
+    rows += [(9000, "one row again and again", "copies")] * 3000  # an id that training may read
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, per_lang=20)
+    n = collections.Counter(lang for _, lang, _ in got)
+    assert set(n) == {lang for _, _, lang in rows} and max(n.values()) <= 40
+    texts = {i: t for i, t, _ in rows}
+    long = [t for t, lang, _ in got if lang == "long"]
+    assert len(long) > 4 and all(len(t) == 20_000 and any(t in x for x in texts.values()) for t in long)
+    assert max(len(t) for t, _, _ in langid.sample(docs, per_lang=20, all_chars=720_000)) == 500
+    only = langid.train([(prose("aa", r), "aa", False), (prose("bb", r), "bb", True), (prose("aa", r), "aa", True)], updates=500)
+    assert only.predict([prose("bb", r)])[0] == ["bb"]
+
+
+def test_a_corpus_without_labels_is_kept(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs, langid.train(langid.sample(docs)))
+    assert [x.doc_id for x in kept.collect()] == [1] and kept.columns == docs.columns
