@@ -3,7 +3,8 @@
 A document's histograms over character classes and over common words are
 compared with those of its language by Jensen-Shannon distance (base 2, so from
 0 to 1).  The references are sums over all documents of a language that pass
-the base rules.  A histogram is judged only from a minimum of characters or
+the base rules.  Languages without a list of common words take those of their
+own documents.  A histogram is judged only from a minimum of characters or
 words on, since a short text strays by chance.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -27,6 +28,10 @@ WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 #: One character for each common word, from a range that texts' own words never reach here.
 CODES = [chr(0x4E00 + i) for i in range(len(WORDS))]
 CHAR_CLASSES = ("lower", "space", "upper", "digit", "other", "symbol", "punctuation")
+#: Common words of a language without a list, by corpus counts.
+OWN_WORDS = 24
+#: Languages without a list whose references may be sent to every executor (about 1 kB each).
+BROADCAST_LANGS = 10_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -34,6 +39,11 @@ def total(array: Column | str) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def unlisted() -> Column:
+    """Whether a row has a language, but one without a list of common words."""
+    return F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS))
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """Base counts and both histograms for each row of ``docs(doc_id, text, lang)``."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -50,6 +60,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "words",
+        F.when(unlisted(), F.transform("words", lambda w: F.lower(w))).alias("own_words"),
         F.size("words").cast("long").alias("n_words"),
         F.array([F.length(c) for c in ("t", "r1", "r2", "r3", "r4", "r5")]).alias("left"),
         F.regexp_count("r5", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -61,6 +72,7 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id",
         "lang",
+        "own_words",
         "n_words",
         (F.col("left")[0] - F.col("left")[1] + F.col("left")[2]).cast("long").alias("word_chars"),
         "n_symbols",
@@ -101,6 +113,34 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return out
 
 
+def own_references(rows: DataFrame) -> DataFrame:
+    """``ref_lang, char_ref, own_names, word_ref`` for each language of rows without a listed one."""
+    good = rows.filter(~base_failed())
+    sums = [F.sum(F.col("char_hist")[i]) for i in range(len(CHAR_CLASSES))]
+    chars = good.groupBy(F.col("lang").alias("ref_lang")).agg(F.array(*sums).alias("c"), F.sum("n_words").alias("n"))
+    words = good.select(F.col("lang").alias("ref_lang"), F.explode("own_words").alias("w")).groupBy("ref_lang", "w").count()
+    rank = F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("count"), "w"))
+    top = words.withColumn("rank", rank).filter(F.col("rank") <= OWN_WORDS).groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "w", "count"))).alias("top"))
+    both = chars.join(top, "ref_lang").withColumn("all", F.greatest(total("c"), F.lit(1)))
+    return both.select(
+        "ref_lang",
+        F.transform("c", lambda x: x / F.col("all")).alias("char_ref"),
+        F.col("top.w").alias("own_names"),
+        F.transform(F.concat(F.col("top.count"), F.array(F.col("n") - total("top.count"))), lambda x: x / F.col("n")).alias("word_ref"),
+    )
+
+
+def own_distances(rows: DataFrame) -> DataFrame:
+    """Rows without a listed language with both distances from their language's own references."""
+    refs = stage(own_references(rows), "quality-own")
+    side = F.broadcast(refs) if refs.count() <= BROADCAST_LANGS else refs
+    d = rows.join(side, F.col("lang") == F.col("ref_lang"), "left")
+    counts = F.transform("own_names", lambda name: F.size(F.filter("own_words", lambda w: w == name)).cast("long"))
+    d = d.withColumn("own_counts", counts).withColumn("own_hist", F.concat("own_counts", F.array(F.col("n_words") - total("own_counts"))))
+    out = {"char_distance": divergence("char_hist", F.col("char_hist_n"), F.col("char_ref")), "word_distance": divergence("own_hist", F.col("n_words"), F.col("word_ref"))}
+    return d.withColumns(out).select(*rows.columns, *out)
+
+
 def divergence(counts: str, n: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of counts, ``n`` in all, from a reference in shares; null without counts."""
 
@@ -122,15 +162,17 @@ def judge(
 ) -> DataFrame:
     """Base counts, distances and verdict for each row of ``docs``.
 
-    A document is held against its own language, or, where that has no
-    reference, against the nearest one.  Null and empty texts have no words and
+    A document is held against its own language.  One without a language shows
+    its distances from the nearest listed one, but they don't reject it.  Null and empty texts have no words and
     fail; rows repeat as they do in ``docs``; no rows give no rows; columns
     other than ``doc_id, text, lang`` are ignored.
     """
     measured = stage(measures(docs), "quality")
     refs = references(measured)
     # sums stand in columns of their own, or each bin would add them up again
-    out = measured.withColumns({"char_hist_n": total("char_hist"), "word_hist_n": total("word_hist")})
+    measured = measured.withColumns({"char_hist_n": total("char_hist"), "word_hist_n": total("word_hist")})
+    others = measured.filter(unlisted())
+    out = measured.filter(~unlisted())
     for i, (name, counts) in enumerate((("char_distance", "char_hist"), ("word_distance", "word_hist"))):
         each = [divergence(counts, F.col(f"{counts}_n"), F.lit(refs[k][i])) for k in sorted(refs)]
         nearest = reduce(lambda a, b: F.least(a, b), each) if each else F.lit(None).cast("double")
@@ -138,9 +180,11 @@ def judge(
         for k, d in zip(sorted(refs), each, strict=True):
             own = F.when(F.col("lang") == k, d).otherwise(own)
         out = out.withColumn(name, own)
-    strange = (F.col("word_chars") >= min_chars) & (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.col("n_words") >= min_words) & (
+    if not others.isEmpty():
+        out = out.unionByName(own_distances(others))
+    strange = F.col("lang").isNotNull() & ((F.col("word_chars") >= min_chars) & (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.col("n_words") >= min_words) & (
         F.coalesce("word_distance", F.lit(0.0)) > max_word_distance
-    )
+    ))
     return out.select(
         "doc_id",
         "n_words",

@@ -256,3 +256,17 @@ def test_a_corpus_without_labels_is_kept(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
     kept = langid.keep_identified(docs, langid.train(langid.sample(docs)))
     assert [x.doc_id for x in kept.collect()] == [1] and kept.columns == docs.columns
+
+
+def test_quality_takes_each_language_by_its_own(spark):
+    r = random.Random(14)
+    greek = "και το να του η της με που την από για είναι σπίτι δέντρο ποτάμι πέτρα χειμώνας ήσυχος φως χαρτί".split()
+    english = "the of and to in is was that for it with as house tree river stone winter quiet light paper".split()
+    rows = [(i, " ".join(r.choice(english) for _ in range(150)), "en") for i in range(30)]
+    rows += [(100 + i, " ".join(r.choice(greek) for _ in range(150)), "el") for i in range(30)]
+    rows += [(200, rows[30][1], None), (300, " ".join(r.choice(["$$$%%%", "&&&##", "@@@!!", "==++"]) + str(r.randint(0, 9999)) for _ in range(150)), "el")]
+    rows += [(400, rows[0][1], "el"), (401, "short", "xx")]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and all(got[i].kept for i in (*range(30), *range(100, 130), 200))
+    assert not any(got[i].kept or got[i].base_failed for i in (300, 400)) and not got[401].kept
+    assert max(got[100 + i].word_distance for i in range(30)) < 0.345
