@@ -392,7 +392,7 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 5,
     bits: int = 4,
-    margin: float = 4.0,
+    margin: float = 5.0,
     block: int = 512,
     asked: int = 128,
 ) -> DataFrame:

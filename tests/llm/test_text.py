@@ -270,3 +270,14 @@ def test_quality_takes_each_language_by_its_own(spark):
     assert len(got) == len(rows) and all(got[i].kept for i in (*range(30), *range(100, 130), 200))
     assert not any(got[i].kept or got[i].base_failed for i in (300, 400)) and not got[401].kept
     assert max(got[100 + i].word_distance for i in range(30)) < 0.345
+
+
+def test_sift_misses_no_more_than_the_bands():
+    import inspect
+    import math
+
+    margin = inspect.signature(neardup.near_duplicates).parameters["margin"].default
+    k, agree = 160, 0.8 + 0.2 / 16
+    most = k * (1 - agree) + margin * math.sqrt(agree * (1 - agree) * k)
+    tail = sum(math.comb(k, i) * (1 - agree) ** i * agree ** (k - i) for i in range(math.floor(most) + 1, k + 1))
+    assert tail <= (1 - 0.8**5) ** 32 * 2
