@@ -103,7 +103,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, start: float, limit: floa
 
 
 def statistical_outliers(points: DataFrame, k: int = 8, ratio: float = 2.0, start: float = 1.0, limit: float = 1e3) -> DataFrame:
-    """Points with their mean distance to k neighbours and ``keep``."""
+    """Points with their mean distance to k neighbours and ``keep``; not kept without neighbours within the limit."""
     n = points.count()
     if n <= k:
         return points.withColumns({"mean_distance": F.lit(None).cast("double"), "keep": F.lit(True)})
@@ -113,7 +113,7 @@ def statistical_outliers(points: DataFrame, k: int = 8, ratio: float = 2.0, star
     mean = cut(mean.groupBy("id").agg(F.avg(F.sqrt("d2")).alias("mean_distance")))
     s = mean.agg(F.avg("mean_distance"), F.stddev_pop("mean_distance")).first()
     most = (s[0] or 0.0) + ratio * (s[1] or 0.0)
-    return points.join(mean.withColumnRenamed("id", "pid"), "pid").withColumn("keep", F.col("mean_distance") <= most)
+    return points.join(mean.withColumnRenamed("id", "pid"), "pid", "left").withColumn("keep", F.coalesce(F.col("mean_distance") <= most, F.lit(False)))
 
 
 def nearest(queries: DataFrame, points: DataFrame, start: float, limit: float, dims: int = 3) -> DataFrame:

@@ -318,3 +318,9 @@ def test_queries_cover_every_point(spark):
     low = p.loc[p["z"] < 24, "pid"]
     assert set(q["top_down_trees"](spark, DATA).toPandas()["pid"]) & set(low)
     assert q["icp_registration"](spark, DATA).first()["rounds"] < 30  # it stops where the residual stands still
+
+
+def test_lonely_points_are_outliers(spark):
+    rows = [(i, i * 0.1, 0.0, 0.0) for i in range(12)] + [(99, 500.0, 0.0, 0.0)]
+    got = {r.pid: r for r in neighbours.statistical_outliers(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 3, 3.0, limit=10.0).collect()}
+    assert len(got) == 13 and got[99].keep is False and got[99].mean_distance is None and got[5].keep
