@@ -3,13 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Holds the folder of a local session whose checkpoint folder is unset.
+LOCAL = "spark.pulsegrid.cuts"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session (tests, a laptop) may leave it unset; a temporary
+    folder takes its place there.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get(LOCAL, "")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+        spark.conf.set(LOCAL, root)
+    return f"{root.rstrip('/')}/cuts-{sc.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; only where no folder is set (tests) a temporary one is taken."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
-    return df.checkpoint()
+    """Write a table to the shared folder and read it again.
+
+    What is read has the sizes of its files, not estimates multiplied through
+    every join before it, so loops that cut each round keep small plans and
+    sound statistics; a lost executor costs a read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
