@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder, tokenizer_path
+from .tokens import SLICE_BYTES, encoder, tokenizer_path
 
 PIECE = T.StructType(
     [
@@ -151,7 +151,7 @@ def pack(
         end = end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, slack, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1).to_pylist()), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import new_folder, stage
-from .tokens import encoder, tokenizer_path
+from .tokens import SLICE_BYTES, encoder, tokenizer_path
 
 MAGIC = b"PGWM0001"
 BLOCK = 512
@@ -201,7 +201,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
             return row
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
             for i in range(0, batch.num_rows, step):
                 rows = batch.slice(i, step)
                 for doc, x in zip(rows.column(0).to_pylist(), enc.encode_all(rows.column(1).to_pylist()), strict=True):

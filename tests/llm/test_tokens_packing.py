@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pulsegrid.llm import packing, token_store
-from pulsegrid.llm.tokens import encoder, tokenizer_path
+from pulsegrid.llm.tokens import Encoder, encoder, tokenizer_path
 
 FILES = {"word_bpe_49k.json": False, "byte_bpe_50k.json": True}
 
@@ -23,7 +23,7 @@ def library(name):
 
 
 def reference(name, text):
-    return encoder(tokenizer_path(name), FILES[name]).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -34,6 +34,26 @@ def test_blocks_encode_as_whole_texts(name, text):
     assert np.frombuffer(got, "<u4").tolist() == reference(name, text)
 
 
+@pytest.mark.parametrize("name", FILES)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("abcXYZ éÉßÿ×÷'s.,!?-##\n\t\r\x0b\x1c\x85\xa0\u2003 12\u0301…日"), max_size=40), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_many_texts_at_once(name, texts):
+    texts = [*texts, None, ""]
+    got = encoder(tokenizer_path(name), FILES[name]).encode_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference(name, t) for t in texts]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_cache_may_start_anew(name):
+    e = Encoder(tokenizer_path(name), FILES[name], cache_blocks=3)
+    assert e.direct
+    texts = ["one two three four " + "x" * 5000, "five six seven <|endoftext|> " + "ab." * 900, "one more"]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(e.encode_all([t])[0], "<u4").tolist() == reference(name, t)
+    assert max(map(len, e.cache)) <= 256
+
+
 def test_packing_keeps_every_id(spark, odd_docs):
     rows = packing.pack(odd_docs, with_ids=True).collect()
     for doc in odd_docs.select("doc_id", "text").distinct().collect():
