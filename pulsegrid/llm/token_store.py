@@ -135,18 +135,39 @@ class Shard:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _find(self, plane: tuple[int, int, int], bit: int, nth: int) -> int:
+        """Place of the bit number ``nth`` (from 0) of its kind in a plane: its block by the ranks, then in the block."""
+
+        def before(block: int) -> int:
+            (ones,) = struct.unpack("<I", self.read_at(plane[1] + 4 * block, 4))
+            return ones if bit else block * BLOCK - ones
+
+        lo, hi = 0, self.blocks - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if before(mid) <= nth:
+                lo = mid
+            else:
+                hi = mid - 1
+        bits = np.unpackbits(np.frombuffer(self.read_at(plane[2] + lo * BLOCK // 8, BLOCK // 8), "u1"), bitorder="little")
+        return lo * BLOCK + int(np.flatnonzero(bits == bit)[nth - before(lo)])
+
     def select(self, token: int, nth: int) -> int:
         """Place of the occurrence number ``nth`` (from 0); -1 if there are fewer."""
-        if not 0 <= nth < self.count(token):
+        if nth < 0 or token < 0 or token >> self.planes:
             return -1
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.rank(token, mid + 1) > nth:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        lo, hi, way = 0, self.n, []
+        for p in range(self.planes):
+            plane, bit = self._plane(p), token >> (self.planes - 1 - p) & 1
+            a, b = self._rank(plane, lo)[0], self._rank(plane, hi)[0]
+            lo, hi = (plane[0] + a, plane[0] + b) if bit else (lo - a, hi - b)
+            way.append((plane, bit))
+        if lo + nth >= hi:
+            return -1
+        at = lo + nth  # where the lowest plane's division put it; up again, plane by plane
+        for plane, bit in reversed(way):
+            at = self._find(plane, bit, at - plane[0] if bit else at)
+        return at
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
@@ -214,10 +235,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         if ids:
             yield flush()
 
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
     ordered = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .withColumn("place", F.xxhash64("text"))  # equal or null ids are dealt over tasks too
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order, "text")
     )
     return ordered.mapInArrow(run, MANIFEST)
 
@@ -235,9 +258,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with fs.open_input_file(row["path"]) as f:
-                    shard = Shard.of(f.read())
-                docs, sizes = shard.docs()
-                data = shard.decode().tobytes()
+                    shard = Shard(lambda at, size, f=f: (f.seek(at), f.read(size))[1])
+                    docs, sizes = shard.docs()
+                    data = shard.decode().tobytes()
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 crc = [zlib.crc32(data[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -268,7 +291,7 @@ def store_tokens(
     """Write the shards of ``docs`` and return their manifest and folder.
 
     A null or empty text is the end id alone.  Null ids come first, rows with
-    equal ids follow each other by text; no rows give no files.  A document is
+    equal ids follow each other by a hash of their text; no rows give no files.  A document is
     never divided, so a file holds ``shard_tokens`` and at most one document.
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
