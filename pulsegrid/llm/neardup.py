@@ -9,11 +9,15 @@ sets form a class of which the smallest doc_id goes on.  Then:
    which it shares most buckets is its candidate.  The signatures' estimate
    sorts out chance meetings, the texts confirm; confirmed candidates give each
    document one parent, and trees of these give labels.
-2. Buckets that still hold several labels are compared in blocks of bounded
-   size, on signatures only, and give pairs of labels that may be linked.
-3. For each such pair the documents of the smaller label are held against those
-   of the larger one, again in blocks: what the estimate does not rule out is
-   confirmed on the texts, likeliest first, until the pair has a link.
+2. For labels that meet in a bucket whose smallest document has another one,
+   the likeliest such pair of documents is confirmed too.
+3. In buckets that still hold several labels, the documents outside the largest
+   label are compared with all, in blocks of bounded size, on ids and signatures
+   only.  Documents of the largest label are never compared with each other.
+   For each pair of labels a few candidates come out, and their texts confirm.
+4. Pairs of labels with more candidates than those, and no link yet, are held
+   against each other on the texts, in blocks, likeliest first, until the pair
+   has a link.
 
 So no link between different labels is lost, while pairs of documents are never
 made as rows.  Documents that share no bucket are missed: with the default 32
@@ -175,35 +179,54 @@ def estimate(bits: int, k: int, a: str, b: str) -> Column:
     return ((1 - diff / F.lit(float(k))) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def needed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the documents in the pairs, written once for both joins."""
-    ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "dup-ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(side, "doc_id", "left_semi"), "dup-texts")
+#: Roles of documents in pairs that may be sent to every executor (some 60 bytes each).
+BROADCAST_ROLES = 500_000
+#: Documents that are held against one copy of another's text.
+CHUNK = 256
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids(doc, ...)`` with the texts of the documents; a few ids go to the texts, many meet them by a shuffle."""
+    side = F.broadcast(ids) if ids.count() <= most else ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(side, "doc")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    texts = needed_texts(docs, pairs)
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "text_a", "b", "text_b")
+    """Pairs ``(a, b)`` whose full sets have 100 * intersection >= percent * union.
+
+    The text of ``a`` stands once for each ``CHUNK`` of its partners, not once
+    for each partner, and a much asked ``a`` is dealt over many tasks.
+    """
+    asked = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = pairs.join(asked, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
+    dealt = stage(dealt, "dup-dealt")
+    roles = dealt.select(F.col("b").alias("doc"), "a", "chunk", F.lit(True).alias("partner")).union(dealt.select("a", "a", "chunk", F.lit(False)).distinct())
+    roles = stage(roles, "dup-roles")
+    rows = texts_of(docs, roles, BROADCAST_ROLES).select("a", "chunk", "partner", "doc", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "partner")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches):
-        last, last_set = object(), set()
+        held, own = None, []
         for batch in batches:
-            out = []
-            for a, x, b, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if x is not last:
-                    last, last_set = x, shingle_set(x, width)
-                other = shingle_set(y, width)
-                common = len(last_set & other)
-                if common and 100 * common >= percent * (len(last_set) + len(other) - common):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_pydict({"a": [p[0] for p in out], "b": [p[1] for p in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            out: dict[str, list] = {"a": [], "b": []}
+            a, chunk, partner, doc, text = batch.columns
+            for i in range(batch.num_rows):
+                key = (a[i].as_py(), chunk[i].as_py())
+                other = shingle_set(text[i].as_py(), width)
+                if not partner[i].as_py():  # rows that share a doc_id are one document with the links of all
+                    own = [*own, other] if key == held else [other]
+                    held = key
+                elif any(alike(x, other, percent) for x in own):
+                    out["a"].append(key[0])
+                    out["b"].append(doc[i].as_py())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return both.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def alike(x: set, y: set, percent: int) -> bool:
+    common = len(x & y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def jump(labels: DataFrame) -> DataFrame:
@@ -274,35 +297,83 @@ def differing(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 
 LABEL_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+DOC_PAIR = T.StructType([T.StructField("diff", T.LongType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
+SLOT = T.StructType([*LABEL_PAIR, T.StructField("slot", T.LongType()), *[T.StructField(f"{k}_{f.name}", f.dataType) for k in ("lo", "hi") for f in DOC_PAIR]])
 
 
-def label_pairs(rows: DataFrame, bits: int, most: float) -> DataFrame:
-    """Labels with documents in one bucket whose signatures differ in ``most`` minima or fewer.
+def label_candidates(rows: DataFrame, bits: int, most: float, slots: int) -> DataFrame:
+    """Candidates ``a, b, slot, lo, hi`` of pairs of labels: documents of both whose signatures differ in ``most`` minima or fewer.
 
-    ``rows(bucket, i, j, block, doc, label, sig)`` stand together by (bucket, i, j),
-    a bounded number for each.
+    ``rows(bucket, i, j, asks, doc, label, sig)`` stand together by (bucket, i, j),
+    a bounded number for each; those that ask are compared with the others.  Each
+    pair of documents falls into one of a few slots, and of a slot the likeliest
+    and the least likely are kept: where they differ there may be more.
     """
+    names = SLOT.names
 
     def run(batches):
-        out: set[tuple[int, int]] = set()
         for t in by_group(batches, ("bucket", "i", "j")):
-            label = t.column("label").to_numpy()
-            if (label == label[0]).all():
-                continue
-            block, sig = t.column("block").to_numpy(), signatures(t)
-            one = np.flatnonzero(block == t.column("i")[0].as_py())
-            two = np.flatnonzero(block == t.column("j")[0].as_py())
+            asks, doc, label, sig = t.column("asks").to_numpy(), t.column("doc").to_numpy(), t.column("label").to_numpy(), signatures(t)
+            one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+            found = []
             for at in range(0, len(one), 64):
                 s = one[at : at + 64]
-                u, v = np.nonzero((differing(sig[s], sig[two], bits) <= most) & (label[s][:, None] != label[two][None, :]))
-                a, b = label[s[u]], label[two[v]]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_pydict({"a": [p[0] for p in out], "b": [p[1] for p in out]})
-                out.clear()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+                diff = differing(sig[s], sig[two], bits)
+                u, v = np.nonzero((diff <= most) & (label[s][:, None] != label[two][None, :]))
+                p, q = s[u], two[v]
+                turned = label[p] > label[q]
+                p, q = np.where(turned, q, p), np.where(turned, p, q)
+                x, y = doc[p], doc[q]
+                slot = (mix(x.view("u8") * np.uint64(3) ^ y.view("u8")) % np.uint64(slots)).astype("i8")
+                found.append(np.stack([label[p], label[q], slot, diff[u, v], x, y]))
+            if not found or not sum(f.shape[1] for f in found):
+                continue
+            m = np.concatenate(found, axis=1)
+            m = m[:, np.lexsort(m[::-1])]
+            edge = np.flatnonzero((np.diff(m[:3], axis=1) != 0).any(axis=0))
+            lo, hi = m[:, np.concatenate([[0], edge + 1])], m[:, np.concatenate([edge, [m.shape[1] - 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*lo, *hi[3:])], names=names)
 
-    return rows.mapInArrow(run, LABEL_PAIR).distinct()
+    def pair(k: str) -> Column:
+        return F.struct(*[F.col(f"{k}_{f}").alias(f) for f in DOC_PAIR.names])
+
+    return rows.mapInArrow(run, SLOT).groupBy("a", "b", "slot").agg(F.min(pair("lo")).alias("lo"), F.max(pair("hi")).alias("hi"))
+
+
+def compared(labelled: DataFrame, sig: DataFrame, block: int) -> DataFrame:
+    """Rows of ``label_candidates`` for the buckets of ``labelled(bucket, doc, label)`` that hold several labels.
+
+    In each bucket the documents outside its largest label ask all of it, in
+    blocks of both: a document stands once for each block of the other side.
+    """
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"))
+    rest = F.col("n") - F.col("top.n")
+    mixed = whole.filter("labels > 1").select("bucket", (-F.col("top.l")).alias("largest"), F.ceil(rest / block).alias("askers"), F.ceil(F.col("n") / block).alias("blocks"))
+    d = labelled.join(stage(mixed, "dup-mixed"), "bucket")
+    place = F.xxhash64("doc")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    asking = d.filter("label <> largest").select("bucket", F.pmod(place, "askers").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "doc", "label")
+    asked = d.select("bucket", every("askers").alias("i"), F.pmod(place, "blocks").alias("j"), F.lit(False).alias("asks"), "doc", "label")
+    rows = asking.unionByName(asked).join(sig.withColumnRenamed("doc_id", "doc"), "doc")
+    return rows.select("bucket", "i", "j", "asks", "doc", "label", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(doc, label)`` after the labels of ``links(a, b)`` have become one."""
+    roots = components(links).select(F.col("doc").alias("label"), F.col("label").alias("root"))
+    grown = labels.join(roots, "label", "left").select("doc", F.coalesce("root", "label").alias("label"))
+    fresh = roots.filter("label <> root").select(F.col("label").alias("doc"), F.col("root").alias("label"))
+    return stage(grown.union(fresh.join(labels.select("doc"), "doc", "left_anti")), "dup-labels")
+
+
+def named(rows: DataFrame, labels: DataFrame, doc: str, name: str) -> DataFrame:
+    """Rows with the label of their column ``doc``; a document without one is its own."""
+    own = labels.select(F.col("doc").alias(doc), F.col("label").alias("_label"))
+    return rows.join(own, doc, "left").withColumn(name, F.coalesce("_label", doc)).drop("_label")
 
 
 def linked_labels(rows: DataFrame, bits: int, most: float, width: int, percent: int) -> DataFrame:
@@ -333,9 +404,7 @@ def linked_labels(rows: DataFrame, bits: int, most: float, width: int, percent:
                         continue
                     near = np.flatnonzero(row <= most)
                     for m in members[near[np.argsort(row[near], kind="stable")]].tolist():
-                        x, y = own(q), own(m)
-                        common = len(x & y)
-                        if common and 100 * common >= percent * (len(x) + len(y) - common):
+                        if alike(own(q), own(m), percent):
                             done.add(label[q])
                             break
             if done:
@@ -346,9 +415,9 @@ def linked_labels(rows: DataFrame, bits: int, most: float, width: int, percent:
 
 
 def join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, asked) -> DataFrame:
-    """Labels after the links between the labels of ``pairs`` are confirmed."""
-    named = stage(pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct(), "dup-named")
-    held = labels.join(named, "label", "left_semi").select("doc", "label").union(named.select(F.col("label").alias("doc"), "label"))
+    """Labels after every document of one label is held against those of the other, for ``pairs(a, b)`` of labels."""
+    every_label = stage(pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct(), "dup-named")
+    held = labels.join(every_label, "label", "left_semi").select("doc", "label").union(every_label.select(F.col("label").alias("doc"), "label"))
     held = stage(held, "dup-held")
     sizes = stage(held.groupBy("label").agg(F.count("*").alias("n")), "dup-sizes")
     a = sizes.select(F.col("label").alias("a"), F.col("n").alias("na"))
@@ -363,10 +432,8 @@ def join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, ask
     asking = turned.select("big", "label").join(bigs, "big").join(held, "label").select("big", "label", "doc", F.col("qbs").alias("own"), F.col("mbs").alias("many"), F.lit(True).alias("asks"))
     asked_of = bigs.withColumnRenamed("big", "label").join(held, "label").select(F.col("label").alias("big"), "label", "doc", F.col("mbs").alias("own"), F.col("qbs").alias("many"), F.lit(False).alias("asks"))
     ids = stage(asking.union(asked_of), "dup-asked")
-    need = stage(ids.select(F.col("doc").alias("doc_id")).distinct(), "dup-ids")
-    side = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(side, "doc_id", "left_semi")
-    texts = stage(texts, "dup-texts").withColumnRenamed("doc_id", "doc")
+    need = stage(ids.select("doc").distinct(), "dup-ids")
+    texts = stage(texts_of(docs, need), "dup-texts")
     rows = (
         ids.join(sig.withColumnRenamed("doc_id", "doc"), "doc")
         .join(texts, "doc")
@@ -376,13 +443,18 @@ def join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, ask
         .repartition("big", "qb", "mb")
         .sortWithinPartitions("big", "qb", "mb", "doc")
     )
-    joined = stage(linked_labels(rows, bits, most, width, percent), "dup-joined")
-    if joined.isEmpty():
+    links = stage(linked_labels(rows, bits, most, width, percent), "dup-joined")
+    return labels if links.isEmpty() else joined(labels, links)
+
+
+def linked(docs: DataFrame, labels: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Labels after the documents ``pairs(a, b)`` were held against each other."""
+    pairs = stage(pairs, "dup-pairs")
+    if pairs.isEmpty():
         return labels
-    roots = components(joined).select(F.col("doc").alias("label"), F.col("label").alias("root"))
-    grown = labels.join(roots, "label", "left").select("doc", F.coalesce("root", "label").alias("label"))
-    fresh = roots.filter("label <> root").select(F.col("label").alias("doc"), F.col("root").alias("label"))
-    return stage(grown.union(fresh.join(labels.select("doc"), "doc", "left_anti")), "dup-labels")
+    ends = named(named(confirm(docs, pairs, width, percent), labels, "a", "la"), labels, "b", "lb")
+    links = stage(ends.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "dup-links")
+    return labels if links.isEmpty() else joined(labels, links)
 
 
 def near_duplicates(
@@ -393,8 +465,9 @@ def near_duplicates(
     rows: int = 5,
     bits: int = 4,
     margin: float = 5.0,
-    block: int = 512,
+    block: int = 256,
     asked: int = 128,
+    slots: int = 4,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -432,27 +505,34 @@ def near_duplicates(
         .filter(estimate(bits, k, "sig_a", "sig_b") >= least)
         .select("a", "b")
     )
-    # one pair a document, so there is nothing to make distinct; that would keep Spark from splitting a hub's rows
     parents = stage(confirm(docs, stage(likely, "dup-pairs"), width, percent), "dup-parents")
     labels = jump(parents.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label")))
 
-    labelled = members.join(labels, "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("n"))
-    mixed = stage(mixed.filter("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "dup-mixed")
-    if not mixed.isEmpty():
-        placed = (
-            labelled.drop("n")
-            .join(mixed, "bucket")
-            .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-            .join(sig.withColumnRenamed("doc_id", "doc"), "doc")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "label", "sig")
-            .repartition("bucket", "i", "j")
-            .sortWithinPartitions("bucket", "i", "j", "doc")
-        )
-        pairs = stage(label_pairs(placed, bits, most), "dup-label-pairs")
-        if not pairs.isEmpty():
-            labels = join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, asked)
+    # labels that meet at the smallest document of a bucket: their likeliest pair
+    met = named(named(members.filter("doc <> hub").select("doc", "hub"), labels, "doc", "la"), labels, "hub", "lb").filter("la <> lb").distinct()
+    met = (
+        stage(met, "dup-met")
+        .join(sig.select(F.col("doc_id").alias("doc"), F.col("sig").alias("sig_b")), "doc")
+        .join(sig.select(F.col("doc_id").alias("hub"), F.col("sig").alias("sig_a")), "hub")
+        .withColumn("near", estimate(bits, k, "sig_a", "sig_b"))
+        .filter(F.col("near") >= least)
+        .groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+        .agg(F.max_by(F.struct("hub", "doc"), F.struct("near", (-F.col("doc")).alias("d"))).alias("m"))
+        .select(F.col("m.hub").alias("a"), F.col("m.doc").alias("b"))
+    )
+    labels = linked(docs, labels, met, width, percent)
+
+    labelled = stage(named(members.select("bucket", "doc"), labels, "doc", "label"), "dup-labelled")
+    found = stage(label_candidates(compared(labelled, sig, block), bits, most, slots), "dup-candidates")
+    if not found.isEmpty():
+        pairs = found.select(F.explode(F.array("lo", "hi")).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).distinct()
+        labels = linked(docs, labels, pairs, width, percent)
+        # what a slot holds beside its two ends was not tried
+        more = found.filter("lo <> hi").select(F.col("a").alias("doc"), F.col("b").alias("other")).distinct()
+        left = named(named(more, labels, "doc", "a"), labels, "other", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left = stage(left, "dup-left")
+        if not left.isEmpty():
+            labels = join_labels(docs, labels, left, sig, bits, most, width, percent, block, asked)
 
     moved = classes.join(labels.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("set_key", "n", F.coalesce("label", "rep").alias("component"), "rep")
     moved = stage(moved.filter("n > 1 or component <> rep").select("set_key", "component"), "dup-components")
