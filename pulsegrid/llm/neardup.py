@@ -9,12 +9,12 @@ sets form a class of which the smallest doc_id goes on.  Then:
    which it shares most buckets is its candidate.  The signatures' estimate
    sorts out chance meetings, the texts confirm; confirmed candidates give each
    document one parent, and trees of these give labels.
-2. For labels that meet in a bucket whose smallest document has another one,
-   the likeliest such pair of documents is confirmed too.
+2. Of the other buckets' smallest documents that still have another label, the
+   likeliest few are confirmed too.
 3. In buckets that still hold several labels, the documents outside the largest
    label are compared with all, in blocks of bounded size, on ids and signatures
    only.  Documents of the largest label are never compared with each other.
-   For each pair of labels a few candidates come out, and their texts confirm.
+   For each pair of labels two candidates come out, and their texts confirm.
 4. Pairs of labels with more candidates than those, and no link yet, are held
    against each other on the texts, in blocks, likeliest first, until the pair
    has a link.
@@ -35,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,46 +298,55 @@ def differing(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 LABEL_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 DOC_PAIR = T.StructType([T.StructField("diff", T.LongType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
-SLOT = T.StructType([*LABEL_PAIR, T.StructField("slot", T.LongType()), *[T.StructField(f"{k}_{f.name}", f.dataType) for k in ("lo", "hi") for f in DOC_PAIR]])
+ENDS = T.StructType([*LABEL_PAIR, *[T.StructField(f"{k}_{f.name}", f.dataType) for k in ("lo", "hi") for f in DOC_PAIR]])
+#: Pairs of labels that a task holds before it hands them on.
+HELD_PAIRS = 50_000
 
 
-def label_candidates(rows: DataFrame, bits: int, most: float, slots: int) -> DataFrame:
-    """Candidates ``a, b, slot, lo, hi`` of pairs of labels: documents of both whose signatures differ in ``most`` minima or fewer.
+def ends(found: list[np.ndarray]) -> np.ndarray:
+    """Columns ``a, b, lo (3), hi (3)``: the least and the greatest candidate of each pair of labels."""
+    m = np.concatenate(found, axis=1)
+    lo = m[:5, np.lexsort(m[4::-1])]
+    hi = m[[0, 1, 5, 6, 7]][:, np.lexsort(m[[7, 6, 5, 1, 0]])]
+    edge = np.flatnonzero((np.diff(lo[:2], axis=1) != 0).any(axis=0))
+    return np.concatenate([lo[:, np.concatenate([[0], edge + 1])], hi[2:, np.concatenate([edge, [m.shape[1] - 1]])]]).astype("i8")
+
+
+def label_candidates(rows: DataFrame, bits: int, most: float) -> DataFrame:
+    """Candidates ``a, b, lo, hi`` of pairs of labels: documents of both whose signatures differ in ``most`` minima or fewer.
 
     ``rows(bucket, i, j, asks, doc, label, sig)`` stand together by (bucket, i, j),
-    a bounded number for each; those that ask are compared with the others.  Each
-    pair of documents falls into one of a few slots, and of a slot the likeliest
-    and the least likely are kept: where they differ there may be more.
+    a bounded number for each; those that ask are compared with the others.  The
+    likeliest and the least likely are kept: where they differ there may be more.
     """
-    names = SLOT.names
 
     def run(batches):
+        held: list[np.ndarray] = []
         for t in by_group(batches, ("bucket", "i", "j")):
             asks, doc, label, sig = t.column("asks").to_numpy(), t.column("doc").to_numpy(), t.column("label").to_numpy(), signatures(t)
             one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
-            found = []
             for at in range(0, len(one), 64):
                 s = one[at : at + 64]
                 diff = differing(sig[s], sig[two], bits)
                 u, v = np.nonzero((diff <= most) & (label[s][:, None] != label[two][None, :]))
+                if not len(u):
+                    continue
                 p, q = s[u], two[v]
                 turned = label[p] > label[q]
                 p, q = np.where(turned, q, p), np.where(turned, p, q)
-                x, y = doc[p], doc[q]
-                slot = (mix(x.view("u8") * np.uint64(3) ^ y.view("u8")) % np.uint64(slots)).astype("i8")
-                found.append(np.stack([label[p], label[q], slot, diff[u, v], x, y]))
-            if not found or not sum(f.shape[1] for f in found):
-                continue
-            m = np.concatenate(found, axis=1)
-            m = m[:, np.lexsort(m[::-1])]
-            edge = np.flatnonzero((np.diff(m[:3], axis=1) != 0).any(axis=0))
-            lo, hi = m[:, np.concatenate([[0], edge + 1])], m[:, np.concatenate([edge, [m.shape[1] - 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*lo, *hi[3:])], names=names)
+                pair = np.stack([diff[u, v], doc[p], doc[q]])
+                held.append(ends([np.concatenate([[label[p], label[q]], pair, pair])]))
+            if sum(f.shape[1] for f in held) > HELD_PAIRS:
+                held = [ends(held)]
+                if held[0].shape[1] > HELD_PAIRS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=ENDS.names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends(held)], names=ENDS.names)
 
     def pair(k: str) -> Column:
         return F.struct(*[F.col(f"{k}_{f}").alias(f) for f in DOC_PAIR.names])
 
-    return rows.mapInArrow(run, SLOT).groupBy("a", "b", "slot").agg(F.min(pair("lo")).alias("lo"), F.max(pair("hi")).alias("hi"))
+    return rows.mapInArrow(run, ENDS).groupBy("a", "b").agg(F.min(pair("lo")).alias("lo"), F.max(pair("hi")).alias("hi"))
 
 
 def compared(labelled: DataFrame, sig: DataFrame, block: int) -> DataFrame:
@@ -467,7 +476,7 @@ def near_duplicates(
     margin: float = 5.0,
     block: int = 256,
     asked: int = 128,
-    slots: int = 4,
+    hubs_asked: int = 4,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -508,7 +517,7 @@ def near_duplicates(
     parents = stage(confirm(docs, stage(likely, "dup-pairs"), width, percent), "dup-parents")
     labels = jump(parents.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label")))
 
-    # labels that meet at the smallest document of a bucket: their likeliest pair
+    # smallest documents of a document's other buckets that have another label: the likeliest few
     met = named(named(members.filter("doc <> hub").select("doc", "hub"), labels, "doc", "la"), labels, "hub", "lb").filter("la <> lb").distinct()
     met = (
         stage(met, "dup-met")
@@ -516,18 +525,18 @@ def near_duplicates(
         .join(sig.select(F.col("doc_id").alias("hub"), F.col("sig").alias("sig_a")), "hub")
         .withColumn("near", estimate(bits, k, "sig_a", "sig_b"))
         .filter(F.col("near") >= least)
-        .groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
-        .agg(F.max_by(F.struct("hub", "doc"), F.struct("near", (-F.col("doc")).alias("d"))).alias("m"))
-        .select(F.col("m.hub").alias("a"), F.col("m.doc").alias("b"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("near"), "hub")))
+        .filter(F.col("rank") <= hubs_asked)  # the others are held against each other below
+        .select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     )
     labels = linked(docs, labels, met, width, percent)
 
     labelled = stage(named(members.select("bucket", "doc"), labels, "doc", "label"), "dup-labelled")
-    found = stage(label_candidates(compared(labelled, sig, block), bits, most, slots), "dup-candidates")
+    found = stage(label_candidates(compared(labelled, sig, block), bits, most), "dup-candidates")
     if not found.isEmpty():
         pairs = found.select(F.explode(F.array("lo", "hi")).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).distinct()
         labels = linked(docs, labels, pairs, width, percent)
-        # what a slot holds beside its two ends was not tried
+        # candidates between these two were not tried
         more = found.filter("lo <> hi").select(F.col("a").alias("doc"), F.col("b").alias("other")).distinct()
         left = named(named(more, labels, "doc", "a"), labels, "other", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left = stage(left, "dup-left")

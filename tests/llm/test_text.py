@@ -131,7 +131,7 @@ def test_near_duplicates_against_brute_force(spark, width, size):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("x"), "label": F.lit(1)}).repartition(5)
     want = brute_components(rows, width, 80)
     # small blocks, so that groups are divided
-    got = neardup.near_duplicates(docs, width=width, block=32, asked=8, slots=1).collect()
+    got = neardup.near_duplicates(docs, width=width, block=32, asked=8, hubs_asked=1).collect()
     assert len(got) == len(rows)
     for x in got:
         if x.doc_id is None:
