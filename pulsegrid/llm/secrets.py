@@ -21,7 +21,7 @@ TELLING = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?ke
 BEGIN = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY"
 #: A whole block, with headers, real or literal line ends, up to its END line; it holds no other run of five dashes.
 BLOCK = rf"{BEGIN}(?: BLOCK)?-----(?![^-]{{0,15}}-----END)(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
-RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,64}}+[0-9])(?:[A-Za-z0-9+/_=]|(?!{BEGIN})-){{16,}}+"
+RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?:[A-Za-z0-9+/_=]|(?!{BEGIN})-){{16,}}+"
 PATTERN = rf"{BLOCK}|(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?(?:{BLOCK}|(?:[^\s\"'`,;<>-]|(?!{BEGIN})-){{8,}}+)|{RUN}"
 PREFIX = rf"^(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?"
 NEAR_GOOD = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
@@ -42,6 +42,16 @@ SECRET_SNIPPETS = [
     ('"access_key" : "', "mixed40", '"'),
     ("token=", "hex32", "&page=1"),
     ('secret := "', "hex64", '"'),
+    ("client_secret=", "mixed24", ""),
+    ("DB_PASSWORD: ", "pass16", ""),
+    ('"apiKey": "', "mixed32", '",'),
+    ("export AUTH_KEY='", "hex48", "'"),
+    ("sk_live_", "mixed24", ""),
+    ("private_token: ", "mixed20", ""),
+    ("credential => `", "pass20", "`"),
+    ("passwd = ", "pass10", ";"),
+    ("the new secret is ", "mixed32", " for you"),
+    ("auth with key ", "hex32", ""),
 ]
 OTHER_SNIPPETS = [
     ("commit ", "hex40", ""),
@@ -56,6 +66,20 @@ OTHER_SNIPPETS = [
     ("token: ", "words", ""),
     ("file_", "snake", ".html"),
     ("checksum=", "hex40", ""),
+    ("", "digits16", ""),
+    ("and ", "digits18", ","),
+    ('etag: "', "hex32", '"'),
+    ("trace_id=", "hex32", ""),
+    ('integrity="sha384-', "mixed64", '"'),
+    ("data:image/png;base64,", "mixed48", ""),
+    ("api_key = ", "call", ""),
+    ("secret: ", "holder", ""),
+    ("token = ", "call", ";"),
+    ("tree/", "hex40", "/src"),
+    ("id ", "uuid", " of"),
+    ("revision ", "hex24", ""),
+    ("account ", "digits22", ""),
+    ("the ", "snake", " of"),
 ]
 FEATURES = [
     "length", "distinct", "digits", "uppers", "vowels", "hexes", "changes", "longest_word", "dictionary",
@@ -63,6 +87,10 @@ FEATURES = [
 ]
 
 
+#: Tasks that make and search the training texts.
+TASKS = 16
+
+
 def share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
@@ -131,16 +159,19 @@ def features(d: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, rows: int = 1200) -> DataFrame:
-    """Training texts ``id, text, planted, label`` from about ``rows`` documents, by hash.
+    """Training texts ``id, text, planted, label`` from ``rows`` documents with text, by hash.
 
     The bound is a parameter.  Each sampled text lends words for both sides of a
     snippet whose value comes from digests of the text, so nothing is random and
     every secret is different.
     """
-    n = docs.count()
+    filled = docs.filter(F.col("text") != "")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    base = docs.filter(F.col("text").isNotNull() & (place < int((1 << 30) * min(1.0, rows / max(1, n))))).select("doc_id", "text").limit(2 * rows)
-    base = base.select(F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), "text"), 256).alias("id"), F.substr("text", F.lit(1), F.lit(160)).alias("lead"))
+    most = int((1 << 30) * min(1.0, 2 * rows / max(1, filled.count())))
+    # twice as many as asked for pass the hash; the first of these are the same ones in every run
+    base = filled.select("doc_id", "text", place.alias("place")).filter(F.col("place") < most)
+    base = base.select("place", F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), "text"), 256).alias("id"), F.substr("text", F.lit(1), F.lit(160)).alias("lead"))
+    base = base.orderBy("place", "id").limit(rows).repartition(TASKS, "id")
     base = base.select("id", F.regexp_replace("lead", PATTERN, " ").alias("lead"))
 
     def value(kind: str, salt: str) -> Column:
@@ -157,8 +188,11 @@ def labelled(docs: DataFrame, rows: int = 1200) -> DataFrame:
             return F.concat(F.array_join(F.slice(words, 1, 3), "-"), F.lit("-value"))
         if kind == "snake":
             return F.concat(F.array_join(F.slice(words, 1, 3), "_"), F.lit("_version_"), F.substr(digits, F.lit(1), F.lit(2)))
-        if kind == "pass12":
-            return F.concat(F.substr(mixed, F.lit(1), F.lit(6)), F.lit("!"), F.substr(mixed, F.lit(9), F.lit(5)))
+        if kind == "call":
+            options = ['os.environ["SERVICE_TOKEN"]', "getenv(TOKEN_NAME)", "config.get_secret(name)", "${SERVICE_API_KEY}", "{{secrets.API_KEY}}", "generate_token(user)", "request.headers.get(token)"]
+            return F.get(F.lit(options), F.pmod(F.xxhash64(one), F.lit(len(options))).cast("int"))
+        if kind.startswith("pass"):
+            return F.concat(F.substr(mixed, F.lit(1), F.lit(int(kind[4:]) // 2)), F.lit("!"), F.substr(mixed, F.lit(20), F.lit(int(kind[4:]) - int(kind[4:]) // 2 - 1)))
         name, size = kind.rstrip("0123456789"), int(kind[len(kind.rstrip("0123456789")) :])
         return F.substr({"hex": one, "mixed": mixed, "upper": F.upper(mixed), "digits": digits}[name], F.lit(1), F.lit(size))
 
@@ -172,13 +206,16 @@ def labelled(docs: DataFrame, rows: int = 1200) -> DataFrame:
 
 
 def fit(docs: DataFrame, rows: int = 1200, trees: int = 24, depth: int = 8):
-    """The forest, or None if there are no documents to lend words."""
+    """The forest, or None if no document has text: then there is nothing to judge either."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     found = candidates(labelled(docs, rows), "planted", "label").filter(F.expr("contains(value, planted) or contains(planted, value)"))
     found = stage(found.select("label", *FEATURES), "secret-training")
-    if found.select("label").distinct().count() < 2:
+    kinds = found.select("label").distinct().count()
+    if kinds < 2:
+        if kinds or docs.filter(F.col("text") != "").head(1):
+            raise ValueError("no findings of both kinds to learn from")
         return None
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, labelCol="label", featuresCol="features", maxMemoryInMB=64)
