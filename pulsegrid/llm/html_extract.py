@@ -27,12 +27,16 @@ STOP_WORDS = {
     "es": "a al algo como con cuando de del desde donde el ella ellos en entre era es esta este esto ha hay hasta la las le les lo los más me mi muy nada ni no nos o para pero por porque qué que quien se ser si sin sobre son su sus también te todo tu un una uno y ya yo",
 }
 # Elements whose text never belongs to an article.
-OUT_TAGS = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe object svg math canvas audio video dialog menu datalist input label fieldset".split())
-RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math".split())
+OUT_TAGS = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe object svg annotation annotation-xml canvas audio video dialog menu datalist input label fieldset".split())
+RAW_TAGS = frozenset("script style textarea title noscript template iframe svg".split())
 # Words of class and id attributes and of roles that name such parts.
 OUT_WORDS = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar submenu topbar breadcrumb breadcrumbs sidebar aside rail footer masthead cookie cookies consent gdpr ccpa notice notices notification alert popup modal overlay disclaimer newsletter subscribe subscription signup signin login register paywall share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond responses discussion feedback pagination pager toolbar search searchbox widget widgets skip hidden contentinfo complementary alertdialog".split()
 )
+# Those of them that name what readers write; however long, it is no article.
+READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion feedback".split())
+# Words that make a name tell of a page's layout, not of a part of it.
+LAYOUT_WORDS = frozenset("no not non has have with without is layout enabled disabled enable disable active inactive open closed js page template theme site wrapper wrap outer container col row grid result results single".split())
 HEAD_WORDS = frozenset("header siteheader pageheader topheader".split())
 KEPT_WORDS = frozenset("article articlebody content main post story entry".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,40 +55,60 @@ PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW_TAGS}
 
 
+#: How far a name rules a part out: not at all, unless it holds most of the page's text, or for good.
+IN, SOFT, OUT = 0, 1, 2
+#: Scripts without blanks between words; a character says as much as some 2.5 letters.
+DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
+
+def length(text: str) -> int:
+    """Characters, those of dense scripts counted as 2.5."""
+    return len(text) if text.isascii() else len(text) + 3 * len(DENSE.findall(text)) // 2
+
+
 class Rules:
-    def __init__(self, short: int = 70, long: int = 200, link: float = 0.33, low: float = 0.30, high: float = 0.32):
-        self.short, self.long, self.link, self.low, self.high = short, long, link, low, high
+    def __init__(self, short: int = 70, long: int = 200, link: float = 0.33, low: float = 0.30, high: float = 0.32, served: float = 0.12):
+        self.short, self.long, self.link, self.low, self.high, self.served = short, long, link, low, high, served
         self.stops = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
-def standing(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
-    """Whether an element is no part of an article, and whether it is one; ``within``: it stands in one."""
+def standing(tag: str, attributes: str, within: bool) -> tuple[int, bool]:
+    """How far an element is ruled out of the article, and whether it is one; ``within``: it stands in one."""
     if tag in OUT_TAGS or tag == "header" and not within:
-        return True, False
+        return OUT, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, tag in ("article", "main")
-    holds = False
+        return IN, tag in ("article", "main")
+    holds, gone = False, IN
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return OUT, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
+                return OUT, False
         elif name in ("class", "id", "role", "itemprop"):
             for token in value.split():
                 words = {w.lower() for w in PARTS.findall(token)}
-                if words & OUT_WORDS or token.lower() in HEAD_WORDS and not within:
-                    return True, False
+                if words & READER_WORDS and not words & LAYOUT_WORDS:
+                    return OUT, False
+                if words & OUT_WORDS and not words & LAYOUT_WORDS:
+                    gone = OUT if name == "role" else max(gone, SOFT)
+                elif token.lower() in HEAD_WORDS and not within:
+                    gone = max(gone, SOFT)
                 holds = holds or tag in ("div", "section", "td") and (bool(words & KEPT_WORDS) or token.lower() in KEPT_WORDS)
-    return False, holds
+    return gone, holds and gone == IN
+
 
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
+    """``(text, characters in links, out, in an article, heading)`` in page order.
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """``(text, characters in links, out, in an article, heading)`` in page order."""
+    ``out`` is -1 for a part that is out for good, 0 for one that is not, else
+    the number of the outermost part that a name rules out.
+    """
     found = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, article
-    out = article = heading = False
+    stack: list[tuple[str, int, bool]] = []  # tag, out, article
+    out = parts = 0
+    article = heading = False
     links = link_chars = 0
     text: list[str] = []
     at = 0
@@ -122,7 +146,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 if stack[i][0] == tag:
                     flush()
                     del stack[i:]
-                    out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    out, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                     break
             if tag in HEADINGS:
                 heading = False
@@ -130,7 +154,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         attributes = m[3] or m[6] or ""
         if tag in RAW_TAGS:
             end = RAW_END[tag].search(page, at)
-            if not attributes.endswith("/"):
+            if tag != "svg" or not attributes.endswith("/"):  # elsewhere the slash means nothing
                 at = end.start() if end else n
                 close = page.find(">", at)
                 at = close + 1 if close >= 0 else n
@@ -149,7 +173,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag in HEADINGS:
             heading = True
         odd, holds = standing(tag, attributes, article)
-        gone = out or odd
+        gone = -1 if odd == OUT else out
+        if odd == SOFT and not out:
+            parts += 1
+            gone = parts
         if gone != out and tag not in BLOCK_TAGS:
             flush()
         if tag in LOOSE_TAGS and gone == out:
@@ -166,18 +193,23 @@ def main_text(page: str | None, rules: Rules) -> str:
     """Blocks that are judged main text, joined by one space."""
     if not page:
         return ""
-    kept = [b for b in blocks(page) if not b[2]]
+    found = blocks(page)
+    back = outweighing(found, rules)
+    kept = [b for b in found if b[2] in (0, back)]
     if any(b[3] for b in kept):
         # an article element divides the page: what stands beside it is decided against
         pool = [(b, None if b[3] else False) for b in kept]
     else:
         pool = [(b, None) for b in kept]
+    stops = [stop_words(b[0], rules) for b, _ in pool]
+    free = [s for (b, _), s in zip(pool, stops, strict=True) if b[1] <= rules.link * len(b[0])]
+    # a page that hardly uses the listed stop words is in a language without a list: length and links alone decide
+    served = sum(s[0] for s in free) >= rules.served * sum(s[1] for s in free)
     labels: list[bool | str] = []
-    for (text, link_chars, _, article, heading), fixed in pool:
-        size = len(text)
-        density = link_chars / size
-        words = text.lower().split()
-        stop = sum(w.strip(".,;:!?()\"'") in rules.stops for w in words) / len(words)
+    for ((text, link_chars, _, article, heading), fixed), (hits, words) in zip(pool, stops, strict=True):
+        size = length(text)
+        density = link_chars / len(text)
+        stop = hits / words if served else rules.high
         if fixed is not None:
             labels.append(False)
         elif article:
@@ -196,6 +228,24 @@ def main_text(page: str | None, rules: Rules) -> str:
     return " ".join(b[0][0] for b, x in zip(pool, settle(labels, [b[0][3] for b in pool]), strict=True) if x)
 
 
+def stop_words(text: str, rules: Rules) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in rules.stops for w in words), len(words)
+
+
+def outweighing(found: list[tuple], rules: Rules) -> int:
+    """The part that a name rules out although it holds an article or most of the long link-free text; 0 for none."""
+    weight: dict[int, int] = {}
+    for text, link_chars, out, article, _ in found:
+        size = length(text)
+        if out >= 0 and link_chars <= rules.link * len(text) and size > rules.long:
+            weight[out] = weight.get(out, 0) + size
+    if not weight:
+        return 0
+    most = max(weight, key=lambda k: (weight[k], -k))
+    return most if most and 2 * weight[most] > sum(weight.values()) and not any(b[3] and b[2] == 0 for b in found) else 0
+
+
 def settle(labels: list, article: list[bool]) -> list[bool]:
     """Second pass: open labels from the nearest decided ones before and after.
 

@@ -4,6 +4,8 @@ import io
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pulsegrid.llm import html_extract as h
 from pulsegrid.llm import warc_zip as w
@@ -33,6 +35,83 @@ def test_main_text(html, text):
     assert h.main_text(html, h.Rules()) == text
 
 
+LONG = f"{SENTENCE} {SENTENCE} {SENTENCE}"
+RUSSIAN = "Утром город медленно просыпается, и первые трамваи идут по мокрым улицам мимо старых домов. " * 3
+JAPANESE = "朝の町はゆっくりと目を覚まし、最初の電車が古い家の並ぶ濡れた通りを静かに走っていく。川の上には白い霧が残り、橋の下を小さな船が進んでいる。市場では店の人たちが野菜や魚を並べはじめる。"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # names that tell of a layout
+        (page(f"<div id='page' class='site no-sidebar'><article><p>{LONG}</p></article></div>"), LONG),
+        (page(f"<div class='has-sidebar'><article><p>{LONG}</p></article><div class='sidebar'><p>{LONG}</p></div></div>"), LONG),
+        (page(f"<div class='search-result'><p>{LONG}</p></div><div class='share-enabled'><p>{LONG}</p></div>"), f"{LONG} {LONG}"),
+        # most of the page's text outweighs a name, but not what readers write
+        (page(f"<div class='banner'><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>"), f"{LONG} {LONG} {LONG}"),
+        (page(f"<div class='post-comments'><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>"), LONG),
+        (page(f"<div class='promo'><p>{LONG}</p><p>{LONG}</p></div><article><p>{SENTENCE}</p></article>"), SENTENCE),
+        # the slash of a script means nothing
+        (page(f"<article><p>{SENTENCE}</p></article><script src='x'/>var a = 1; for (;;) {{}}</script>"), SENTENCE),
+        (page(f"<article><p>{SENTENCE}</p><style/>p {{}}</style><svg viewBox='0'/><p>{SENTENCE}</p></article>"), f"{SENTENCE} {SENTENCE}"),
+        # languages without a list of stop words
+        (page(f"<nav><a href=1>Главная</a></nav><div><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div><ul><li><a href=2>Ещё новости дня</a></ul>"), f"{RUSSIAN.strip()} {RUSSIAN.strip()}"),
+        (page(f"<nav><a href=1>ホーム</a></nav><div><p>{JAPANESE}</p><p>{JAPANESE}</p></div><ul><li><a href=2>他の記事</a></ul>"), f"{JAPANESE} {JAPANESE}"),
+        # formulas are text
+        (page(f"<article><p>{SENTENCE} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>"), f"{SENTENCE} x=2 holds."),
+    ],
+)
+def test_main_text_of_ordinary_pages(html, text):
+    assert h.main_text(html, h.Rules()) == text
+
+
+def brute_settle(labels, article):
+    """The second pass from its words: for each open block look both ways for the nearest decided one."""
+    out = []
+    for i, x in enumerate(labels):
+        if isinstance(x, bool):
+            out.append(x)
+            continue
+        ways = (range(i - 1, -1, -1), range(i + 1, len(labels)))
+        a, b = (next((labels[j] for j in way if article[j] == article[i] and isinstance(labels[j], bool)), None) for way in ways)
+        if a is None and b is None:
+            out.append(article[i] or x == "near")
+        elif a is None or b is None:
+            one = b if a is None else a
+            out.append(one if article[i] else one and x == "near")
+        else:
+            out.append(a if a == b else x == "near")
+    return out
+
+
+@given(st.lists(st.tuples(st.sampled_from([True, False, "near", "short"]), st.booleans()), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_second_pass_against_brute_force(blocks):
+    labels, article = [b[0] for b in blocks], [b[1] for b in blocks]
+    assert h.settle(labels, article) == brute_settle(labels, article)
+
+
+@given(st.randoms(use_true_random=False), st.sampled_from(["article", "main", "div"]))
+@settings(max_examples=150, deadline=None)
+def test_generated_pages_give_their_article(r, holder):
+    words = "the of and to in is that it was for on are as with his they be at one have this from by not but what all were when we there can an".split() + [f"wort{i}" for i in range(30)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    paragraphs = [some(r.randint(60, 120)) for _ in range(r.randint(1, 6))]
+    links = lambda: "".join(f"<li><a href='/{i}'>{some(3)}</a>" for i in range(r.randint(1, 9)))
+    noise = [
+        lambda: f"<nav><ul>{links()}</ul></nav>",
+        lambda: f"<aside><p>{some(40)}</p></aside>",
+        lambda: f"<div class='{r.choice(['ad-slot', 'cookie-bar', 'newsletter', 'user-comments', 'share'])}'><p>{some(20)}</p></div>",
+        lambda: f"<script>var s = '<p>{some(20)}</p>'</script>",
+        lambda: f"<!-- <p>{some(30)}</p> --><form><p>{some(30)}</p></form>",
+        lambda: f"<footer><p>{some(30)}</p></footer>",
+    ]
+    around = lambda: "".join(r.choice(noise)() for _ in range(r.randint(0, 3)))
+    inner = "".join(f"<p>{p}</p>" + (r.choice(noise)() if r.random() < 0.3 else "") for p in paragraphs)
+    got = h.main_text(page(f"{around()}<{holder}>{inner}</{holder}>{around()}"), h.Rules())
+    assert got == " ".join(paragraphs)
+
+
 def test_extract_handles_odd_rows(spark):
     long = page("<article>" + f"<p>{SENTENCE}</p>" * 5000 + "</article>")
     rows = [(1, "u", None, "x", "y"), (1, "u", None, "x", "y"), (None, None, page("<article>x</article>"), None, None), (2, "u", long, "x", "y")]
