@@ -182,7 +182,7 @@ def estimate(bits: int, k: int, a: str, b: str) -> Column:
 #: Roles of documents in pairs that may be sent to every executor (some 60 bytes each).
 BROADCAST_ROLES = 500_000
 #: Documents that are held against one copy of another's text.
-CHUNK = 256
+CHUNK = 64
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
