@@ -21,11 +21,24 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five-word shingles and a similarity of 0.8."""
-    found = neardup.near_duplicates(docs, width=5, percent=80)
+    """One document of each group at five-word shingles and a similarity of 0.8.
+
+    Rows that share a doc_id are one document, of which the row that is first by
+    text and the other columns stays; rows without an id stay as they are.
+    """
+    found = stage(neardup.near_duplicates(docs, width=5, percent=80), "dup-found")
     gone = stage(found.filter(~F.col("kept")).select("doc_id").distinct(), "dup-gone")
     side = F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    twice = stage(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "dup-twice")
+    n = twice.count()
+    if not n:
+        return kept
+    side = F.broadcast(twice) if n <= neardup.BROADCAST_IDS else twice
+    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    one = kept.join(side, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("_row"))
+    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    return kept.join(side, "doc_id", "left_anti").select(*docs.columns).union(one)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
