@@ -17,12 +17,14 @@ SLICE_CHARS = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as set by the cluster.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a temporary
-    folder takes its place.
+    Only a local session (tests, a laptop) may leave ``spark.checkpoint.dir``
+    unset; a temporary folder takes its place there.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.pulsegrid.scratch", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.pulsegrid.scratch", root)
     return f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}"

@@ -52,6 +52,48 @@ def test_pipeline_stages(spark):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").isEmpty()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_stages_take_odd_rows(spark, odd_docs, no_docs):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        out, none = stage(spark, odd_docs, DATA), stage(spark, no_docs, DATA)
+        assert none.count() == 0, name
+        if name != "packing":
+            assert out.columns == odd_docs.columns == none.columns, name
+    # copies and rows that share an id leave one row; rows without words or without an id stay
+    kept = [x.doc_id for x in p.deduplicated(spark, odd_docs, DATA).collect()]
+    assert sorted(kept, key=lambda k: (k is None, k)) == [1, 2, 3, 4, 6, 8, 9, None]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_stages_against_brute_force(spark):
+    import re
+
+    import corpus_pipeline as p
+
+    from .test_text import brute_components
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    group = brute_components(rows, 5, 80)
+    deduplicated = p.deduplicated(spark, docs, DATA)
+    assert sorted(x.doc_id for x in deduplicated.collect()) == sorted(d for d, _ in rows if group[d] == d)
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    windows = set()
+    for x in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        w = words(x.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(len(w) - 9)} if len(w) >= 10 else {tuple(w)} - {()}
+    sizes = {len(w) for w in windows}
+
+    def hit(t):
+        w = words(t)
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    assert sorted(x.doc_id for x in p.decontaminated(spark, docs, DATA).collect()) == sorted(d for d, t in rows if not hit(t))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_queries_agree_with_their_sql(spark):
     import duckdb
