@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import around, cell
+from ..functions.cells import cell
 from ..plans.scratch import cut
 from .neighbours import knn, radius_join
 
@@ -13,7 +13,7 @@ from .neighbours import knn, radius_join
 def radius_graph(points: DataFrame, radius: float, dims: int = 3) -> DataFrame:
     """Edges ``src < dst`` between points within the radius, with their length."""
     q = points.select(F.col("pid").alias("src"), "x", "y", "z")
-    near = radius_join(q, points.select("pid", "x", "y", "z"), radius, dims, keep=("src",))
+    near = radius_join(q, points.select("pid", "x", "y", "z"), radius, dims, keep=("src",), many=True)
     return near.filter("src < pid").select("src", F.col("pid").alias("dst"), F.sqrt("d2").alias("cost"))
 
 
@@ -58,11 +58,14 @@ def clusters(points: DataFrame, radius: float, least: int = 1) -> DataFrame:
     keys = ["cx", "cy", "cz"]
     p = cut(points.select("pid", "x", "y", "z").withColumns({k: cell(a, side) for k, a in zip(keys, "xyz", strict=True)}))
     heads = p.groupBy(*keys).agg(F.min("pid").alias("head"))
-    # cells may be linked two apart; a pair of cells is linked by its first close pair of points
+    # cells may be linked two apart; a pair of cells is linked by its first close pair of points, asked for from one side
     own = p.join(heads, keys)
-    other = around(own.select("pid", "x", "y", "z", "head", *keys).withColumnsRenamed({"pid": "q", "x": "qx", "y": "qy", "z": "qz", "head": "head2"}), keys, 2)
+    ahead = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip("ijk", step, strict=True)]) for step in ahead])
+    other = own.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), F.col("head").alias("head2"), *keys, F.explode(steps).alias("s"))
+    other = other.withColumns({n: F.col(n) + F.col(f"s.{v}") for n, v in zip(keys, "ijk", strict=True)}).drop("s")
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
-    links = own.join(other, keys).filter((F.col("head") < F.col("head2")) & (d2 <= radius * radius)).select(F.col("head").alias("src"), F.col("head2").alias("dst")).distinct()
+    links = own.hint("shuffle_hash").join(other, keys).filter(d2 <= radius * radius).select(F.least("head", "head2").alias("src"), F.greatest("head", "head2").alias("dst")).distinct()
     found = components(heads.select(F.col("head").alias("pid")), links)
     held = own.select("pid", "head").join(found.withColumnRenamed("pid", "head"), "head")
     counts = held.groupBy("component").agg(F.count("*").alias("n"))

@@ -39,24 +39,45 @@ def _sides(queries: DataFrame, points: DataFrame, radius: float, dims: int, keep
     return touched(q, keys, names, 2 * radius, radius), p, keys, names, d2
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """``points`` with the ``keep`` columns of every query within the radius, and ``d2``."""
+#: From so many queries on, cells meet by a shuffled hash join: each query stands in several cells, which a sort join would sort.
+MANY_QUERIES = 100_000
+
+
+def radius_join(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, keep: tuple[str, ...] = ("id",), many: bool = False) -> DataFrame:
+    """``points`` with the ``keep`` columns of every query within the radius, and ``d2``.
+
+    ``many`` says that the queries are about as many as the points.  Then each
+    task hashes its points, which stand once, and the queries' copies stream by;
+    few queries are left to Spark, which sends them whole if they are small.
+    """
     q, p, keys, names, d2 = _sides(queries, points, radius, dims, keep)
+    if many:
+        p = p.hint("shuffle_hash")
     return p.join(q, keys).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop(*keys, *names)
 
 
-def count_within(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, id: str = "id") -> DataFrame:
+def count_within(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, id: str = "id", many: bool = False) -> DataFrame:
     """Number of points within the radius of every query, 0 included."""
-    near = radius_join(queries, points.select("pid", *AXES[:dims]), radius, dims, keep=(id,))
+    near = radius_join(queries, points.select("pid", *AXES[:dims]), radius, dims, keep=(id,), many=many)
     counts = near.groupBy(id).agg(F.count("*").alias("n"))
     return queries.select(id).join(counts, id, "left").select(id, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def radius_outliers(points: DataFrame, radius: float, least: int = 4) -> DataFrame:
-    """Points with ``keep``: whether ``least`` others lie within the radius."""
-    q = points.select(F.col("pid").alias("id"), "x", "y", "z")
-    n = count_within(q, points, radius)
-    return points.join(n.select(F.col("id").alias("pid"), (F.col("n") - 1 >= least).alias("keep")), "pid")
+    """Points with ``keep``: whether ``least`` others lie within the radius.
+
+    A cell whose diagonal is the radius and that holds more than ``least``
+    points settles all of them; the others are counted.  So a dense place makes
+    no pairs among its own points.
+    """
+    keys = ["_sx", "_sy", "_sz"]
+    side = radius / 3**0.5 * (1 - 1e-9)
+    celled = points.select("pid", *AXES).withColumns({k: cell(a, side) for k, a in zip(keys, AXES, strict=True)})
+    full = celled.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least)
+    held = cut(celled.join(full, keys, "left").select("pid", *AXES, F.col("_n").isNotNull().alias("sure")))
+    open_q = held.filter("not sure").select(F.col("pid").alias("id"), *AXES)
+    n = count_within(open_q, points, radius, many=True).select(F.col("id").alias("pid"), (F.col("n") - 1 >= least).alias("keep"))
+    return points.join(n.union(held.filter("sure").select("pid", F.lit(True))), "pid")
 
 
 def near_mask(points: DataFrame, targets: DataFrame, distance: float, dims: int = 3, invert: bool = False) -> DataFrame:
@@ -85,11 +106,12 @@ def knn(queries: DataFrame, points: DataFrame, k: int, start: float, limit: floa
     w = Window.partitionBy("id").orderBy("d2", "pid")
     open_q = queries.select("id", *axes)
     slim = points.select("pid", *dict.fromkeys([*axes, *keep]))
+    n = queries.count()
     found = None
     radius = start
     while True:
         last = radius >= limit
-        near = radius_join(open_q, slim, min(radius, limit), dims).select("id", "pid", "d2", *keep)
+        near = radius_join(open_q, slim, min(radius, limit), dims, many=n >= MANY_QUERIES).select("id", "pid", "d2", *keep)
         ranked = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         ranked = cut(ranked.withColumn("_n", F.max("rank").over(Window.partitionBy("id"))))
         part = ranked if last else ranked.filter(F.col("_n") == k)
@@ -97,7 +119,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, start: float, limit: floa
         if last:
             return found.drop("_n")
         open_q = cut(open_q.join(part.select("id").distinct(), "id", "left_anti"))
-        if open_q.isEmpty():
+        n = open_q.count()
+        if not n:
             return found.drop("_n")
         radius *= 2
 
