@@ -35,7 +35,17 @@ def cloth_simulation(spark, d):
     return ground.cloth_simulation(point_view(spark, d), size=2.0, tile=40.0, buffer=10.0).select("pid", "ground")
 
 
-@query()
+#: Gaps are filled ring by ring: of a cell's neighbours that are one step nearer to data, the first in row order gives its value.
+TERRAIN = """WITH RECURSIVE low AS (SELECT CAST(floor(y / 1.0) AS BIGINT) AS row, CAST(floor(x / 1.0) AS BIGINT) AS col, min(z) AS value FROM p WHERE classification = 2 GROUP BY 1, 2),
+    every AS (SELECT r.row, c.col FROM (SELECT unnest(generate_series((SELECT min(row) FROM low), (SELECT max(row) FROM low))) AS row) r, (SELECT unnest(generate_series((SELECT min(col) FROM low), (SELECT max(col) FROM low))) AS col) c),
+    far AS (SELECT e.row, e.col, min(abs(e.row - l.row) + abs(e.col - l.col)) AS steps FROM every e, low l GROUP BY 1, 2),
+    whole AS (SELECT row, col, value, 0::BIGINT AS steps FROM low
+      UNION ALL SELECT f.row, f.col, arg_min(w.value, (w.row, w.col)) AS value, f.steps FROM whole w JOIN far f ON f.steps = w.steps + 1 AND abs(f.row - w.row) + abs(f.col - w.col) = 1 GROUP BY f.row, f.col, f.steps),
+    mean AS (SELECT a.row, a.col, avg(b.value) AS value FROM whole a JOIN whole b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2)
+    SELECT w.row, w.col, CASE WHEN w.steps = 0 THEN w.value ELSE m.value END AS value FROM whole w JOIN mean m USING (row, col)"""
+
+
+@query(TERRAIN, "value")
 def terrain(spark, d):
     return ground.terrain(point_view(spark, d).filter("classification = 2"), 1.0)
 
@@ -111,22 +121,49 @@ def trace_upright(spark, d):
     return voxels.trace(rays(spark, d, True).withColumn("dx", F.lit(0.0)).withColumn("dy", F.lit(0.0)), 2.0)
 
 
-@query()
+def cuts_sql(axis: str) -> str:
+    """Where each ray meets the grid planes of an axis, as shares of its length."""
+    o, e = f"o{axis}", f"e{axis}"
+    first, last = f"CAST(floor(least({o}, {e}) / 2) AS BIGINT) + 1", f"CAST(ceil(greatest({o}, {e}) / 2) AS BIGINT) - 1"
+    return f"SELECT shot_id, (k * 2 - {o}) / ({e} - {o}) AS t FROM (SELECT *, unnest(generate_series({first}, {last})) AS k FROM f)"
+
+
+#: A ray's voxels, told by the middles of the pieces between the planes that it meets.
+TRACE = f"""WITH s AS (SELECT shot_id, ox, oy, 40.25::DOUBLE AS oz, sin(radians(zenith / 3)) * sin(radians(azimuth)) AS dx, sin(radians(zenith / 3)) * cos(radians(azimuth)) AS dy, -cos(radians(zenith / 3)) AS dz,
+      list_sort(list_transform(echoes, lambda e: 40.25::DOUBLE - e.height)) AS g FROM shots),
+    f AS (SELECT *, ox + dx * reach AS ex, oy + dy * reach AS ey, oz + dz * reach AS ez FROM (SELECT *, CASE WHEN len(g) > 0 THEN g[len(g)] ELSE 40.0::DOUBLE END AS reach, g[1] AS near FROM s)),
+    t AS (SELECT shot_id, 0.0::DOUBLE AS t FROM f UNION ALL SELECT shot_id, 1.0::DOUBLE FROM f UNION ALL {cuts_sql("x")} UNION ALL {cuts_sql("y")} UNION ALL {cuts_sql("z")}),
+    c AS (SELECT shot_id, t AS a, lead(t) OVER (PARTITION BY shot_id ORDER BY t) AS b FROM t),
+    v AS (SELECT CAST(floor((ox + (ex - ox) * ((a + b) / 2)) / 2) AS BIGINT) AS ix, CAST(floor((oy + (ey - oy) * ((a + b) / 2)) / 2) AS BIGINT) AS iy, CAST(floor((oz + (ez - oz) * ((a + b) / 2)) / 2) AS BIGINT) AS iz,
+      a * reach AS enter, b * reach AS leave, near FROM c JOIN f USING (shot_id) WHERE b > a),
+    w AS (SELECT ix, iy, iz, count(*)::DOUBLE AS rays, sum(leave - enter) AS path, sum(greatest(least(leave, coalesce(near, 1e9)) - enter, 0)) AS free_path FROM v GROUP BY 1, 2, 3),
+    h AS (SELECT CAST(floor((ox + dx * e) / 2) AS BIGINT) AS ix, CAST(floor((oy + dy * e) / 2) AS BIGINT) AS iy, CAST(floor((oz + dz * e) / 2) AS BIGINT) AS iz, count(*)::DOUBLE AS hits, (count(*) FILTER (i = 1))::DOUBLE AS intercepted
+      FROM (SELECT *, unnest(g) AS e, unnest(generate_series(1, len(g))) AS i FROM f) GROUP BY 1, 2, 3)
+    SELECT ix, iy, iz, coalesce(rays, 0) AS rays, coalesce(hits, 0) AS hits, coalesce(path, 0) AS path, coalesce(free_path, 0) AS free_path, coalesce(intercepted, 0) AS intercepted FROM w FULL JOIN h USING (ix, iy, iz)"""
+DENSITIES = f"""SELECT *, intercepted / nullif(free_path, 0) AS contact, CASE WHEN path / nullif(rays, 0) > 0 THEN -ln(greatest(1 - intercepted / rays, 0.5 / rays)) / (path / rays) END AS transmittance,
+    CASE WHEN rays > 1 THEN intercepted / nullif(free_path, 0) / 0.5 END AS pad, CASE WHEN rays > 1 AND path > 0 THEN 2.0 * (rays - 1) / rays * hits / path END AS pad_unbiased FROM ({TRACE})"""
+
+
+@query(TRACE, "rays hits path free_path intercepted")
 def trace_rays(spark, d):
     return voxels.trace(rays(spark, d, False), 2.0)
 
 
-@query()
+@query(DENSITIES, "rays hits path free_path intercepted contact transmittance pad pad_unbiased")
 def voxel_densities(spark, d):
     return voxels.densities(voxels.trace(rays(spark, d, False), 2.0), 2.0)
 
 
-@query()
+@query(f"SELECT iz, avg(pad) AS pad, count(pad) AS n, (iz + 0.5::DOUBLE) * 2 AS height FROM ({DENSITIES}) GROUP BY iz", "pad height")
 def voxel_profile(spark, d):
     return voxels.vertical_profile(voxels.densities(voxels.trace(rays(spark, d, False), 2.0), 2.0), 2.0)
 
 
-@query()
+@query(
+    f"""SELECT iz, coalesce(o, 0) AS observed, 1 - coalesce(o, 0) / 2500.0::DOUBLE AS occluded FROM (SELECT unnest(generate_series(0, 14)) AS iz)
+    LEFT JOIN (SELECT iz, count(*) AS o FROM ({TRACE}) WHERE ix BETWEEN 0 AND 49 AND iy BETWEEN 0 AND 49 AND iz BETWEEN 0 AND 14 AND rays >= 1 GROUP BY 1) USING (iz)""",
+    "occluded",
+)
 def occlusion(spark, d):
     return voxels.occlusion(voxels.trace(rays(spark, d, False), 2.0), (0, 49, 0, 49, 0, 14), 1.0)
 
@@ -144,7 +181,16 @@ def clusters(spark, d):
     return graph.clusters(point_view(spark, d).filter("z > 29.0"), 1.0, 3)
 
 
-@query()
+#: Each point takes the least label among those it is linked to, until no label falls.
+CLUSTERS_WHOLE = """WITH RECURSIVE e AS (SELECT a.pid AS s, b.pid AS d FROM (SELECT *, floor(x) AS cx, floor(y) AS cy, floor(z) AS cz FROM p) a,
+      (SELECT *, floor(x) + i AS cx, floor(y) + j AS cy, floor(z) + k AS cz FROM p, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) b
+      WHERE a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz AND a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1.0),
+    r(pid, c) USING KEY (pid) AS (SELECT pid, pid FROM p UNION
+      SELECT e.d, min(r.c) FROM r JOIN e ON e.s = r.pid JOIN recurring.r k ON k.pid = e.d WHERE r.c < k.c GROUP BY e.d)
+    SELECT pid, CASE WHEN count(*) OVER (PARTITION BY c) >= 3 THEN c ELSE -1 END AS cluster FROM r"""
+
+
+@query(CLUSTERS_WHOLE)
 def clusters_whole(spark, d):
     """Clusters of every point; the SQL of ``clusters`` holds the upper ones alone."""
     return graph.clusters(point_view(spark, d), 1.0, 3)
@@ -198,13 +244,23 @@ def upscale_linear(spark, d):
     return fit.Linear(s, "h", ["i"]).predict(s).select("tree_id", "predicted")
 
 
-@query()
+@query(
+    """WITH s AS (SELECT tree_id, ln(avg(z)) AS y, ln(avg(intensity)) AS u, ln(avg(x)) AS v FROM p GROUP BY 1),
+    m AS (SELECT count(*) AS n, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM s),
+    b AS (SELECT *, uu * vv - uv * uv AS det, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS b, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS c FROM m)
+    SELECT tree_id, (y - my - b * (u - mu) - c * (v - mv)) / (1 - 1 / n - ((u - mu) * (u - mu) * vv - 2 * (u - mu) * (v - mv) * uv + (v - mv) * (v - mv) * uu) / (n * det)) AS loo FROM s, b""",
+    "loo",
+)
 def upscale_leave_one_out(spark, d):
     s = point_view(spark, d).groupBy("tree_id").agg(F.avg("z").alias("h"), F.avg("intensity").alias("i"), F.avg("x").alias("x"))
     return fit.Linear(s, "h", ["i", "x"], log=True).leave_one_out(s).select("tree_id", "loo")
 
 
-@query()
+@query(
+    """SELECT i AS row, j AS col, CASE WHEN i = j AND i < 2 THEN cos(radians(12)) WHEN i = 0 AND j = 1 THEN -sin(radians(12)) WHEN i = 1 AND j = 0 THEN sin(radians(12)) WHEN i = j THEN 1
+      WHEN j = 3 THEN [2.0, -1.0, 0.5][i + 1] ELSE 0 END::DOUBLE AS value FROM (SELECT unnest(generate_series(0, 3))::INT AS i), (SELECT unnest(generate_series(0, 3))::INT AS j)""",
+    "value",
+)
 def rigid_registration(spark, d):
     """Pairs of points of two epochs give back the move between them."""
     from ..operators.points import rotation_z, transform, translation
@@ -306,7 +362,7 @@ def scan_ids(spark, d):
     return canopy.scan_ids(point_view(spark, d), o).select("pid", "scan_id")
 
 
-@query()
+@query("SELECT pid, arg_min(s.id, ((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) + (2.0 - p.z) * (2.0 - p.z), s.id)) AS scan_id FROM p, centres s GROUP BY 1")
 def scan_ids_whole(spark, d):
     """The nearest of all origins; the SQL of ``scan_ids`` holds five alone."""
     o = centres(spark, d).select(F.col("id").alias("pid"), "x", "y", F.lit(2.0).alias("z"))
@@ -401,7 +457,16 @@ def normals_and_shapes(spark, d):
     return neighbours.shape(point_view(spark, d), 12, 1.0, 100.0)
 
 
-@query()
+#: Cells of 8 m hold the eight nearest of every point of the view.
+OUTLIERS = """WITH n AS (SELECT a.pid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d,
+      row_number() OVER (PARTITION BY a.pid ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.pid) AS r FROM (SELECT *, floor(x / 8) AS cx, floor(y / 8) AS cy, floor(z / 8) AS cz FROM p) a,
+      (SELECT *, floor(x / 8) + i AS cx, floor(y / 8) + j AS cy, floor(z / 8) + k AS cz FROM p, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) b
+      WHERE a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz AND a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 64.0),
+    m AS (SELECT pid, avg(d) AS mean_distance FROM n WHERE r <= 8 GROUP BY 1)
+    SELECT pid, mean_distance, mean_distance <= (SELECT avg(mean_distance) + 2 * stddev_pop(mean_distance) FROM m) AS keep FROM m"""
+
+
+@query(OUTLIERS, "mean_distance")
 def statistical_outliers(spark, d):
     return neighbours.statistical_outliers(point_view(spark, d), 8, 2.0, start=1.0, limit=200.0).select("pid", "mean_distance", "keep")
 
