@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell, finite
+from ..plans.scratch import cut
 from . import raster
 from .points import tiled
 
@@ -117,11 +119,11 @@ def crowns(canopy: DataFrame, tops: DataFrame, size: float, method: str = "water
     return spread.select("tx", "ty", "core", "row", "col", "value", "tree_id").groupBy("tx", "ty").applyInPandas(run, "row long, col long, value double, tree_id long")
 
 
-def hull_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the convex hull by monotone chains."""
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in turn, by monotone chains."""
     p = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
     if len(p) < 3:
-        return 0.0
+        return np.array(p, float).reshape(-1, 2)
 
     def chain(points):
         out = []
@@ -131,19 +133,39 @@ def hull_area(x: np.ndarray, y: np.ndarray) -> float:
             out.append(q)
         return out[:-1]
 
-    ring = chain(p) + chain(p[::-1])
-    a = np.array(ring)
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    a = hull(x, y)
+    if len(a) < 3:
+        return 0.0
     b = np.roll(a, -1, axis=0)
     return float(abs((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]).sum()) / 2)
 
 
-def crown_metrics(points: DataFrame, layer: float = 0.5, share: float = 0.3, height: str = "z", sectors: int = 360) -> DataFrame:
+def hull_corners(points: DataFrame, key: str, block: float = 5.0) -> DataFrame:
+    """Points ``key, x, y`` that hold the hull's corners of each key: the corners of each block of it.
+
+    The hull of a part's corners and the others' is the hull of all, so blocks
+    are done apart and a key's last step sees a few points of each block.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = hull(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        return pd.DataFrame({key: pdf[key].iloc[0], "x": c[:, 0], "y": c[:, 1]})
+
+    # equal places count once, before they meet
+    spots = points.select(key, "x", "y").distinct()
+    return spots.groupBy(key, cell("x", block).alias("_bx"), cell("y", block).alias("_by")).applyInPandas(run, f"{key} long, x double, y double")
+
+
+def crown_metrics(points: DataFrame, layer: float = 0.5, share: float = 0.3, height: str = "z") -> DataFrame:
     """Base, top, depth, area and diameter of each tree's crown.
 
     The crown begins at the first layer from a quarter of the height up that
-    holds ``share`` of the fullest layer.  For the hull only the points farthest
-    out in each of many directions reach a tree's group, which holds its corners
-    up to the width of a direction.
+    holds ``share`` of the fullest layer.  Its area is that of the convex hull
+    of all its points.
     """
     p = points.filter((F.col("tree_id") >= 0) & finite(height)).withColumn("h", F.col(height).cast("double"))
     bins = p.groupBy("tree_id", F.greatest(cell("h", layer), F.lit(0)).alias("bin")).agg(F.count("*").alias("c"), F.max("h").alias("h"))
@@ -154,10 +176,7 @@ def crown_metrics(points: DataFrame, layer: float = 0.5, share: float = 0.3, hei
     full = (F.col("bin") >= start) & (F.col("c") >= share * F.col("most"))
     base = b.filter("all >= 4").groupBy("tree_id").agg(F.max("top").alias("top"), F.max("all").alias("n_points"), (F.min(F.when(full, F.col("bin"))) * layer).alias("base"))
     high = p.join(base, "tree_id").filter(F.col("h") >= F.col("base"))
-    mid = high.groupBy("tree_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    polar = high.join(mid, "tree_id").withColumn("dir", F.floor((F.atan2(F.col("y") - F.col("my"), F.col("x") - F.col("mx")) + 3.141592653589793) / (2 * 3.141592653589793) * sectors))
-    out2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2
-    rim = polar.groupBy("tree_id", "dir").agg(F.max_by(F.struct("x", "y"), out2).alias("p")).groupBy("tree_id").agg(F.collect_list("p.x").alias("xs"), F.collect_list("p.y").alias("ys"))
+    rim = hull_corners(high, "tree_id").groupBy("tree_id").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
 
     @F.pandas_udf("double")
     def area(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -277,17 +296,17 @@ def li_2012(points: DataFrame, near: float = 1.5, far: float = 2.0, split: float
     return high.groupBy("tx", "ty").applyInPandas(run, "pid long, tree long")
 
 
-def prune(found: DataFrame, distance: float, quality: str = "n_points") -> DataFrame:
+def prune(found: DataFrame, distance: float, quality: str = "n_points", dims: int = 2) -> DataFrame:
     """Trees ``tree_id, x, y`` without those that stand within ``distance`` of a better one.
 
     Better is more of ``quality``, of equals the smaller id; a tree yields only to
     one that is not yielding itself, so the best of a chain stays.
     """
-    from ..plans.scratch import cut
     from .neighbours import radius_join
 
-    q = found.select(F.col("tree_id").alias("id"), "x", "y", F.col(quality).alias("q0"))
-    near = radius_join(q, found.select(F.col("tree_id").alias("pid"), "x", "y", F.col(quality).alias("q1")), distance, 2, keep=("id", "q0"))
+    axes = ("x", "y", "z")[:dims]
+    q = found.select(F.col("tree_id").alias("id"), *axes, F.col(quality).alias("q0"))
+    near = radius_join(q, found.select(F.col("tree_id").alias("pid"), *axes, F.col(quality).alias("q1")), distance, dims, keep=("id", "q0"), many=True)
     pairs = cut(near.filter((F.col("id") != F.col("pid")) & ((F.col("q1") > F.col("q0")) | ((F.col("q1") == F.col("q0")) & (F.col("pid") < F.col("id"))))).select("id", F.col("pid").alias("better")))
     state = cut(found.select(F.col("tree_id").alias("id"), F.lit(None).cast("boolean").alias("stays")))
     while True:
@@ -308,3 +327,67 @@ def contacts(points: DataFrame, distance: float) -> DataFrame:
     q = p.select(F.col("tree_id").alias("a"), "x", "y", "z")
     near = radius_join(q, p, distance, 3, keep=("a",)).filter(F.col("a") < F.col("tree_id"))
     return near.groupBy("a", F.col("tree_id").alias("b")).agg(F.count("*").alias("n"), F.sqrt(F.min("d2")).alias("nearest"), F.avg("z").alias("height"))
+
+
+def min_distance_subsample(points: DataFrame, distance: float) -> DataFrame:
+    """Points so that no two kept ones are nearer than ``distance``; a point goes if an earlier kept one is that near.
+
+    Rounds settle all points whose earlier neighbours are settled, so their
+    number follows the longest chain of neighbours in the points' order.
+    """
+    near = math.nextafter(distance, 0.0)  # a point at the distance itself stays
+    keyed = points.select(F.col("pid").alias("tree_id"), "x", "y", "z", F.lit(0).alias("q"))
+    kept = prune(keyed, near, "q", dims=3)
+    return points.join(kept.select(F.col("tree_id").alias("pid")), "pid", "left_semi").select(*points.columns)
+
+
+def dbh_profile(points: DataFrame, stems: DataFrame, step: float = 0.5, thickness: float = 0.1, search: float = 0.75, height: str = "z") -> DataFrame:
+    """Taper of stems ``stem, x, y``: ``stem, slice, height, n, x, y, diameter`` of a circle in each thin slice.
+
+    Slices stand at multiples of ``step``; points within ``search`` of the stem's
+    centre take part, and a point near two stems does in both.
+    """
+    from .neighbours import radius_join
+
+    k = F.floor(F.col(height) / step + 0.5)
+    thin = points.withColumn("slice", k).filter(F.abs(F.col(height) - F.col("slice") * step) <= thickness / 2)
+    near = radius_join(stems.select(F.col("stem").alias("id"), "x", "y"), thin.select("x", "y", "slice"), search, 2)
+    fits = circle_fit(near.withColumn("key", F.struct("id", "slice")), "key")
+    return fits.select(F.col("key.id").alias("stem"), F.col("key.slice").alias("slice"), (F.col("key.slice") * step).alias("height"), "n", "x", "y", (2 * F.col("radius")).alias("diameter"))
+
+
+def segment_trees(points: DataFrame, stems: DataFrame, reach: float = 1.0, power: float = 2.0, seed_height: float = 1.5, seed_radius: float = 0.25, most: float = float("inf")) -> DataFrame:
+    """``pid, tree_id, dist``: each point's stem by the cheapest path through near points.
+
+    Paths start from the points within ``seed_radius`` of a stem ``stem, x, y``
+    and up to ``seed_height``; a step costs its length to the ``power``, so that
+    gaps cost more than the same way in small steps.  Points that no path
+    reaches have no tree.  A seed near two stems goes to the nearer one.
+    """
+    from .graph import radius_graph, shortest_paths
+    from .neighbours import radius_join
+
+    low = points.filter(F.col("z") <= seed_height).select("pid", "x", "y")
+    near = radius_join(stems.select(F.col("stem").alias("id"), "x", "y"), low, seed_radius, 2)
+    seeds = cut(near.groupBy("pid").agg(F.min_by("id", F.struct("d2", "id")).alias("tree_id")))
+    edges = radius_graph(points, reach).withColumn("cost", F.pow("cost", F.lit(float(power))))
+    paths = shortest_paths(points, edges, seeds.select("pid"), most)
+    return paths.join(seeds.withColumnRenamed("pid", "source"), "source", "left").select("pid", "tree_id", "dist")
+
+
+def variable_tops(canopy: DataFrame, size: float, intercept: float, slope: float, widest: float, least: float = 2.0) -> DataFrame:
+    """Cells that no higher one stands near, in a window that grows with the cell's height.
+
+    The window's diameter is ``intercept + slope * height``, ``widest`` at most;
+    of equal cells the first by column, then row, stands.
+    """
+    from ..functions.cells import around
+
+    tall = canopy.filter(F.col("value") >= least)
+    window = F.least(F.lit(float(intercept)) + F.lit(float(slope)) * F.col("value"), F.lit(float(widest)))
+    other = around(tall.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("value").alias("value2")).withColumns({"row": F.col("row2"), "col": F.col("col2")}), ["row", "col"], int(widest / 2 / size))
+    d2 = ((F.col("row") - F.col("row2")) ** 2 + (F.col("col") - F.col("col2")) ** 2) * (size * size)
+    first = (F.col("col2") < F.col("col")) | ((F.col("col2") == F.col("col")) & (F.col("row2") < F.col("row")))
+    higher = (F.col("value2") > F.col("value")) | ((F.col("value2") == F.col("value")) & first)
+    beaten = tall.join(other, ["row", "col"]).filter((d2 > 0) & (4 * d2 <= window * window) & higher)
+    return tall.join(beaten.select("row", "col").distinct(), ["row", "col"], "left_anti")

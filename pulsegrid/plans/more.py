@@ -9,6 +9,7 @@ from ..operators import canopy, fit, graph, ground, neighbours, pulses, raster,
 from ..operators.polygons import polygon_join
 from ..streaming import aggregates
 from .catalog import BOX, CHM, query
+from .paths import SHORTEST
 from .views import centres, later_points, shots, table
 from .views import points as point_view
 
@@ -207,7 +208,7 @@ def canopy_gaps(spark, d):
     return graph.canopy_gaps(raster.rasterize(point_view(spark, d), 2.0, reduce="max"), 2.0, 26.0, least=8.0)
 
 
-@query()
+@query(SHORTEST, "dist")
 def shortest_paths(spark, d):
     """Ways along near points from the ground to every point that they reach."""
     p = point_view(spark, d)
