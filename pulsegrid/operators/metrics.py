@@ -37,9 +37,9 @@ def metrics(
 ) -> DataFrame:
     """All metrics of the points under each value of ``keys`` (none: one row).
 
-    Two aggregations over one partitioning by the keys: the first gives counts,
-    moments and quantiles, and with its maximum the second counts bins.  Of
-    metrics that a group has no basis for the value is null.
+    One aggregation gives counts and moments, another counts equal heights,
+    which then give the quantiles and, with the maximum, the bins.  Of metrics
+    that a group has no basis for the value is null.
     """
     p = retained(points, height, least, drop_noise).withColumn("_h", F.col(height).cast("double"))
     h = F.col("_h")
@@ -57,7 +57,6 @@ def metrics(
         F.skewness(h).alias("zskew"),
         (F.kurtosis(h) + 3.0).alias("zkurt"),
         (100.0 * F.sum(F.when(h > threshold, 1.0).otherwise(0.0)) / F.count("*")).alias("_above"),
-        F.percentile(h, F.array(*[F.lit(q / 100.0) for q in QUANTILES])).alias("_q"),
         F.sum(F.when(F.col("_first"), 1.0)).alias("_firsts"),
         F.sum(F.when(F.col("_first") & (h > cover_break), 1.0).otherwise(0.0)).alias("_covered"),
         F.min(h).alias("_low"),
@@ -69,12 +68,15 @@ def metrics(
         aggs += [(100.0 * F.sum(F.when(F.col("return_number") == k, 1.0).otherwise(0.0)) / F.count("*")).alias(f"p{k}th") for k in range(1, 6)]
     if "classification" in has:
         aggs.append((100.0 * F.sum(F.when(F.col("classification") == 2, 1.0).otherwise(0.0)) / F.count("*")).alias("pground"))
-    whole = p.groupBy(*by).agg(*aggs)
+    # equal heights are counted before they meet; quantiles and bins need no more than the counts
+    heights = p.groupBy(*by, "_h").agg(F.count("*").alias("_c"))
+    quantiles = heights.groupBy(*by).agg(F.percentile(h, F.array(*[F.lit(q / 100.0) for q in QUANTILES]), F.col("_c")).alias("_q"))
+    whole = p.groupBy(*by).agg(*aggs).join(quantiles, by)
     # the bins of a group need its mean and maximum
-    joined = p.select(*by, "_h").join(whole.select(*by, F.col("zmax").alias("_max"), F.col("zmean").alias("_mean")), by)
+    joined = heights.join(whole.select(*by, F.col("zmax").alias("_max"), F.col("zmean").alias("_mean")), by)
     tenth = F.floor(h / (F.col("_max") / 10.0))
     bins = joined.groupBy(*by, F.floor(h / entropy_bin).alias("_bin"), F.when((F.col("_max") > 0) & (h >= 0) & (h < F.col("_max")), tenth).when(h < 0, F.lit(-1)).alias("_tenth")).agg(
-        F.count("*").alias("_c"), F.sum(F.when(h > F.col("_mean"), 1.0).otherwise(0.0)).alias("_over"), F.max("_max").alias("_max")
+        F.sum("_c").alias("_c"), F.sum(F.when(h > F.col("_mean"), F.col("_c")).otherwise(0)).alias("_over"), F.max("_max").alias("_max")
     )
     top = F.ceil(F.col("_max") / entropy_bin) - 1
     bins = bins.withColumn("_bin", F.least("_bin", F.greatest(top, F.lit(0))))
