@@ -117,6 +117,11 @@ def plot_points(points: DataFrame, plots: DataFrame, radius: float) -> DataFrame
     return radius_join(plots.select("id", "x", "y"), points, radius, dims=2)
 
 
+def grid_aggregates(points: DataFrame, size: float, **aggregates: Column) -> DataFrame:
+    """A user's own aggregates by cell: ``row, col`` and a column for each."""
+    return points.groupBy(cell("y", size).alias("row"), cell("x", size).alias("col")).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
 def plot_metrics(points: DataFrame, plots: DataFrame, radius: float, **options) -> DataFrame:
     return metrics(plot_points(points, plots, radius), ["id"], **options)
 

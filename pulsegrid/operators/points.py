@@ -97,6 +97,12 @@ def transform(points: DataFrame, matrix) -> DataFrame:
     return points.withColumns(xyz)
 
 
+def transform_vectors(rows: DataFrame, matrix, columns: tuple[str, str, str] = ("nx", "ny", "nz")) -> DataFrame:
+    """Turn vectors by a 4 x 4 matrix, whose shift they ignore."""
+    m = np.asarray(matrix, float)
+    return rows.withColumns({c: sum((F.lit(float(m[i, j])) * F.col(k) for j, k in enumerate(columns)), F.lit(0.0)) for i, c in enumerate(columns)})
+
+
 def translation(x: float, y: float, z: float) -> np.ndarray:
     m = np.eye(4)
     m[:3, 3] = x, y, z

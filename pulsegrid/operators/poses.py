@@ -1,13 +1,11 @@
-"""Poses of scans: rotations, matching of stem maps, and a graph of relative poses.
+"""Poses of scans: rotations, and a graph of relative poses.
 
-A survey has at most some thousands of scans and stems, so these are small
-systems that the driver solves; what feeds them comes from Spark.
+A survey has at most some thousands of scans, so these are small systems that the
+driver solves; what feeds them comes from Spark.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 
 
@@ -84,44 +82,10 @@ def kabsch_2d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def match_stem_maps(a: np.ndarray, b: np.ndarray, dbh_a: np.ndarray, dbh_b: np.ndarray, tolerance: float = 0.15, dbh_tolerance: float = 0.05, least: int = 4) -> tuple[np.ndarray | None, np.ndarray]:
-    """Pose that takes stem map a onto b, and the matched pairs; None if too few agree.
-
-    Two correspondences fix turn and shift: pairs of stems with like separations
-    and diameters propose poses, and the one under which most stems meet wins.
-    """
-    pairs = np.array(list(itertools.permutations(range(len(b)), 2))) if len(b) > 1 else np.zeros((0, 2), int)
-    gaps = np.linalg.norm(b[pairs[:, 0], :2] - b[pairs[:, 1], :2], axis=1)
-    order = np.argsort(gaps)
-    gaps, pairs = gaps[order], pairs[order]
-    best, best_pairs = None, np.zeros((0, 2), int)
-
-    def inliers(m):
-        moved = a @ m[:3, :3].T + m[:3, 3]
-        d = np.linalg.norm(moved[:, None, :2] - b[None, :, :2], axis=2)
-        ok = (d <= tolerance) & (np.abs(dbh_a[:, None] - dbh_b[None]) <= dbh_tolerance)
-        d = np.where(ok, d, np.inf)
-        one = d.argmin(1)
-        keep = np.isfinite(d.min(1)) & (d[:, one].argmin(0) == np.arange(len(a)))
-        return np.stack([np.flatnonzero(keep), one[keep]], 1)
-
-    for i, j in itertools.combinations(range(len(a)), 2):
-        g = np.linalg.norm(a[i, :2] - a[j, :2])
-        if g < 1.0:
-            continue
-        for k, m in pairs[np.searchsorted(gaps, g - tolerance) : np.searchsorted(gaps, g + tolerance)]:
-            if abs(dbh_a[i] - dbh_b[k]) > dbh_tolerance or abs(dbh_a[j] - dbh_b[m]) > dbh_tolerance:
-                continue
-            found = inliers(kabsch_2d(a[[i, j]], b[[k, m]]))
-            if len(found) > len(best_pairs):
-                best_pairs = found
-                best = kabsch_2d(a[found[:, 0]], b[found[:, 1]]) if len(found) > 1 else None
-        if len(best_pairs) >= max(least, 0.8 * min(len(a), len(b))):
-            break
-    if best is None or len(best_pairs) < least:
-        return None, best_pairs
-    best_pairs = inliers(best)
-    return kabsch_2d(a[best_pairs[:, 0]], b[best_pairs[:, 1]]), best_pairs
+def transform_difference(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Turn (radians) and shift between two poses."""
+    m = invert(a) @ b
+    return float(np.linalg.norm(so3_log(m[:3, :3]))), float(np.linalg.norm(m[:3, 3]))
 
 
 def solve_pose_graph(n: int, edges: list[tuple[int, int, np.ndarray, np.ndarray]], fixed: int = 0, rounds: int = 50, huber: float = 3.0) -> list[np.ndarray]:

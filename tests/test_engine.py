@@ -192,7 +192,17 @@ def test_registration_and_assignment(spark, cloud):
     for n in (1, 3, 5):
         cost = r.random((n, n + 1))
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n + 1), n))
-        assert cost[np.arange(n), fit.assign(cost)].sum() == pytest.approx(best)
+        i, j = (v.ravel() for v in np.indices(cost.shape))
+        got = fit.assign(i.tolist(), j.tolist(), cost.ravel().tolist())
+        assert len(got) == n and cost.ravel()[got].sum() == pytest.approx(best)
+    for _ in range(40):  # few candidates: most pairs first, then the least cost
+        n, m = r.integers(1, 6, 2)
+        held = [(i, j, float(r.random() ** 4 * 50)) for i in range(n) for j in range(m) if r.random() < 0.5]
+        sets = [c for k in range(len(held) + 1) if k <= min(n, m) for c in itertools.combinations(range(len(held)), k)]
+        fits = [c for c in sets if all(len({held[q][s] for q in c}) == len(c) for s in (0, 1))]
+        size, best = min((-len(c), sum(held[q][2] for q in c)) for c in fits)
+        got = fit.assign(*[list(v) for v in zip(*held, strict=True)]) if held else []
+        assert len(got) == -size and sum(held[q][2] for q in got) == pytest.approx(best)
     assert fit.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-4)
 
 
@@ -291,13 +301,7 @@ def test_poses():
     edges.append((0, 4, np.eye(4), np.eye(6)))  # a wrong one of little weight
     got = s.solve_pose_graph(5, edges)
     assert all(np.abs(a - b).max() < 5e-3 for a, b in zip(got, truth, strict=True))
-    stems = np.column_stack([r.uniform(0, 30, (25, 2)), np.zeros(25)])
-    dbh = r.uniform(0.1, 0.5, 25)
-    m = s.se3_exp(np.array([3.0, -2, 0.5, 0, 0, 1.1]))
-    b = stems[3:] @ m[:3, :3].T + m[:3, 3] + r.normal(0, 0.01, (22, 3))
-    found, pairs = s.match_stem_maps(stems, b, dbh, dbh[3:])
-    assert np.abs(found - m).max() < 0.05 and len(pairs) >= 18
-    assert s.match_stem_maps(stems[:2], b[:1], dbh[:2], dbh[3:4])[0] is None
+    assert s.transform_difference(truth[1], truth[1] @ s.se3_exp(np.array([0.3, 0, 0.4, 0, 0, 0]))) == pytest.approx((0, 0.5), abs=1e-9)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
