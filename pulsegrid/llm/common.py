@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on through stages that need none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts with about ``limit`` characters each."""
     start = size = 0
@@ -86,6 +95,7 @@ def map_batches(
                 out = fn(part, state) if setup else fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -105,5 +115,6 @@ def keep_rows(docs: DataFrame, keep: Callable[[list, object], list[bool]], share
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 yield part.filter(pa.array(keep(part.column(at).to_pylist(), sent.value), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
