@@ -148,6 +148,7 @@ def pack(
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        give_back()
         enc = encoder(tokenizer_path(tokenizer), True)
         end = end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, slack, TaskContext.get().partitionId() << 32)

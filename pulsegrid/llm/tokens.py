@@ -34,10 +34,10 @@ BYTE_LEVEL = re.compile(f" ?{WORD}{END}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[
 #: Blocks of BPE that drops white space.
 WORD_LEVEL = re.compile(f"{WORD}{END}|[^ \\n\\t\\r]+")
 #: Distinct blocks that a worker remembers before it starts anew (a third of a kilobyte each), and the longest of them.
-CACHE_BLOCKS = 200_000
+CACHE_BLOCKS = 120_000
 CACHE_BYTES = 256
 #: Texts encoded at once; the more, the fewer of their blocks are new to each other.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Other new blocks that are encoded at once.
 TOGETHER = 2048
 
