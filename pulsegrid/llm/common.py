@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows handed to a Python worker at once; texts can be long, so this is small.
 SLICE_CHARS = 1 << 20
+#: Bytes of the rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,13 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Bound the bytes of a batch on its way to a Python worker, besides its rows, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1b") == "1b":
+        spark.conf.set(key, f"{limit}b")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, langid, neardup, oracles, packing, quality, secrets, token_store, warc_zip
+from . import chat, decontam, divergence, hard_negatives, html_extract, langid, multiprobe, neardup, oracles, packing, quality, secrets, token_store, warc_zip
 from .common import new_folder, read
 
 
@@ -56,6 +56,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), "vec_id % 50 = 0")
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.search(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -68,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_preferences": op9_preferences,
         "op10_secrets": op10_secrets,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_nearest_vectors": op13_nearest_vectors,
     }
 
 
@@ -77,4 +94,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": oracles.OP5,
         "op6_quality": oracles.OP6,
         "op9_preferences": oracles.OP9,
+        "op11_source_divergence": oracles.OP11,
+        "op12_hard_negatives": oracles.OP12,
     }
