@@ -42,6 +42,8 @@ PART_VECTORS, PART_QUERIES, CELLS = 8192, 4096, 1 << 22
 BROADCAST_SHARDS = 200_000
 #: Share of a part's vectors below which scores are taken pair by pair instead of as a product of matrices.
 FEW = 1 / 16
+#: Columns whose maxima bound a query's k-th best score from below.
+COLUMNS = 128
 
 HASHED = T.StructType([T.StructField("shard", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("id", T.LongType()), T.StructField("first", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
 SCORED = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -131,19 +133,33 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def promising(q: np.ndarray, c: np.ndarray, k: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold each query's k best, and few others, by single precision scores and their error bound."""
+    small = [(x / (np.abs(x).max(initial=0) or 1.0)).astype("f4") for x in (q, c)]
+    rough = small[0] @ small[1].T
+    if allowed is not None:
+        rough = np.where(allowed, rough, np.float32(-math.inf))
+    n = rough.shape[1]
+    floor = np.full(len(q), -math.inf, "f4")
+    if n > 8 * COLUMNS and k <= COLUMNS:
+        # the k-th largest of the columns' maxima is not above the k-th best
+        tops = rough[:, : n // COLUMNS * COLUMNS].reshape(len(q), -1, COLUMNS).max(1)
+        floor = np.partition(tops, COLUMNS - k, axis=1)[:, COLUMNS - k]
+    elif n > k:
+        floor = np.partition(rough, n - k, axis=1)[:, n - k]
+    slack = np.abs(small[0]).sum(1) * np.float32(2.0**-21 * (1 + q.shape[1] / 16))
+    keep = rough >= (floor - slack)[:, None]
+    if allowed is not None:
+        keep &= allowed
+    return np.nonzero(keep)
+
+
 def nearest(q: np.ndarray, c: np.ndarray, first: np.ndarray, k: int, allowed: np.ndarray | None = None):
     """``row of q, row of c, score`` of each query's k best; ties to the smaller ``first``."""
     if allowed is not None and allowed.mean() < FEW:
         i, j = np.nonzero(allowed)
     else:
-        rough = q @ c.T
-        if allowed is not None:
-            rough[~allowed] = -math.inf
-        n = rough.shape[1]
-        edge = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -math.inf)
-        # all that rounding may have put on the wrong side of the edge
-        slack = 1e-12 * np.abs(q).sum(1) * np.abs(c).max(initial=0)
-        i, j = np.nonzero((rough >= (edge - slack)[:, None]) & (rough > -math.inf))
+        i, j = promising(q, c, k, allowed)
     score = np.empty(len(i))
     for a in range(0, len(i), 1 << 16):
         score[a : a + (1 << 16)] = products(q[i[a : a + (1 << 16)]], c[j[a : a + (1 << 16)]])
@@ -255,7 +271,7 @@ def matched(k: int):
     schema = to_arrow_schema(SCORED)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
             q, c = matrix(left["vec"].combine_chunks()), matrix(right["vec"].combine_chunks())
             width = max(q.shape[1], c.shape[1])
@@ -279,10 +295,9 @@ def matched(k: int):
                     allowed = np.logical_or.reduceat(allowed, begins, axis=1)
                 asked = allowed.any(1)
                 i, j, score = nearest(q[a : a + step][asked], c, first, k, allowed[asked])
-                out[0] += qids[a : a + step][asked][i].tolist()
-                out[1] += ids[j].tolist()
-                out[2] += score.tolist()
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                for column, found in zip(out, (qids[a : a + step][asked][i], ids[j], score), strict=True):
+                    column.append(found)
+        return pa.Table.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
@@ -314,10 +329,11 @@ def search(vectors: DataFrame, query: str, k: int = 20, recall: float = 0.97) ->
     longest, dim = float(found.longest or 1.0), int(found.dim or 1)
 
     # Of equal vectors the first k + 1 ids are enough: no other can be among a query's k first, without its own row.
-    first = Window.partitionBy("embedding").orderBy(F.col("vec_id").asc_nulls_last(), "uid")
+    # The hash comes first: sorting by it compares few vectors.
+    first = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(F.col("vec_id").asc_nulls_last(), "uid")
     ranked = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
     member = F.struct("place", "vec_id", "uid")
-    distinct = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    distinct = ranked.groupBy(F.xxhash64("embedding"), "embedding").agg(F.sort_array(F.collect_list(member)).alias("members"))
     distinct = distinct.select(F.col("members")[0]["vec_id"].alias("first_id"), F.col("members")[0]["uid"].alias("uid"), "embedding", "members")
     distinct = stage(distinct, "distinct-vectors")
     asking = rows.filter(query)
