@@ -37,7 +37,7 @@ TABLES, WIDTH, CELL_VECTORS = 4, 2.0, 256
 #: Queries of the fitting sample at most, and cells that a query may visit in a table before the grid is made coarser.
 FIT_QUERIES, MOST_PROBES = 64, 1024
 #: Vectors and queries that meet in one task, and scores that it holds at once.
-PART_VECTORS, PART_QUERIES, CELLS = 8192, 4096, 1 << 22
+PART_VECTORS, PART_QUERIES, CELLS = 32768, 4096, 1 << 22
 #: Shards whose sizes are broadcast, a few bytes each.
 BROADCAST_SHARDS = 200_000
 #: Share of a part's vectors below which scores are taken pair by pair instead of as a product of matrices.
@@ -46,7 +46,7 @@ FEW = 1 / 16
 COLUMNS = 128
 
 HASHED = T.StructType([T.StructField("shard", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("id", T.LongType()), T.StructField("first", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-SCORED = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
+SCORED = T.StructType([T.StructField(n, T.LongType()) for n in ("qid", "id", "first")] + [T.StructField("score", T.DoubleType())])
 
 
 def boundary_orders(m: int, count: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def exact_sample(distinct: DataFrame, sample: list, k: int) -> DataFrame:
             c = matrix(batch.column(1))
             width = max(q.shape[1], c.shape[1])
             i, j, score = nearest(padded(q, width), padded(c, width), batch.column(0).to_numpy(), k)
-            cols = [pa.array(qids[i]), batch.column(0).take(pa.array(j)), pa.array(score), batch.column(1).take(pa.array(j)).cast(schema.field(3).type)]
+            cols = [pa.array(qids[i]), *[batch.column(0).take(pa.array(j))] * 2, pa.array(score), batch.column(1).take(pa.array(j)).cast(schema.field("vec").type)]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
@@ -271,7 +271,7 @@ def matched(k: int):
     schema = to_arrow_schema(SCORED)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]]
+        out = [[np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
             q, c = matrix(left["vec"].combine_chunks()), matrix(right["vec"].combine_chunks())
             width = max(q.shape[1], c.shape[1])
@@ -295,7 +295,7 @@ def matched(k: int):
                     allowed = np.logical_or.reduceat(allowed, begins, axis=1)
                 asked = allowed.any(1)
                 i, j, score = nearest(q[a : a + step][asked], c, first, k, allowed[asked])
-                for column, found in zip(out, (qids[a : a + step][asked][i], ids[j], score), strict=True):
+                for column, found in zip(out, (qids[a : a + step][asked][i], ids[j], first[j], score), strict=True):
                     column.append(found)
         return pa.Table.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
@@ -357,9 +357,8 @@ def search(vectors: DataFrame, query: str, k: int = 20, recall: float = 0.97) ->
     near = left.cogroup(right).applyInArrow(matched(k + 1), SCORED)
 
     # candidates of several tables merged, then rows for vectors
-    near = near.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    near = near.join(distinct.select(F.col("uid").alias("id"), "first_id"), "id")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("first_id").asc_nulls_last(), "id")
+    near = near.groupBy("qid", "id").agg(F.max("score").alias("score"), F.first("first").alias("first"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "first", "id")
     near = stage(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).select("qid", "id", "score"), "near-vectors")
     near = near.join(distinct.select(F.col("uid").alias("id"), "members"), "id").select("qid", "score", F.explode("members").alias("m"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("m.vec_id").asc_nulls_last(), "m.uid")
