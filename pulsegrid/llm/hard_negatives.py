@@ -190,6 +190,10 @@ def keyed_safe(dtype, most: int, n: int):
     return object if dtype is object or most * n >= SAFE else dtype
 
 
+def within(score: int) -> int:
+    return max(-(1 << 63), min(score, (1 << 63) - 1))
+
+
 def nearest_positives(k: int):
     """Of a block, each anchor's first ``k`` candidates of its own label."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -223,7 +227,7 @@ def nearest_positives(k: int):
                         out[1] += [int(anchors.id[x])] * len(keep)
                         out[2] += rows.uid[where].tolist()
                         out[3] += rows.ids(where)
-                        out[4] += [int(found[at, j]) for j in keep]
+                        out[4] += [within(int(found[at, j])) for j in keep]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
@@ -264,7 +268,7 @@ def hardest_negatives(k: int, low: int, high: int):
                         out[1] += [place] * len(keys)
                         out[2] += rows.uid[where].tolist()
                         out[3] += rows.ids(where)
-                        out[4] += [v // n for v in keys]
+                        out[4] += [within(v // n) for v in keys]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
@@ -279,7 +283,8 @@ def mine(vectors: DataFrame, anchor: str, positives: int = 5, negatives: int = 3
     zeros.  Every row is one of its own: rows that repeat an id are each other's
     positives, and an anchor that stands twice is answered twice.  A row with a
     null id is no anchor, comes last among ties and is given as null.  Other
-    columns are ignored; no rows give no rows.  Scores have to fit 64 bits.
+    columns are ignored; no rows give no rows.  A score beyond 64 bits counts as
+    the largest or smallest number of 64 bits.
     """
     rows = numbered(vectors.filter(F.col("label").isNotNull()), F.col("label").cast("long").alias("label"))
     bounded_batches(vectors.sparkSession)
