@@ -8,13 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows handed to a Python worker at once; texts can be long, so this is small.
 SLICE_CHARS = 1 << 20
 #: Bytes of the rows that Spark hands to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     from the files, and Python work before it is not repeated.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,6 +59,7 @@ def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -90,6 +93,7 @@ def map_batches(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         state = setup() if setup else None
@@ -110,11 +114,12 @@ def map_batches(
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list, object], list[bool]], shared: object) -> DataFrame:
-    """Rows whose ``text`` a function of texts keeps; ``shared`` is sent once, of bounded size.
+    """Rows whose ``text`` a function of texts keeps; ``shared``, or what it broadcasts, is sent once, of bounded size.
 
     Every column passes through unchanged, so no join brings them back.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
+    sent = shared if isinstance(shared, Broadcast) else docs.sparkSession.sparkContext.broadcast(shared)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -5,13 +5,13 @@ is one window) are hashed over numbers given to the benchmark's own words, and
 sent to every executor in blocks of bounded size.  A document's words become
 those numbers, 0 for any other word; rolling hashes of its windows are looked
 up, and a hit counts only if the numbers themselves agree.  Beyond one block the
-documents pass once for each, carrying what the blocks before found.
+documents pass once for each, carrying what the blocks before found in a written
+table: driver and executors hold one block's hash set at a time.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_rows, map_batches
+from .common import keep_rows, map_batches, stage
 
 #: A-Z become a-z, digits and bytes of other letters stay, all else parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,14 +45,15 @@ class Windows:
 
     def __init__(self, items: list[tuple], size: int):
         self.vocab: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, list]] = {}
+        found: dict[int, dict[tuple, dict]] = {}
+        named: dict[str | None, dict[str, None]] = {}
         for item, text in items:
+            named.setdefault(text, {}).update({} if item is None else {str(item): None})
+        for text, names in named.items():
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
             n = min(size, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
-                at = found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), [])
-                if item is not None and str(item) not in at:
-                    at.append(str(item))
+                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), {}).update(names)
         self.tables = {}
         for n, windows in found.items():
             rows = np.array(list(windows), "i8").reshape(-1, n)
@@ -114,7 +115,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks(benchmark: DataFrame, block_chars: int) -> int:
     """How many blocks hold the benchmark at about ``block_chars`` characters each."""
-    total = benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    texts = benchmark.select(F.col("text").cast("string").alias("text")).distinct()
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     return max(1, -(-total // block_chars))
 
 
@@ -130,38 +132,45 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int
     spark = docs.sparkSession
     empty = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items")]
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *empty)
-    tables = list(block_windows(benchmark, size, block_chars))
-    for i, table in enumerate(tables):
-        windows = spark.sparkContext.broadcast(table)
-        last = i == len(tables) - 1 and not keep_text
+    n = blocks(benchmark, block_chars)
+    for i in range(n):
+        windows = spark.sparkContext.broadcast(block_windows(benchmark, size, i, n))
+        last = i == n - 1
 
-        def run(rows, w, last=last):
+        def run(rows, w, bare=last and not keep_text):
             sizes, spans, items = w.scan(rows["text"])
             return {
                 "doc_id": rows["doc_id"],
-                "text": [None] * len(sizes) if last else rows["text"],
+                "text": [None] * len(sizes) if bare else rows["text"],
                 "n_words": sizes,
                 "spans": [[x for s in merged([*zip(old[::2], old[1::2], strict=True), *new]) for x in s] for old, new in zip(rows["spans"], spans, strict=True)],
                 "items": [sorted({*old, *new}) for old, new in zip(rows["items"], items, strict=True)],
             }
 
         out = map_batches(out, run, SCAN, setup=lambda w=windows: w.value)
+        if not last:
+            out = stage(out, "decontam-block")
+            windows.destroy()
     return out
 
 
-def block_windows(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[Windows]:
-    """The hash sets of the benchmark's blocks, one after another, each of bounded size."""
-    n = blocks(benchmark, block_chars)
-    source = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    for i in range(n):
-        part = source.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else source
-        yield Windows([(r[0], r[1]) for r in part.collect()], size)
+def block_windows(benchmark: DataFrame, size: int, i: int, n: int) -> Windows:
+    """The hash set of the benchmark's block number ``i`` of ``n``, of bounded size; equal texts are one."""
+    source = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    part = source.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else source
+    held = part.groupBy("text").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()
+    return Windows([(item, r["text"]) for r in held for item in r["items"] or [None]], size)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with all their columns."""
-    for windows in block_windows(benchmark, size, block_chars):
+    n = blocks(benchmark, block_chars)
+    for i in range(n):
+        windows = docs.sparkSession.sparkContext.broadcast(block_windows(benchmark, size, i, n))
         docs = keep_rows(docs, lambda texts, w: [not s for s in w.scan(texts)[1]], windows)
+        if i < n - 1:
+            docs = stage(docs, "decontam-clean")
+            windows.destroy()
     return docs
 
 
@@ -198,8 +207,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataF
     out = docs.select("doc_id", "text")
     hits = True
     while hits:
-        from .common import stage
-
         found = stage(scan(out, benchmark, size, keep_text=True), "decontam")
         hits = not found.filter(F.size("spans") > 0).isEmpty()
         out = found.select("doc_id", cut("text", "spans").alias("text"))

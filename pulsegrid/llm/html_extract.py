@@ -5,7 +5,8 @@ block from what it is by itself: where it stands (menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are out; an article
 element speaks for what it holds), its length, its link density and its density
 of stop words.  Short or doubtful blocks stay open, and the second pass gives
-them the label of their nearest decided neighbours.
+them the label of their nearest decided neighbours.  A short block in one element with main text is main text too, and a page
+without any long block keeps all that is not links.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ STOP_WORDS = {
     "es": "a al algo como con cuando de del desde donde el ella ellos en entre era es esta este esto ha hay hasta la las le les lo los más me mi muy nada ni no nos o para pero por porque qué que quien se ser si sin sobre son su sus también te todo tu un una uno y ya yo",
 }
 # Elements whose text never belongs to an article.
-OUT_TAGS = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe object svg annotation annotation-xml canvas audio video dialog menu datalist input label fieldset".split())
+OUT_TAGS = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe object svg annotation annotation-xml canvas audio video dialog menu datalist input fieldset".split())
 RAW_TAGS = frozenset("script style textarea title noscript template iframe svg".split())
 # Words of class and id attributes and of roles that name such parts.
 OUT_WORDS = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar submenu topbar breadcrumb breadcrumbs sidebar aside rail footer masthead cookie cookies consent gdpr ccpa notice notices notification alert popup modal overlay disclaimer newsletter subscribe subscription signup signin login register paywall share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond responses discussion feedback pagination pager toolbar search searchbox widget widgets skip hidden contentinfo complementary alertdialog".split()
 )
-# Those of them that name what readers write; however long, it is no article.
-READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion feedback".split())
+# Those of them that name what readers write and nothing else; however long, it is no article.
+READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+# Words that an article's own section may have for a name as well.
+TOPIC_WORDS = frozenset("responses discussion feedback".split())
+# Words that say nothing of what a part holds, so that the others of its name tell it all.
+PLAIN_WORDS = frozenset("area areas bar block body box button buttons card container count form frame group holder icon icons inner item items left link links list main outer panel post reader right section side slot strip thread title top unit user users wrap wrapper zone bottom".split())
 # Words that make a name tell of a page's layout, not of a part of it.
 LAYOUT_WORDS = frozenset("no not non has have with without is layout enabled disabled enable disable active inactive open closed js page template theme site wrapper wrap outer container col row grid result results single".split())
 HEAD_WORDS = frozenset("header siteheader pageheader topheader".split())
@@ -55,8 +60,8 @@ PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW_TAGS}
 
 
-#: How far a name rules a part out: not at all, unless it holds most of the page's text, or for good.
-IN, SOFT, OUT = 0, 1, 2
+#: How far a name rules a part out: not at all, its blocks that look like it, unless it holds most of the page's text, or for good.
+IN, WEAK, SOFT, OUT = 0, 1, 2, 3
 #: Scripts without blanks between words; a character says as much as some 2.5 letters.
 DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
@@ -89,26 +94,30 @@ def standing(tag: str, attributes: str, within: bool) -> tuple[int, bool]:
         elif name in ("class", "id", "role", "itemprop"):
             for token in value.split():
                 words = {w.lower() for w in PARTS.findall(token)}
-                if words & READER_WORDS and not words & LAYOUT_WORDS:
-                    return OUT, False
                 if words & OUT_WORDS and not words & LAYOUT_WORDS:
-                    gone = OUT if name == "role" else max(gone, SOFT)
+                    whole = words <= (OUT_WORDS - TOPIC_WORDS) | PLAIN_WORDS
+                    if name == "role" or whole and words & READER_WORDS:
+                        return OUT, False
+                    # in an article, one word of a longer name is as often what the part is about
+                    gone = max(gone, WEAK if within and not whole else SOFT)
                 elif token.lower() in HEAD_WORDS and not within:
                     gone = max(gone, SOFT)
                 holds = holds or tag in ("div", "section", "td") and (bool(words & KEPT_WORDS) or token.lower() in KEPT_WORDS)
     return gone, holds and gone == IN
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """``(text, characters in links, out, in an article, heading)`` in page order.
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, int]]:
+    """``(text, characters in links, out, in an article, heading, weak, holder)`` in page order.
 
     ``out`` is -1 for a part that is out for good, 0 for one that is not, else
-    the number of the outermost part that a name rules out.
+    the number of the outermost part that a name rules out.  ``weak`` says that a
+    name speaks against the block, ``holder`` is the number of the element around it.
     """
     found = []
-    stack: list[tuple[str, int, bool]] = []  # tag, out, article
-    out = parts = 0
-    article = heading = False
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, out, article, weak, number
+    opened: dict[str, int] = {}  # elements of the stack by tag, so that a stray end is not looked for
+    out = parts = holder = holders = 0
+    article = heading = weak = False
     links = link_chars = 0
     text: list[str] = []
     at = 0
@@ -118,7 +127,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                found.append((joined, link_chars, out, article, heading))
+                found.append((joined, link_chars, out, article, heading, weak, holder))
             text.clear()
         link_chars = 0
 
@@ -142,12 +151,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 links = max(0, links - 1)
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    out, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-                    break
+            if opened.get(tag):
+                flush()
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
+                _, out, article, weak, holder = stack[-1] if stack else ("", 0, False, False, 0)
             if tag in HEADINGS:
                 heading = False
             continue
@@ -179,12 +190,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             gone = parts
         if gone != out and tag not in BLOCK_TAGS:
             flush()
-        if tag in LOOSE_TAGS and gone == out:
+        doubt = weak or odd == WEAK
+        if tag in LOOSE_TAGS and gone == out and doubt == weak:
             continue
-        if tag in BLOCK_TAGS or tag in OUT_TAGS or gone != out:
-            here = article or holds
-            stack.append((tag, gone, here))
-            out, article = gone, here
+        if tag in BLOCK_TAGS or tag in OUT_TAGS or gone != out or doubt != weak:
+            holders += 1
+            out, article, weak, holder = gone, article or holds, doubt, holders
+            stack.append((tag, out, article, weak, holder))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return found
 
@@ -196,21 +209,20 @@ def main_text(page: str | None, rules: Rules) -> str:
     found = blocks(page)
     back = outweighing(found, rules)
     kept = [b for b in found if b[2] in (0, back)]
-    if any(b[3] for b in kept):
-        # an article element divides the page: what stands beside it is decided against
-        pool = [(b, None if b[3] else False) for b in kept]
-    else:
-        pool = [(b, None) for b in kept]
-    stops = [stop_words(b[0], rules) for b, _ in pool]
-    free = [s for (b, _), s in zip(pool, stops, strict=True) if b[1] <= rules.link * len(b[0])]
+    told = any(b[3] for b in kept)
+    stops = [stop_words(b[0], rules) for b in kept]
+    # an article element divides the page: what stands beside it is decided against
+    free = [s for b, s in zip(kept, stops, strict=True) if (b[3] or not told) and b[1] <= rules.link * len(b[0])]
     # a page that hardly uses the listed stop words is in a language without a list: length and links alone decide
     served = sum(s[0] for s in free) >= rules.served * sum(s[1] for s in free)
     labels: list[bool | str] = []
-    for ((text, link_chars, _, article, heading), fixed), (hits, words) in zip(pool, stops, strict=True):
+    for (text, link_chars, _, article, heading, weak, _), (hits, words) in zip(kept, stops, strict=True):
         size = length(text)
         density = link_chars / len(text)
         stop = hits / words if served else rules.high
-        if fixed is not None:
+        if told and not article:
+            labels.append(False)
+        elif weak and (density > rules.link or size < rules.short or stop < rules.low):
             labels.append(False)
         elif article:
             if density > rules.link and size < rules.long:
@@ -225,7 +237,22 @@ def main_text(page: str | None, rules: Rules) -> str:
             labels.append(True if size > rules.long else "near")
         else:
             labels.append("near" if stop >= rules.low else False)
-    return " ".join(b[0][0] for b, x in zip(pool, settle(labels, [b[0][3] for b in pool]), strict=True) if x)
+    if not told and True not in labels:
+        # a page of short blocks only: all that is not links
+        labels = [b[1] <= rules.link * len(b[0]) for b in kept]
+    main = beside(labels, settle(labels, [b[3] for b in kept]), [b[6] for b in kept])
+    return " ".join(b[0] for b, x in zip(kept, main, strict=True) if x)
+
+
+def beside(labels: list, main: list[bool], holders: list[int]) -> list[bool]:
+    """Short blocks in one element with main text next to them are main text as well."""
+    out = list(main)
+    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
+        for i in order:
+            last = i - 1 if order.step > 0 else i + 1
+            if labels[i] == "short" and not out[i] and out[last] and holders[i] == holders[last]:
+                out[i] = True
+    return out
 
 
 def stop_words(text: str, rules: Rules) -> tuple[int, int]:
@@ -236,7 +263,7 @@ def stop_words(text: str, rules: Rules) -> tuple[int, int]:
 def outweighing(found: list[tuple], rules: Rules) -> int:
     """The part that a name rules out although it holds an article or most of the long link-free text; 0 for none."""
     weight: dict[int, int] = {}
-    for text, link_chars, out, article, _ in found:
+    for text, link_chars, out, *_ in found:
         size = length(text)
         if out >= 0 and link_chars <= rules.link * len(text) and size > rules.long:
             weight[out] = weight.get(out, 0) + size
@@ -294,7 +321,7 @@ def extract(pages: DataFrame, short: int = 70, long: int = 200, link: float = 0.
 
     Null, empty or textless html gives an empty text.  Each row stands for
     itself, so repeated rows and null ids stay as they are; other columns are
-    ignored; no rows give no rows.  A page of any length is one pass of its text.
+    ignored; no rows give no rows.  A page of any length or depth is one pass of its text.
     """
 
     def run(rows, rules):

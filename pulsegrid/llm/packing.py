@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back
+from .common import bounded_batches, give_back
 from .tokens import SLICE_BYTES, encoder, tokenizer_path
 
 PIECE = T.StructType(
@@ -164,6 +164,7 @@ def pack(
         yield pa.RecordBatch.from_pydict(packer.take(with_ids), schema=arrow)
         give_back()
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

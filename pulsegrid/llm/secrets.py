@@ -1,7 +1,8 @@
 """Secret scan with a random forest against false findings, in DataFrame code only.
 
-Patterns name candidates: a value that is assigned to a telling word, a long
-run of letters and digits that has a digit, or a private key block.  A random
+Patterns name candidates: a value that is assigned to a telling word or follows it
+as an option, in a sentence or as an element, the password of an address's user, a
+long run of letters and digits that has a digit, or a private key block.  A random
 forest on length, character transitions, dictionary coverage, path and
 neighbouring words then decides.  It is trained on labelled findings: snippets
 of known kind, secret or not, set between words of a bounded sample of the
@@ -18,12 +19,21 @@ from .common import stage
 # The words, patterns and snippets of the scan.
 TELLING = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
 #: What opens a key block; no other value runs into it.
-BEGIN = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY"
+BEGIN = r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY"
 #: A whole block, with headers, real or literal line ends, up to its END line; it holds no other run of five dashes.
-BLOCK = rf"{BEGIN}(?: BLOCK)?-----(?![^-]{{0,15}}-----END)(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = rf"{BEGIN}(?: BLOCK)?-----(?![^-]{{0,15}}-----END)(?:[^-]++|-(?!----))*+-----END (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----"
 RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?:[A-Za-z0-9+/_=]|(?!{BEGIN})-){{16,}}+"
-PATTERN = rf"{BLOCK}|(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?(?:{BLOCK}|(?:[^\s\"'`,;<>-]|(?!{BEGIN})-){{8,}}+)|{RUN}"
-PREFIX = rf"^(?i:{TELLING})[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?"
+#: What stands before the value of an assignment, of an option or a sentence, of an element, and of an address's user.
+ASSIGNED = rf"(?i:{TELLING})[\"']?[ \t]*+(?:=>|:=|[:=])[ \t]*+[\"'`]?"
+OPTION = rf"--?(?i:{TELLING})[ \t]++(?![-=:])"
+SENTENCE = rf"(?i:{TELLING})[ \t]++(?:is[ \t]++|was[ \t]++)?+(?=[^\s0-9]*+[0-9])(?![-=:])"
+ELEMENT = rf"<(?i:{TELLING})>"
+USER = r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@\"'<>]*+:"
+PATTERN = (
+    rf"{BLOCK}|{ASSIGNED}(?:{BLOCK}|(?:[^\s\"'`,;<>-]|(?!{BEGIN})-){{8,}}+)|{USER}[^\s/@\"'<>]{{4,}}+(?=@)"
+    rf"|{ELEMENT}[^\s<>]{{4,}}+(?=</)|(?:{OPTION}|{SENTENCE})[^\s\"'`,;<>]{{6,}}+|{RUN}"
+)
+PREFIX = rf"^(?:{ASSIGNED}|{USER}|{ELEMENT}|{OPTION}|{SENTENCE})"
 NEAR_GOOD = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
 NEAR_BAD = r"(?i)(commit|sha-?(1|256|512)?|md5|checksum|digest|hash|etag|uuid|guid|revision|build|version|isbn|order|phone|card|account|serial|integrity|example|placeholder|dummy)"
 DICTIONARY = (
@@ -50,6 +60,11 @@ SECRET_SNIPPETS = [
     ("private_token: ", "mixed20", ""),
     ("credential => `", "pass20", "`"),
     ("passwd = ", "pass10", ";"),
+    ("password     = ", "pass12", ""),
+    ("mysql://root:", "pass12", "@db.local/app"),
+    ("--password ", "pass12", " --verbose"),
+    ("<password>", "pass12", "</password>"),
+    ("the password is ", "pass10", " for now"),
     ("the new secret is ", "mixed32", " for you"),
     ("auth with key ", "hex32", ""),
 ]
@@ -76,6 +91,11 @@ OTHER_SNIPPETS = [
     ("secret: ", "holder", ""),
     ("token = ", "call", ";"),
     ("tree/", "hex40", "/src"),
+    ("https://user:", "holder", "@www.example.com/"),
+    ("--password ", "call", " --verbose"),
+    ("<token>", "holder", "</token>"),
+    ("the token was ", "words", " before"),
+    ("secret ", "snake", " of"),
     ("id ", "uuid", " of"),
     ("revision ", "hex24", ""),
     ("account ", "digits22", ""),
@@ -150,7 +170,7 @@ def features(d: DataFrame) -> DataFrame:
         "marks": share(v, r"[^A-Za-z0-9]"),
         "after_path": F.when(F.col("before").rlike(r"[/.@#][A-Za-z0-9_-]{0,16}$|https?:\S*$"), 1.0).otherwise(0.0),
         "before_path": F.when(F.col("after").rlike(r"^(/|\.[a-z]{2,4}\b)"), 1.0).otherwise(0.0),
-        "assigned": F.when(F.col("before").rlike(r"(=>|:=|[:=])\s{0,3}[\"'`]?$"), 1.0).otherwise(0.0),
+        "assigned": F.when(F.col("before").rlike(r"(=>|:=|[:=])\s*+[\"'`]?$|^<[a-z_-]+>$"), 1.0).otherwise(0.0),
         "quoted": F.when(F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]"), 1.0).otherwise(0.0),
         "near_good": F.when(F.right("before", F.lit(32)).rlike(NEAR_GOOD), 1.0).otherwise(0.0),
         "near_bad": F.when(F.right("before", F.lit(32)).rlike(NEAR_BAD), 1.0).otherwise(0.0),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, stage
+from .common import bounded_batches, new_folder, stage
 from .tokens import SLICE_BYTES, encoder, tokenizer_path
 
 MAGIC = b"PGWM0001"
@@ -242,6 +242,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         .repartitionByRange(*order)
         .sortWithinPartitions(*order, "text")
     )
+    bounded_batches(docs.sparkSession)
     return ordered.mapInArrow(run, MANIFEST)
 
 

@@ -342,6 +342,50 @@ def test_secrets_of_any_length(spark):
     assert clean[2] == "key [SECRET] end"
 
 
+def test_values_at_any_distance_and_without_an_assignment(spark):
+    cases = [
+        ('password     = "hunterZwei"', "hunterZwei"),
+        ("password:\t \t \t s3cretValue", "s3cretValue"),
+        ("db at mysql://root:s3cretpw@db.local/x", "s3cretpw"),
+        ("run --password hunterZwei --now", "hunterZwei"),
+        ("<password>hunter2x</password>", "hunter2x"),
+        ("the password is hunter22 now", "hunter22"),
+        ("see https://www.example.com:8080/path and a secret life", None),
+        ("the token was lost", None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for x in secrets.candidates(docs, "doc_id").select("doc_id", "start", "value").collect():
+        got[x.doc_id].append(x.value)
+        assert cases[x.doc_id][0][x.start :].startswith(x.value)
+    assert [got[i] for i in range(len(cases))] == [[v] if v else [] for _, v in cases]
+
+
+def test_the_benchmark_is_held_one_block_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    live, most = weakref.WeakSet(), []
+
+    build = decontam.Windows.__init__
+
+    def counted(self, items, size):
+        gc.collect()
+        most.append(len(live))
+        live.add(self)
+        build(self, items, size)
+
+    monkeypatch.setattr(decontam.Windows, "__init__", counted)
+    bench = spark.createDataFrame([(i, f"item{i % 40} has some words of its own here and z{i % 40}") for i in range(80)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before item{i} has some words of its own here and z{i} after all" if i % 2 else f"clean text number {i}") for i in range(60)], "doc_id long, text string")
+    chars = sum(len(r.text) for r in bench.select("text").distinct().collect())
+    got = {r.doc_id: r.n_items for r in decontam.digest(decontam.scan(docs, bench, block_chars=-(-chars // 10))).collect()}
+    assert got == {i: 2 * (i % 2 and i < 40) for i in range(60)} and len(most) >= 10 and max(most) == 0
+    most.clear()
+    assert {r.doc_id for r in decontam.keep_clean(docs, bench, block_chars=-(-chars // 10)).collect()} == {i for i in range(60) if not (i % 2 and i < 40)}
+    assert len(most) >= 10 and max(most) == 0
+
+
 def test_forest_is_the_same_in_every_run(spark):
     docs = spark.createDataFrame([(i, f"word{i} and more words for number {i}") for i in range(50)], "doc_id long, text string")
     a, b = (sorted(map(tuple, secrets.labelled(d, 20).collect())) for d in (docs.repartition(1), docs.repartition(7)))

@@ -65,6 +65,35 @@ def test_main_text_of_ordinary_pages(html, text):
     assert h.main_text(html, h.Rules()) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # names that are an article's own subject
+        (page(f"<div id='feedback-loops'><p>{LONG}</p><p>{SENTENCE}</p></div>"), f"{LONG} {SENTENCE}"),
+        (page(f"<article><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>"), f"{LONG} {LONG}"),
+        (page(f"<article><p class='trending-topic'>{SENTENCE}</p><div class='widget-text'>{SENTENCE}</div><label>{SENTENCE}</label></article>"), f"{SENTENCE} {SENTENCE} {SENTENCE}"),
+        (page(f"<article><p>{SENTENCE}</p><div class='share-this-story'>Share now</div><div class='related-stories'><p><a href=1>{SENTENCE}</a></div></article>"), SENTENCE),
+        (page(f"<article><p>{SENTENCE}</p><div class='comment-list'><p>{LONG}</p></div><div class='discussion'><div class='comment'><p>{LONG}</p></div></div></article>"), SENTENCE),
+        # short blocks
+        ("<h1>Storm</h1><p>The storm hit the town on Friday.</p><p>No one was hurt.</p>", "Storm The storm hit the town on Friday. No one was hurt."),
+        ("Just a bare text.", "Just a bare text."),
+        (page("<nav><a href=1>Home</a></nav><p>One short.</p><p><a href=2>Next page</a></p>"), "One short."),
+        (page(f"<div><p>{LONG}</p><p>He said no.</p><p>So did she.</p></div><div>Site 2024</div>"), f"{LONG} He said no. So did she."),
+        (page(f"<div><p>Dear all,</p><p>{LONG}</p></div>"), f"Dear all, {LONG}"),
+    ],
+)
+def test_names_and_short_blocks(html, text):
+    assert h.main_text(html, h.Rules()) == text
+
+
+def test_deep_pages_take_one_pass():
+    import time
+
+    begun = time.time()
+    h.main_text("<div>" * 60_000 + "</b></span></section>" * 60_000 + "text", h.Rules())
+    assert time.time() - begun < 20
+
+
 def brute_settle(labels, article):
     """The second pass from its words: for each open block look both ways for the nearest decided one."""
     out = []
