@@ -72,25 +72,125 @@ def clusters(points: DataFrame, radius: float, least: int = 1) -> DataFrame:
     return held.join(counts, "component").select("pid", F.when(F.col("n") >= least, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("cluster"))
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, reach: float = float("inf")) -> DataFrame:
-    """``pid, dist, source`` from the nearest of many sources along weighted edges.
-
-    Every round relaxes the edges of the nodes that the last one improved, until
-    none is improved; ties go to the smaller source.
+#: Nodes of a tile, in which one task follows paths to their ends.
+TILE_NODES = 50_000
+#: Tiles up to which the list of those with news is broadcast.
+BROADCAST_TILES = 100_000
+#: ``still`` counts the last steps that cost nothing: among points of one place it keeps predecessors from making a ring.
+LABEL = "tile int, pid long, dist double, source long, still int, pred long, own boolean"
+LABELS = ("dist", "source", "still", "pred")
+
+
+def tiled_nodes(nodes: DataFrame, size: int = TILE_NODES) -> DataFrame:
+    """``pid, tile``: tiles of about ``size`` nodes each, compact where nodes have x and y."""
+    n = nodes.count()
+    tiles = max(1, -(-n // size))
+    if not {"x", "y"} <= set(nodes.columns):
+        return cut(nodes.select("pid").repartitionByRange(tiles, "pid").withColumn("tile", F.spark_partition_id()))
+    low, high = nodes.agg(F.min("x"), F.max("x")).first()
+    width = ((high or 0.0) - (low or 0.0)) / tiles**0.5 or 1.0
+    stripes = nodes.select("pid", "y", F.floor((F.col("x") - F.lit(low)) / width).alias("stripe"))
+    return cut(stripes.repartitionByRange(tiles, "stripe", "y", "pid").select("pid", F.spark_partition_id().alias("tile")))
+
+
+def relax(reach: float):
+    """Of one tile: labels that fresh ones improve, and what they offer to nodes of other tiles."""
+    import heapq
+
+    import numpy as np
+    import pandas as pd
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tile = int(key[0])
+        right = right.sort_values("src", kind="stable")
+        names = np.unique(np.concatenate([right["src"].to_numpy("i8"), left["pid"].to_numpy("i8")]))
+        begin = np.searchsorted(right["src"].to_numpy("i8"), names).tolist() + [len(right)]
+        inner = (right["dtile"] == tile).to_numpy()
+        to = np.where(inner, np.searchsorted(names, right["dst"].to_numpy("i8")), -1).tolist()
+        dst, dtile, cost, pids = right["dst"].tolist(), right["dtile"].tolist(), right["cost"].tolist(), names.tolist()
+        best: list = [None] * len(pids)
+        changed: set = set()
+        offers: dict = {}
+        heap: list = []
+
+        def improve(i: int, label: tuple) -> None:
+            old = best[i]
+            if old is None or label < old:
+                best[i] = label
+                changed.add(i)
+                if old is None or label[:3] < old[:3]:
+                    heapq.heappush(heap, (*label[:3], i))
+
+        at = np.searchsorted(names, left["pid"].to_numpy("i8")).tolist()
+        labels = list(zip(at, zip(*(left[c].tolist() for c in LABELS), strict=True), left["fresh"].tolist(), strict=True))
+        for i, label, fresh in labels:
+            if not fresh:
+                best[i] = label
+        for i, label, fresh in labels:
+            if fresh:
+                improve(i, label)
+        while heap:
+            d, source, still, i = heapq.heappop(heap)
+            if best[i][:3] != (d, source, still):
+                continue
+            for k in range(begin[i], begin[i + 1]):
+                far = d + cost[k]
+                if far > reach:
+                    continue
+                label = (far, source, 0 if far > d else still + 1, pids[i])
+                if to[k] >= 0:
+                    improve(to[k], label)
+                elif dst[k] not in offers or label < offers[dst[k]][0]:
+                    offers[dst[k]] = label, dtile[k]
+        rows = [(tile, pids[i], *best[i], True) for i in changed]
+        rows += [(t, pid, *label, False) for pid, (label, t) in offers.items()]
+        return pd.DataFrame(rows, columns=["tile", "pid", *LABELS, "own"])
+
+    return run
+
+
+def path_tree(nodes: DataFrame, edges: DataFrame, sources: DataFrame, reach: float = float("inf"), tile_nodes: int = TILE_NODES) -> DataFrame:
+    """``pid, dist, source, pred`` along the cheapest paths from many sources; a source is its own ``pred``.
+
+    Tiles with news follow them to their ends by themselves; only what crosses a
+    tile's border takes another round, so that rounds follow the tiles that a
+    path crosses, not its steps.  Ties go to the smaller source, then the smaller
+    predecessor.
     """
-    both = cut(edges.select("src", "dst", "cost").union(edges.select(F.col("dst"), F.col("src"), "cost")))
-    best = cut(sources.select("pid", F.lit(0.0).alias("dist"), F.col("pid").alias("source")))
-    front = best
-    while True:
-        step = front.join(both, front["pid"] == both["src"]).select(F.col("dst").alias("pid"), (F.col("dist") + F.col("cost")).alias("dist"), "source").filter(F.col("dist") <= reach)
-        step = step.groupBy("pid").agg(F.min(F.struct("dist", "source")).alias("s")).select("pid", "s.*")
-        old = best.select("pid", F.col("dist").alias("d0"), F.col("source").alias("s0"))
-        better = F.col("d0").isNull() | (F.col("dist") < F.col("d0")) | ((F.col("dist") == F.col("d0")) & (F.col("source") < F.col("s0")))
-        front = cut(step.join(old, "pid", "left").filter(better).select("pid", "dist", "source"))
-        if front.isEmpty():
-            break
-        best = cut(best.join(front.select("pid"), "pid", "left_anti").union(front))
-    return nodes.select("pid").join(best, "pid", "left")
+    tiles = tiled_nodes(nodes, tile_nodes)
+    n_tiles = -(-nodes.count() // tile_nodes)
+    both = edges.select("src", "dst", "cost").union(edges.select(F.col("dst"), F.col("src"), "cost"))
+    ends = tiles.select(F.col("pid").alias("src"), "tile"), tiles.select(F.col("pid").alias("dst"), F.col("tile").alias("dtile"))
+    links = both.join(ends[0], "src").join(ends[1], "dst").select("tile", "src", "dst", "cost", "dtile")
+    links = cut(links.repartition("tile").sortWithinPartitions("tile", "src"))
+
+    def least(parts: list[DataFrame]) -> DataFrame:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.groupBy("tile", "pid").agg(F.min(F.struct(*LABELS)).alias("l")).select("tile", "pid", "l.*")
+
+    front = cut(sources.select("pid").distinct().join(tiles, "pid").select("tile", "pid", F.lit(0.0).alias("dist"), F.col("pid").alias("source"), F.lit(0).alias("still"), F.col("pid").alias("pred")))
+    log = [front.limit(0)]
+    while not front.isEmpty():
+        news = front.select("tile").distinct()
+        news = F.broadcast(news) if n_tiles <= BROADCAST_TILES else news
+        known = least(log).join(news, "tile", "left_semi").withColumn("fresh", F.lit(False))
+        left = known.unionByName(front.withColumn("fresh", F.lit(True)))
+        out = left.groupBy("tile").cogroup(links.join(news, "tile", "left_semi").groupBy("tile")).applyInPandas(relax(reach), LABEL)
+        out = cut(out)
+        log.append(out.filter("own").drop("own"))
+        if len(log) > 8:
+            log = [cut(least(log))]
+        offers = least([out.filter("not own").drop("own")])
+        old = least(log).select("pid", F.struct(*LABELS).alias("old"))
+        front = cut(offers.join(old, "pid", "left").filter(F.col("old").isNull() | (F.struct(*LABELS) < F.col("old"))).drop("old"))
+    return nodes.select("pid").join(least(log).drop("tile", "still"), "pid", "left")
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, reach: float = float("inf")) -> DataFrame:
+    """``pid, dist, source`` from the nearest of many sources along weighted edges; nothing where no path leads."""
+    return path_tree(nodes, edges, sources, reach).drop("pred")
 
 
 def raster_components(cells: DataFrame, eight: bool = False) -> DataFrame:

@@ -40,13 +40,13 @@ def query(sql: str | None = None, doubles: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more, scanning, stored, wider  # noqa: F401  registers further queries
+    from . import forest, more, scanning, stored, wider  # noqa: F401  registers further queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more, scanning, stored, wider  # noqa: F401
+    from . import forest, more, scanning, stored, wider  # noqa: F401
 
     return dict(ORACLES)
 
