@@ -23,17 +23,18 @@ BEGIN = r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY"
 #: A whole block, with headers, real or literal line ends, up to its END line; it holds no other run of five dashes.
 BLOCK = rf"{BEGIN}(?: BLOCK)?-----(?![^-]{{0,15}}-----END)(?:[^-]++|-(?!----))*+-----END (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----"
 RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?:[A-Za-z0-9+/_=]|(?!{BEGIN})-){{16,}}+"
-#: What stands before the value of an assignment, of an option or a sentence, of an element, and of an address's user.
-ASSIGNED = rf"(?i:{TELLING})[\"']?[ \t]*+(?:=>|:=|[:=])[ \t]*+[\"'`]?"
-OPTION = rf"--?(?i:{TELLING})[ \t]++(?![-=:])"
-SENTENCE = rf"(?i:{TELLING})[ \t]++(?:is[ \t]++|was[ \t]++)?+(?=[^\s0-9]*+[0-9])(?![-=:])"
-ELEMENT = rf"<(?i:{TELLING})>"
-USER = r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@\"'<>]*+:"
+#: A telling word; its first letter is looked at before the words are tried.
+HEAD = rf"(?=[acpstACPST])(?i:{TELLING})"
+#: What stands between it and the value: of an assignment, and of a sentence that has a digit in the value.
+ASSIGN = r"[\"']?[ \t]*+(?:=>|:=|[:=])[ \t]*+[\"'`]?"
+SAID = r"[ \t]++(?:(?:is|was)[ \t]++)?+"
+#: What an address's user is set between.
+USER = r"://[^\s/:@\"'<>]*+:"
 PATTERN = (
-    rf"{BLOCK}|{ASSIGNED}(?:{BLOCK}|(?:[^\s\"'`,;<>-]|(?!{BEGIN})-){{8,}}+)|{USER}[^\s/@\"'<>]{{4,}}+(?=@)"
-    rf"|{ELEMENT}[^\s<>]{{4,}}+(?=</)|(?:{OPTION}|{SENTENCE})[^\s\"'`,;<>]{{6,}}+|{RUN}"
+    rf"{BLOCK}|{HEAD}(?:{ASSIGN}(?:{BLOCK}|(?:[^\s\"'`,;<>-]|(?!{BEGIN})-){{8,}}+)|>[^\s<>]{{4,}}+(?=</)|{SAID}(?![-=:])(?=[^\s0-9]*+[0-9])[^\s\"'`,;<>]{{6,}}+)"
+    rf"|(?<=-){HEAD}[ \t]++(?![-=:])[^\s\"'`,;<>]{{6,}}+|{USER}[^\s/@\"'<>]{{4,}}+(?=@)|{RUN}"
 )
-PREFIX = rf"^(?:{ASSIGNED}|{USER}|{ELEMENT}|{OPTION}|{SENTENCE})"
+PREFIX = rf"^(?:{HEAD}(?:{ASSIGN}|>|{SAID})|{USER})"
 NEAR_GOOD = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
 NEAR_BAD = r"(?i)(commit|sha-?(1|256|512)?|md5|checksum|digest|hash|etag|uuid|guid|revision|build|version|isbn|order|phone|card|account|serial|integrity|example|placeholder|dummy)"
 DICTIONARY = (
@@ -170,7 +171,7 @@ def features(d: DataFrame) -> DataFrame:
         "marks": share(v, r"[^A-Za-z0-9]"),
         "after_path": F.when(F.col("before").rlike(r"[/.@#][A-Za-z0-9_-]{0,16}$|https?:\S*$"), 1.0).otherwise(0.0),
         "before_path": F.when(F.col("after").rlike(r"^(/|\.[a-z]{2,4}\b)"), 1.0).otherwise(0.0),
-        "assigned": F.when(F.col("before").rlike(r"(=>|:=|[:=])\s*+[\"'`]?$|^<[a-z_-]+>$"), 1.0).otherwise(0.0),
+        "assigned": F.when(F.col("before").rlike(r"(=>|:=|[:=])\s*+[\"'`]?$|<[A-Za-z_-]+>$"), 1.0).otherwise(0.0),
         "quoted": F.when(F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]"), 1.0).otherwise(0.0),
         "near_good": F.when(F.right("before", F.lit(32)).rlike(NEAR_GOOD), 1.0).otherwise(0.0),
         "near_bad": F.when(F.right("before", F.lit(32)).rlike(NEAR_BAD), 1.0).otherwise(0.0),
