@@ -14,22 +14,26 @@ FIELDS = ("rays", "hits", "path", "free_path", "intercepted")
 TRACED = T.StructType([T.StructField(c, T.LongType()) for c in ("ix", "iy", "iz")] + [T.StructField(c, T.DoubleType()) for c in FIELDS])
 
 
-def crossings(origin: np.ndarray, end: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def crossings(origin: np.ndarray, end: np.ndarray, size: float, every: int = 1, within: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Voxels that segments cross: index of the segment, voxel, entry and exit along it.
 
     All segments are cut together where they meet grid planes; a piece's middle
-    names its voxel.
+    names its voxel.  ``every`` takes each so manieth plane only, and names blocks
+    of so many voxels.  ``within``, a block's first voxel and its width, leaves out
+    what lies elsewhere: cuts inside the block are the same numbers as without.
     """
     d = end - origin
     length = np.sqrt((d * d).sum(axis=1))
     cuts_i, cuts_t = [np.arange(len(d)), np.arange(len(d))], [np.zeros(len(d)), np.ones(len(d))]
     for a in range(3):
         lo, hi = np.minimum(origin[:, a], end[:, a]) / size, np.maximum(origin[:, a], end[:, a]) / size
-        first, last = np.floor(lo).astype("i8") + 1, np.ceil(hi).astype("i8") - 1
+        first, last = np.floor(lo / every).astype("i8") + 1, np.ceil(hi / every).astype("i8") - 1
+        if within is not None:
+            first, last = np.maximum(first, within[0][a]), np.minimum(last, within[0][a] + within[1])
         n = np.maximum(last - first + 1, 0)
         i = np.repeat(np.arange(len(d)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        plane = (np.repeat(first, n) + step) * size
+        plane = (np.repeat(first, n) + step) * every * size
         cuts_i.append(i)
         cuts_t.append((plane - origin[i, a]) / d[i, a])
     i, t = np.concatenate(cuts_i), np.concatenate(cuts_t)
@@ -38,7 +42,11 @@ def crossings(origin: np.ndarray, end: np.ndarray, size: float) -> tuple[np.ndar
     same = (i[1:] == i[:-1]) & (t[1:] > t[:-1])
     ray, enter, leave = i[:-1][same], t[:-1][same], t[1:][same]
     middle = origin[ray] + d[ray] * ((enter + leave) / 2)[:, None]
-    return ray, np.floor(middle / size).astype("i8"), enter * length[ray], leave * length[ray]
+    voxel = np.floor(middle / size).astype("i8")
+    if within is not None:
+        own = ((voxel >= within[0]) & (voxel < np.asarray(within[0]) + within[1])).all(1)
+        ray, voxel, enter, leave = ray[own], voxel[own], enter[own], leave[own]
+    return ray, voxel // every, enter * length[ray], leave * length[ray]
 
 
 def trace(rays: DataFrame, size: float) -> DataFrame:
