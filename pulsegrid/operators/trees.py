@@ -302,21 +302,51 @@ def prune(found: DataFrame, distance: float, quality: str = "n_points", dims: in
     Better is more of ``quality``, of equals the smaller id; a tree yields only to
     one that is not yielding itself, so the best of a chain stays.
     """
+    from .graph import tiled_nodes
     from .neighbours import radius_join
 
     axes = ("x", "y", "z")[:dims]
     q = found.select(F.col("tree_id").alias("id"), *axes, F.col(quality).alias("q0"))
     near = radius_join(q, found.select(F.col("tree_id").alias("pid"), *axes, F.col(quality).alias("q1")), distance, dims, keep=("id", "q0"), many=True)
-    pairs = cut(near.filter((F.col("id") != F.col("pid")) & ((F.col("q1") > F.col("q0")) | ((F.col("q1") == F.col("q0")) & (F.col("pid") < F.col("id"))))).select("id", F.col("pid").alias("better")))
-    state = cut(found.select(F.col("tree_id").alias("id"), F.lit(None).cast("boolean").alias("stays")))
-    while True:
-        seen = state.withColumnsRenamed({"id": "better", "stays": "b"})
-        votes = pairs.join(seen, "better").groupBy("id").agg(F.max("b").alias("beaten"), F.min(F.coalesce(F.col("b").cast("int") * 0 + 1, F.lit(0))).alias("known"))
-        nxt = state.join(votes, "id", "left").select("id", F.coalesce("stays", F.when(F.col("beaten"), F.lit(False)).when(F.coalesce("known", F.lit(1)) == 1, F.lit(True))).alias("stays"))
-        state = cut(nxt)
-        if state.filter("stays is null").isEmpty():
-            break
-    return found.join(state.filter("stays").select(F.col("id").alias("tree_id")), "tree_id", "left_semi")
+    pairs = near.filter((F.col("id") != F.col("pid")) & ((F.col("q1") > F.col("q0")) | ((F.col("q1") == F.col("q0")) & (F.col("pid") < F.col("id"))))).select("id", "q0", F.col("pid").alias("better"))
+    tiles = tiled_nodes(found.select(F.col("tree_id").alias("pid"), "x", "y"), PRUNE_TILE).withColumnRenamed("pid", "id")
+    waiting = cut(pairs.join(tiles, "id"))
+    settled = cut(found.select(F.col("tree_id").alias("id")).join(waiting.select("id").distinct(), "id", "left_anti").withColumn("stays", F.lit(True)))
+    while not waiting.isEmpty():
+        known = settled.withColumnsRenamed({"id": "better"})
+        new = cut(waiting.join(known, "better", "left").groupBy("tile").applyInPandas(settle_tile, "id long, stays boolean"))
+        waiting = cut(waiting.join(new.select("id"), "id", "left_anti"))
+        settled = cut(settled.union(new))
+    return found.join(settled.filter("stays").select(F.col("id").alias("tree_id")), "tree_id", "left_semi")
+
+
+#: Trees or points of a tile, in which one task settles whole chains.
+PRUNE_TILE = 20_000
+
+
+def settle_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one tile: what is settled by better ones that are settled already, or become so here.
+
+    The best comes first, so one pass takes a chain to its end; only what waits
+    for another tile is left.
+    """
+    pdf = pdf.sort_values(["q0", "id"], ascending=[False, True], na_position="first", kind="stable")
+    own: dict[int, bool | None] = {}
+    group, beaten, unknown = None, False, False
+
+    def close() -> None:
+        if group is not None:
+            own[group] = False if beaten else None if unknown else True
+
+    for i, better, stays in zip(pdf["id"].tolist(), pdf["better"].tolist(), pdf["stays"].tolist(), strict=True):
+        if i != group:
+            close()
+            group, beaten, unknown = i, False, False
+        now = own.get(better) if stays is None or stays != stays else stays
+        beaten, unknown = beaten or now is True, unknown or now is None
+    close()
+    done = [(i, v) for i, v in own.items() if v is not None]
+    return pd.DataFrame({"id": [i for i, _ in done], "stays": [v for _, v in done]})
 
 
 def contacts(points: DataFrame, distance: float) -> DataFrame:
@@ -332,8 +362,8 @@ def contacts(points: DataFrame, distance: float) -> DataFrame:
 def min_distance_subsample(points: DataFrame, distance: float) -> DataFrame:
     """Points so that no two kept ones are nearer than ``distance``; a point goes if an earlier kept one is that near.
 
-    Rounds settle all points whose earlier neighbours are settled, so their
-    number follows the longest chain of neighbours in the points' order.
+    A task settles whole chains of neighbours within its tile, so rounds follow
+    the tiles that a chain crosses, not its points.
     """
     near = math.nextafter(distance, 0.0)  # a point at the distance itself stays
     keyed = points.select(F.col("pid").alias("tree_id"), "x", "y", "z", F.lit(0).alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import metrics, neighbours, pulses, scans
+from ..operators import metrics, neighbours, pulses, scans, targets
 from ..operators import points as ops
 from .catalog import query
 from .views import centres, later_points, shots
@@ -147,3 +147,11 @@ def grid_aggregates(spark, d):
 def transform_vectors(spark, d):
     s = shots(spark, d).withColumns(pulses.direction(F.col("zenith"), F.col("azimuth")))
     return ops.transform_vectors(s.select("shot_id", "dx", "dy", "dz"), ops.translation(5.0, 1.0, 2.0) @ ops.rotation_z(30.0), ("dx", "dy", "dz"))
+
+
+@query("SELECT id AS id_a, id AS id_b FROM centres WHERE id % 9 <> 0")
+def match_targets(spark, d):
+    """Targets of two scans, one turned, moved and thinned; a supplier's balance is its target's height."""
+    a = centres(spark, d).select("id", "x", "y", (F.col("value") / 1000).alias("z"))
+    b = ops.transform(a.filter("id % 9 <> 0"), ops.translation(-4.0, 11.0, 0.5) @ ops.rotation_z(-73.0))
+    return targets.match_targets(a, b, 0.02, 0.01)[1].select("id_a", "id_b")
