@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 SLICE_CHARS = 1 << 20
 #: Bytes of the rows that Spark hands to a Python worker at once.
 BATCH_BYTES = 4 << 20
+#: Folders that go when the application ends.
+MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +50,22 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     bounded_batches(spark)
     path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    if (root := shared_dir(spark)) not in MARKED:
+        MARKED.add(root)
+        _folder(spark, root, lambda files, at: files.deleteOnExit(at))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str, do: Callable) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has staged so far; frames that still read it must be done."""
+    _folder(spark, shared_dir(spark), lambda files, at: files.delete(at, True))
+
+
 def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Bound the bytes of a batch on its way to a Python worker, besides its rows, unless the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

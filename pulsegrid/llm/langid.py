@@ -167,7 +167,7 @@ def remainder(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % 4
 
 
-def sample(docs: DataFrame, per_lang: int = 800, max_chars: int = 20_000, all_chars: int = 1 << 30) -> list[tuple[str, str, bool]]:
+def sample(docs: DataFrame, per_lang: int = 800, max_chars: int = 20_000, all_chars: int = 1 << 28) -> list[tuple[str, str, bool]]:
     """Labelled rows for training: about ``per_lang`` of every language, by hash.
 
     The bounds are parameters: at most ``2 * per_lang`` rows of a language reach
