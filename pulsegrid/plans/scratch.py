@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Holds the folder of a local session whose checkpoint folder is unset.
 LOCAL = "spark.pulsegrid.cuts"
+#: Folders that go when the application ends.
+MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     sound statistics; a lost executor costs a read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    root = shared_dir(spark)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
+    if root not in MARKED:
+        _, file_system, folder = hadoop(spark, root)
+        MARKED.add(root)
+        file_system.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The JVM, the file system of a path, and the path there."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has cut so far; frames that still read it must be done."""
+    _, file_system, folder = hadoop(spark, shared_dir(spark))
+    file_system.delete(folder, True)
