@@ -15,7 +15,10 @@ from pulsegrid.llm.common import read, stage
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the identifier does not reject."""
+    """Documents whose language the identifier does not reject; null texts and those without letters go.
+
+    Ids decide nothing: rows with a null id or a repeated one are each judged by their own text.
+    """
     model = langid.train(langid.sample(docs))
     return langid.keep_identified(docs, model)
 
@@ -42,17 +45,17 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null texts have no words and stay, each row is judged by itself."""
     return decontam.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced; rows that share an id keep their own texts, null texts and ids stay as they are."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids; a null text is the end id alone, a null id stays null, repeated rows are packed each for itself."""
     return packing.pack(docs)
 
 
