@@ -63,11 +63,24 @@ def fuse_profiles(profiles: DataFrame, keys: tuple[str, ...] = ("layer",)) -> Da
     return profiles.groupBy(*keys).agg(ratio(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("value"), F.sum("weight").alias("weight"))
 
 
+#: Positions up to which each point is held against all of them.
+FEW_ORIGINS = 32
+
+
 def scan_ids(points: DataFrame, origins: DataFrame) -> DataFrame:
-    """Points with the ``scan_id`` of the nearest scanner position; a survey has few, so they are sent whole."""
-    o = origins.select(F.collect_list(F.struct("scan_id", "x", "y", "z")).alias("o")).first()["o"]
-    if len(o) > 10_000:
-        raise ValueError("too many origins: use the nearest join")
+    """Points with the ``scan_id`` of the nearest scanner position, of equally near ones the smaller.
+
+    A few positions stand in the expression itself; more of them are met by the
+    nearest join, from a radius at which a point sees a position or two.
+    """
+    o = origins.select("scan_id", "x", "y", "z").limit(FEW_ORIGINS + 1).collect()
+    if len(o) > FEW_ORIGINS:
+        from .neighbours import nearest
+
+        r = origins.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+        start = max(math.sqrt(max(r["x"] * r["y"], r["x"] ** 2, r["y"] ** 2) / r["n"]), r["z"], 1e-3)
+        found = nearest(points.select(F.col("pid").alias("id"), "x", "y", "z"), origins.select(F.col("scan_id").alias("pid"), "x", "y", "z"), start, 1e7)
+        return points.join(found.select(F.col("id").alias("pid"), F.col("pid").alias("scan_id")), "pid")
     d2 = [(F.col("x") - p["x"]) ** 2 + (F.col("y") - p["y"]) ** 2 + (F.col("z") - p["z"]) ** 2 for p in o]
     each = F.array(*[F.struct(d.alias("d2"), F.lit(p["scan_id"]).alias("scan_id")) for d, p in zip(d2, o, strict=True)])
     return points.withColumn("scan_id", F.array_min(each)["scan_id"])

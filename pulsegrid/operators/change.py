@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,16 +56,23 @@ def m3c2(cores: DataFrame, a: DataFrame, b: DataFrame, radius: float, depth: flo
     """Distance along each core point's normal between the means of two clouds in a cylinder.
 
     ``cores(id, x, y, z, nx, ny, nz)``; a cylinder with no points of one cloud
-    gives null, and too few points give no level of detection.
+    gives null, and too few points give no level of detection.  A long cylinder is
+    searched by balls in a row along its axis, each for its own stretch.
     """
-    reach = (radius * radius + depth * depth) ** 0.5
-    keep = ("id", "nx", "ny", "nz", "px", "py", "pz")
-    q = cores.withColumns({"px": F.col("x"), "py": F.col("y"), "pz": F.col("z")})
+    count = max(1, math.ceil(depth / radius))
+    step = 2 * depth / count
+    reach = math.sqrt(radius * radius + step * step / 4) * (1 + 1e-9)
+    keep = ("id", "nx", "ny", "nz", "px", "py", "pz", "k")
+    q = cores.withColumns({"px": F.col("x"), "py": F.col("y"), "pz": F.col("z"), "k": F.explode(F.sequence(F.lit(0), F.lit(count - 1)))})
+    place = F.lit(-depth) + (F.col("k") + 0.5) * step
+    q = q.withColumns({c: F.col(c) + place * F.col(f"n{c}") for c in "xyz"})
 
     def side(cloud: DataFrame, name: str) -> DataFrame:
         near = radius_join(q, cloud.select("x", "y", "z"), reach, 3, keep=keep)
         along = (F.col("x") - F.col("px")) * F.col("nx") + (F.col("y") - F.col("py")) * F.col("ny") + (F.col("z") - F.col("pz")) * F.col("nz")
-        near = near.withColumn("s", along).filter((F.abs("s") <= depth) & (F.col("d2") - F.col("s") * F.col("s") <= radius * radius))
+        own = F.col("k") == F.least(F.floor((F.col("s") + depth) / step), F.lit(count - 1))
+        d2 = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
+        near = near.withColumn("s", along).filter((F.abs("s") <= depth) & own & (d2 - F.col("s") * F.col("s") <= radius * radius))
         return near.groupBy("id").agg(F.avg("s").alias(f"m{name}"), F.stddev_samp("s").alias(f"s{name}"), F.count("*").alias(f"n{name}"))
 
     j = cores.select("id").join(side(a, "a"), "id", "left").join(side(b, "b"), "id", "left").na.fill(0, ["na", "nb"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import cell
 from ..plans.scratch import cut
-from .neighbours import knn, radius_join
+from .neighbours import HASHED_CELL, fullest, knn, radius_join
 
 
 def radius_graph(points: DataFrame, radius: float, dims: int = 3) -> DataFrame:
@@ -65,7 +65,8 @@ def clusters(points: DataFrame, radius: float, least: int = 1) -> DataFrame:
     other = own.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), F.col("head").alias("head2"), *keys, F.explode(steps).alias("s"))
     other = other.withColumns({n: F.col(n) + F.col(f"s.{v}") for n, v in zip(keys, "ijk", strict=True)}).drop("s")
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
-    links = own.hint("shuffle_hash").join(other, keys).filter(d2 <= radius * radius).select(F.least("head", "head2").alias("src"), F.greatest("head", "head2").alias("dst")).distinct()
+    hashed = own.hint("shuffle_hash") if fullest(own, keys) <= HASHED_CELL else own
+    links = hashed.join(other, keys).filter(d2 <= radius * radius).select(F.least("head", "head2").alias("src"), F.greatest("head", "head2").alias("dst")).distinct()
     found = components(heads.select(F.col("head").alias("pid")), links)
     held = own.select("pid", "head").join(found.withColumnRenamed("pid", "head"), "head")
     counts = held.groupBy("component").agg(F.count("*").alias("n"))

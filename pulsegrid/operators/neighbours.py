@@ -43,6 +43,15 @@ def _sides(queries: DataFrame, points: DataFrame, radius: float, dims: int, keep
 MANY_QUERIES = 100_000
 
 
+#: Points of a cell up to which a task may hash its points: a hash relation cannot spill.
+HASHED_CELL = 500_000
+
+
+def fullest(points: DataFrame, keys: list[str]) -> int:
+    """Points in the fullest cell."""
+    return points.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def radius_join(queries: DataFrame, points: DataFrame, radius: float, dims: int = 3, keep: tuple[str, ...] = ("id",), many: bool = False) -> DataFrame:
     """``points`` with the ``keep`` columns of every query within the radius, and ``d2``.
 
@@ -51,7 +60,7 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, dims: int
     few queries are left to Spark, which sends them whole if they are small.
     """
     q, p, keys, names, d2 = _sides(queries, points, radius, dims, keep)
-    if many:
+    if many and fullest(p, keys) <= HASHED_CELL:
         p = p.hint("shuffle_hash")
     return p.join(q, keys).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop(*keys, *names)
 
