@@ -99,7 +99,7 @@ def test_queries_agree_with_their_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
 
     def plain(v):
