@@ -71,8 +71,11 @@ def m3c2(cores: DataFrame, a: DataFrame, b: DataFrame, radius: float, depth: flo
         near = radius_join(q, cloud.select("x", "y", "z"), reach, 3, keep=keep)
         along = (F.col("x") - F.col("px")) * F.col("nx") + (F.col("y") - F.col("py")) * F.col("ny") + (F.col("z") - F.col("pz")) * F.col("nz")
         own = F.col("k") == F.least(F.floor((F.col("s") + depth) / step), F.lit(count - 1))
-        d2 = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
-        near = near.withColumn("s", along).filter((F.abs("s") <= depth) & own & (d2 - F.col("s") * F.col("s") <= radius * radius))
+        # the way off the axis by the cross product: d2 - s * s would lose the digits that decide on the rim
+        dx, dy, dz = (F.col(c) - F.col(f"p{c}") for c in "xyz")
+        crossed = (dy * F.col("nz") - dz * F.col("ny"), dz * F.col("nx") - dx * F.col("nz"), dx * F.col("ny") - dy * F.col("nx"))
+        off2 = sum((v * v for v in crossed), F.lit(0.0))
+        near = near.withColumn("s", along).filter((F.abs("s") <= depth) & own & (off2 <= radius * radius))
         return near.groupBy("id").agg(F.avg("s").alias(f"m{name}"), F.stddev_samp("s").alias(f"s{name}"), F.count("*").alias(f"n{name}"))
 
     j = cores.select("id").join(side(a, "a"), "id", "left").join(side(b, "b"), "id", "left").na.fill(0, ["na", "nb"])

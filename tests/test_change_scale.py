@@ -42,3 +42,11 @@ def test_dense_cells_are_sorted_not_hashed(spark, monkeypatch):
     again = neighbours.count_within(points.withColumnRenamed("pid", "id"), points, 0.01, many=True)
     assert "strategy=shuffle_hash" not in again._jdf.queryExecution().toString() and hashed
     assert sorted(map(tuple, again.collect())) == want
+
+
+def test_points_on_the_rim_of_a_cylinder_count(spark):
+    z = [i / 10 for i in range(-30, 31)]
+    cloud = spark.createDataFrame([(i, 2.0, 0.0, v) for i, v in enumerate(z)], P)
+    core = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], C)
+    got = change.m3c2(core, cloud, cloud, 2.0, 3.0).first()
+    assert (got.na, got.nb) == (len(z), len(z))
