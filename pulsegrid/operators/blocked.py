@@ -33,6 +33,29 @@ PIECE = T.StructType([T.StructField(c, T.LongType()) for c in BLOCK_KEYS] + [T.S
 SUMS = T.StructType([T.StructField(c, T.LongType()) for c in (*BLOCK_KEYS, "ix", "iy", "iz")] + [T.StructField(c, T.DoubleType()) for c in ALL_FIELDS])
 
 
+def routed(o: np.ndarray, d: np.ndarray, ray: np.ndarray, where: np.ndarray, enter: np.ndarray, leave: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rays and blocks, with those too that only rounding tells apart from a ray's own.
+
+    A ray along a block's side or through its edge may have the middle of a voxel's
+    piece on the other side of it than the middle of the block's; each block keeps
+    what lies in it, so one too many changes nothing.
+    """
+    last = np.r_[ray[1:] != ray[:-1], True] if len(ray) else np.zeros(0, bool)
+    first = np.r_[True, last[:-1]] if len(ray) else last
+    out = [np.column_stack([ray, where])]
+    for t, outer in ((enter, first), (leave, last)):
+        p = o[ray] + d[ray] * t[:, None]
+        slack = 1e-9 * (np.abs(p) + width)
+        low, high = np.floor((p - slack) / width).astype("i8"), np.floor((p + slack) / width).astype("i8")
+        sides = (low != high).sum(1)
+        # where one plane is crossed, the blocks on both sides are there already
+        go = np.flatnonzero((sides > 1) | (outer & (sides > 0)))
+        for corner in np.ndindex(2, 2, 2):
+            out.append(np.column_stack([ray[go], np.where(corner, high[go], low[go])]))
+    every = out[0] if all(not len(x) for x in out[1:]) else np.unique(np.concatenate(out), axis=0)
+    return every[:, 0], every[:, 1:]
+
+
 def pieces(rays: DataFrame, size: float, block: int) -> DataFrame:
     """A row for each pulse and block that it crosses, as far as its last echo and, hidden, from there to ``reach``; and one for each echo."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,7 +79,8 @@ def pieces(rays: DataFrame, size: float, block: int) -> DataFrame:
                 out = []
                 for kind, near, far in ((SEEN, np.zeros(len(n)), last), (HIDDEN, last, np.maximum(last, reach))):
                     go = np.flatnonzero(far > near)
-                    ray, where, _, _ = crossings(o[go] + d[go] * near[go, None], o[go] + d[go] * far[go, None], size, block)
+                    start = o[go] + d[go] * near[go, None]
+                    ray, where = routed(start, d[go], *crossings(start, o[go] + d[go] * far[go, None], size, block), size * block)
                     ray = go[ray]
                     out.append((where, np.full(len(ray), kind), ray, near[ray], far[ray], first[ray]))
                 owner = np.repeat(np.arange(len(n)), n)

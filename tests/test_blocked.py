@@ -43,6 +43,19 @@ def test_blocks_sum_to_the_whole(rays, monkeypatch, size, block):
     assert sum(abs(want.get(k, 0) - got.get(k, 0)) for k in {*want, *got}) <= 0.002 * sum(want.values())  # ends are computed in two ways
 
 
+def test_rays_along_the_side_of_a_block(spark):
+    """Rounding takes such a ray to the other side on its way, where the block's own middle is not."""
+    rows = []
+    for y in (8.0, 16.0, 32.0, 64.0):
+        for tilt in range(1, 30):
+            for turn in (90, 180, 270, 360):
+                u, v = np.radians(tilt), np.radians(turn)
+                d = np.sin(u) * np.sin(v), np.sin(u) * np.cos(v), -np.cos(u)
+                rows.append((y, y, 40.25, *map(float, d), 40.0, [25.0 + tilt / 7, 39.0]))
+    held = spark.createDataFrame(rows, "ox double, oy double, oz double, dx double, dy double, dz double, reach double, ranges array<double>")
+    assert sums(blocked.trace(held, 2.0, 4)) == sums(voxels.trace(held, 2.0))
+
+
 def test_boxes_read_their_blocks(spark, rays, tmp_path):
     path = str(tmp_path / "g")
     found = blocked.trace(rays, 0.5, 8).cache()
