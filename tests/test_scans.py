@@ -97,6 +97,20 @@ def test_flight_line_from_returns(spark):
     assert scans.estimate_trajectory(spark.createDataFrame(rows), least=10_000).count() == 0
 
 
+@pytest.mark.parametrize("start", [(4e5, 50.0, 100.0), (3e5, 2e5, 1e5)])
+def test_trajectory_of_a_sensor_far_away(spark, start):
+    r = np.random.default_rng(5)
+    t = np.arange(800) / 400
+    place = np.array(start) + np.outer(t, [10.0, 0.0, 0.0])
+    first = r.uniform(0, [100, 100, 30], (800, 3))
+    way = first - place
+    second = first + 3 * way / np.linalg.norm(way, axis=1, keepdims=True)
+    rows = [(0, float(a), k, *map(float, p)) for k, side in ((1, first), (2, second)) for a, p in zip(t, side, strict=True)]
+    got = scans.estimate_trajectory(spark.createDataFrame(rows, "line long, t double, rank int, x double, y double, z double"), 2.0).first()
+    assert np.abs(np.array([got.x, got.y, got.z]) - np.array(start) - [10 * got.t, 0, 0]).max() < 5e-4
+    assert got.n == 800 and got.rms < 1e-6 and abs(got.vx - 10) < 5e-4
+
+
 def test_leaf_area_of_a_sheet(spark):
     r = np.random.default_rng(4)
     xyz = np.column_stack([r.uniform(0, 2, (20_000, 2)), np.zeros(20_000) + 0.51])
