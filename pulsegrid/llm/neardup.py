@@ -12,12 +12,10 @@ sets form a class of which the smallest doc_id goes on.  Then:
 2. Of the other buckets' smallest documents that still have another label, the
    likeliest few are confirmed too.
 3. In buckets that still hold several labels, the documents outside the largest
-   label are compared with all, in blocks of bounded size, on ids and signatures
-   only.  Documents of the largest label are never compared with each other.
-   For each pair of labels two candidates come out, and their texts confirm.
-4. Pairs of labels with more candidates than those, and no link yet, are held
-   against each other on the texts, in blocks, likeliest first, until the pair
-   has a link.
+   label are compared with all, in blocks of bounded size.  Documents of the
+   largest label are never compared with each other.  Where the signatures allow
+   a link and none joins the two labels yet, the texts decide, in the task, so
+   that only links come out: fewer than the labels of a block.
 
 So no link between different labels is lost, while pairs of documents are never
 made as rows.  Documents that share no bucket are missed: with the default 32
@@ -281,8 +279,8 @@ def by_group(batches, names: tuple[str, ...]):
         yield held
 
 
-def signatures(table: pa.Table) -> np.ndarray:
-    flat = table.column("sig").combine_chunks().flatten()
+def signatures(table: pa.Table, name: str = "sig") -> np.ndarray:
+    flat = table.column(name).combine_chunks().flatten()
     return flat.to_numpy(zero_copy_only=False).view("u8").reshape(table.num_rows, -1)
 
 
@@ -297,60 +295,70 @@ def differing(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 
 LABEL_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-DOC_PAIR = T.StructType([T.StructField("diff", T.LongType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
-ENDS = T.StructType([*LABEL_PAIR, *[T.StructField(f"{k}_{f.name}", f.dataType) for k in ("lo", "hi") for f in DOC_PAIR]])
-#: Pairs of labels that a task holds before it hands them on.
-HELD_PAIRS = 50_000
 
 
-def ends(found: list[np.ndarray]) -> np.ndarray:
-    """Columns ``a, b, lo (3), hi (3)``: the least and the greatest candidate of each pair of labels."""
-    m = np.concatenate(found, axis=1)
-    lo = m[:5, np.lexsort(m[4::-1])]
-    hi = m[[0, 1, 5, 6, 7]][:, np.lexsort(m[[7, 6, 5, 1, 0]])]
-    edge = np.flatnonzero((np.diff(lo[:2], axis=1) != 0).any(axis=0))
-    return np.concatenate([lo[:, np.concatenate([[0], edge + 1])], hi[2:, np.concatenate([edge, [m.shape[1] - 1]])]]).astype("i8")
+def root(up: dict[int, int], x: int) -> int:
+    while up.get(x, x) != x:
+        up[x] = up.get(up[x], up[x])
+        x = up[x]
+    return x
 
 
-def label_candidates(rows: DataFrame, bits: int, most: float) -> DataFrame:
-    """Candidates ``a, b, lo, hi`` of pairs of labels: documents of both whose signatures differ in ``most`` minima or fewer.
+def label_links(rows: DataFrame, width: int, bits: int, most: float, percent: int, asked: int) -> DataFrame:
+    """Pairs ``a, b`` of labels with a confirmed link.
 
-    ``rows(bucket, i, j, asks, doc, label, sig)`` stand together by (bucket, i, j),
-    a bounded number for each; those that ask are compared with the others.  The
-    likeliest and the least likely are kept: where they differ there may be more.
+    ``rows(bucket, i, j, asks, doc, label, sig, buckets, text)`` stand together by
+    (bucket, i, j), a bounded number for each; those that ask are held against
+    the others, likeliest first, where the signatures differ in ``most`` minima or
+    fewer, no link joins their labels yet, and no earlier bucket holds both.  So a
+    group hands on fewer links than it has labels, and no pair is tried in two buckets.
     """
 
     def run(batches):
-        held: list[np.ndarray] = []
+        sketcher = Sketcher(width, 1, 1, bits)
         for t in by_group(batches, ("bucket", "i", "j")):
-            asks, doc, label, sig = t.column("asks").to_numpy(), t.column("doc").to_numpy(), t.column("label").to_numpy(), signatures(t)
+            asks, label, sig, text = t.column("asks").to_numpy(), t.column("label").to_numpy(), signatures(t), t.column("text")
+            bucket, held = t.column("bucket")[0].as_py(), signatures(t, "buckets").view("i8")
             one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
-            for at in range(0, len(one), 64):
-                s = one[at : at + 64]
-                diff = differing(sig[s], sig[two], bits)
-                u, v = np.nonzero((diff <= most) & (label[s][:, None] != label[two][None, :]))
-                if not len(u):
-                    continue
-                p, q = s[u], two[v]
-                turned = label[p] > label[q]
-                p, q = np.where(turned, q, p), np.where(turned, p, q)
-                pair = np.stack([diff[u, v], doc[p], doc[q]])
-                held.append(ends([np.concatenate([[label[p], label[q]], pair, pair])]))
-            if sum(f.shape[1] for f in held) > HELD_PAIRS:
-                held = [ends(held)]
-                if held[0].shape[1] > HELD_PAIRS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=ENDS.names)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends(held)], names=ENDS.names)
-
-    def pair(k: str) -> Column:
-        return F.struct(*[F.col(f"{k}_{f}").alias(f) for f in DOC_PAIR.names])
-
-    return rows.mapInArrow(run, ENDS).groupBy("a", "b").agg(F.min(pair("lo")).alias("lo"), F.max(pair("hi")).alias("hi"))
-
-
-def compared(labelled: DataFrame, sig: DataFrame, block: int) -> DataFrame:
-    """Rows of ``label_candidates`` for the buckets of ``labelled(bucket, doc, label)`` that hold several labels.
+            grams: dict[int, np.ndarray] = {}
+            up: dict[int, int] = {}
+            links: list[tuple[int, int]] = []
+
+            def hashed(i, grams=grams, text=text):
+                if i not in grams:
+                    grams[i] = sketcher.shingles([text[i].as_py()])[0]
+                return grams[i]
+
+            for at in range(0, len(one), asked):
+                part = one[at : at + asked]
+                diff = differing(sig[part], sig[two], bits)
+                u, v = np.nonzero((diff <= most) & (label[part][:, None] != label[two][None, :]))
+                p, q = part[u], two[v]
+                same = held[p] == held[q]
+                first = held[p, same.argmax(1)] == bucket if len(p) else np.zeros(0, bool)
+                order = np.argsort(diff[u, v][first], kind="stable")
+                for x, y in zip(p[first][order].tolist(), q[first][order].tolist(), strict=True):
+                    a, b = root(up, int(label[x])), root(up, int(label[y]))
+                    if a == b:
+                        continue
+                    g, h = hashed(x), hashed(y)
+                    if 100 * min(len(g), len(h)) < percent * max(len(g), len(h)):
+                        continue
+                    both = np.sort(np.concatenate([g, h]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common < percent * (len(g) + len(h) - common):
+                        continue
+                    if alike(shingle_set(text[x].as_py(), width), shingle_set(text[y].as_py(), width), percent):
+                        up[max(a, b)] = min(a, b)
+                        links.append((min(a, b), max(a, b)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=LABEL_PAIR.names)
+
+    return rows.mapInArrow(run, LABEL_PAIR).distinct()
+
+
+def compared(docs: DataFrame, labelled: DataFrame, sk: DataFrame, block: int) -> DataFrame:
+    """Rows of ``label_links`` for the buckets of ``labelled(bucket, doc, label)`` that hold several labels.
 
     In each bucket the documents outside its largest label ask all of it, in
     blocks of both: a document stands once for each block of the other side.
@@ -359,7 +367,7 @@ def compared(labelled: DataFrame, sig: DataFrame, block: int) -> DataFrame:
     whole = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"))
     rest = F.col("n") - F.col("top.n")
     mixed = whole.filter("labels > 1").select("bucket", (-F.col("top.l")).alias("largest"), F.ceil(rest / block).alias("askers"), F.ceil(F.col("n") / block).alias("blocks"))
-    d = labelled.join(stage(mixed, "dup-mixed"), "bucket")
+    d = stage(labelled.join(stage(mixed, "dup-mixed"), "bucket"), "dup-several")
     place = F.xxhash64("doc")
 
     def every(n: str) -> Column:
@@ -367,8 +375,9 @@ def compared(labelled: DataFrame, sig: DataFrame, block: int) -> DataFrame:
 
     asking = d.filter("label <> largest").select("bucket", F.pmod(place, "askers").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "doc", "label")
     asked = d.select("bucket", every("askers").alias("i"), F.pmod(place, "blocks").alias("j"), F.lit(False).alias("asks"), "doc", "label")
-    rows = asking.unionByName(asked).join(sig.withColumnRenamed("doc_id", "doc"), "doc")
-    return rows.select("bucket", "i", "j", "asks", "doc", "label", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
+    texts = stage(texts_of(docs, d.select("doc").distinct()), "dup-texts")
+    rows = asking.unionByName(asked).join(sk.select(F.col("doc_id").alias("doc"), "sig", "buckets"), "doc").join(texts, "doc")
+    return rows.select("bucket", "i", "j", "asks", "doc", "label", "sig", "buckets", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -385,77 +394,6 @@ def named(rows: DataFrame, labels: DataFrame, doc: str, name: str) -> DataFrame:
     return rows.join(own, doc, "left").withColumn(name, F.coalesce("_label", doc)).drop("_label")
 
 
-def linked_labels(rows: DataFrame, bits: int, most: float, width: int, percent: int) -> DataFrame:
-    """Pairs of labels with a confirmed link.
-
-    ``rows(big, qb, mb, label, doc, sig, text)`` stand together by (big, qb, mb):
-    documents of the label ``big`` and of smaller labels that may be linked to it.
-    """
-
-    def run(batches):
-        for t in by_group(batches, ("big", "qb", "mb")):
-            big = t.column("big")[0].as_py()
-            label, sig, text = t.column("label").to_numpy(), signatures(t), t.column("text")
-            members, asked = np.flatnonzero(label == big), np.flatnonzero(label != big)
-            sets: dict[int, set] = {}
-            done: set[int] = set()
-
-            def own(i, sets=sets, text=text):
-                if i not in sets:
-                    sets[i] = shingle_set(text[i].as_py(), width)
-                return sets[i]
-
-            for at in range(0, len(asked), 64):
-                part = asked[at : at + 64]
-                diff = differing(sig[part], sig[members], bits)
-                for row, q in zip(diff, part.tolist(), strict=True):
-                    if label[q] in done:
-                        continue
-                    near = np.flatnonzero(row <= most)
-                    for m in members[near[np.argsort(row[near], kind="stable")]].tolist():
-                        if alike(own(q), own(m), percent):
-                            done.add(label[q])
-                            break
-            if done:
-                found = [int(x) for x in done]
-                yield pa.RecordBatch.from_pydict({"a": [min(x, big) for x in found], "b": [max(x, big) for x in found]})
-
-    return rows.mapInArrow(run, LABEL_PAIR).distinct()
-
-
-def join_labels(docs, labels, pairs, sig, bits, most, width, percent, block, asked) -> DataFrame:
-    """Labels after every document of one label is held against those of the other, for ``pairs(a, b)`` of labels."""
-    every_label = stage(pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct(), "dup-named")
-    held = labels.join(every_label, "label", "left_semi").select("doc", "label").union(every_label.select(F.col("label").alias("doc"), "label"))
-    held = stage(held, "dup-held")
-    sizes = stage(held.groupBy("label").agg(F.count("*").alias("n")), "dup-sizes")
-    a = sizes.select(F.col("label").alias("a"), F.col("n").alias("na"))
-    b = sizes.select(F.col("label").alias("b"), F.col("n").alias("nb"))
-    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    turned = pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("label"), F.greatest("na", "nb").alias("n"), F.least("na", "nb").alias("few"))
-    turned = stage(turned, "dup-turned")
-    bigs = turned.groupBy("big").agg(F.ceil(F.max("n") / block).cast("int").alias("mbs"), F.ceil(F.sum("few") / asked).cast("int").alias("qbs"))
-    bigs = stage(bigs, "dup-bigs")
-    every = F.sequence(F.lit(0), F.col("many") - 1)
-    one = F.pmod(F.xxhash64("doc"), F.col("own")).cast("int")
-    asking = turned.select("big", "label").join(bigs, "big").join(held, "label").select("big", "label", "doc", F.col("qbs").alias("own"), F.col("mbs").alias("many"), F.lit(True).alias("asks"))
-    asked_of = bigs.withColumnRenamed("big", "label").join(held, "label").select(F.col("label").alias("big"), "label", "doc", F.col("mbs").alias("own"), F.col("qbs").alias("many"), F.lit(False).alias("asks"))
-    ids = stage(asking.union(asked_of), "dup-asked")
-    need = stage(ids.select("doc").distinct(), "dup-ids")
-    texts = stage(texts_of(docs, need), "dup-texts")
-    rows = (
-        ids.join(sig.withColumnRenamed("doc_id", "doc"), "doc")
-        .join(texts, "doc")
-        .withColumn("mine", one)
-        .withColumn("other", F.explode(every))
-        .select("big", F.when(F.col("asks"), F.col("mine")).otherwise(F.col("other")).alias("qb"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("mine")).alias("mb"), "label", "doc", "sig", "text")
-        .repartition("big", "qb", "mb")
-        .sortWithinPartitions("big", "qb", "mb", "doc")
-    )
-    links = stage(linked_labels(rows, bits, most, width, percent), "dup-joined")
-    return labels if links.isEmpty() else joined(labels, links)
-
-
 def linked(docs: DataFrame, labels: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels after the documents ``pairs(a, b)`` were held against each other."""
     pairs = stage(pairs, "dup-pairs")
@@ -532,16 +470,9 @@ def near_duplicates(
     labels = linked(docs, labels, met, width, percent)
 
     labelled = stage(named(members.select("bucket", "doc"), labels, "doc", "label"), "dup-labelled")
-    found = stage(label_candidates(compared(labelled, sig, block), bits, most), "dup-candidates")
-    if not found.isEmpty():
-        pairs = found.select(F.explode(F.array("lo", "hi")).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).distinct()
-        labels = linked(docs, labels, pairs, width, percent)
-        # candidates between these two were not tried
-        more = found.filter("lo <> hi").select(F.col("a").alias("doc"), F.col("b").alias("other")).distinct()
-        left = named(named(more, labels, "doc", "a"), labels, "other", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = stage(left, "dup-left")
-        if not left.isEmpty():
-            labels = join_labels(docs, labels, left, sig, bits, most, width, percent, block, asked)
+    links = stage(label_links(compared(docs, labelled, sk.filter("sig is not null and doc_id is not null"), block), width, bits, most, percent, asked), "dup-found")
+    if not links.isEmpty():
+        labels = joined(labels, links)
 
     moved = classes.join(labels.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("set_key", "n", F.coalesce("label", "rep").alias("component"), "rep")
     moved = stage(moved.filter("n > 1 or component <> rep").select("set_key", "component"), "dup-components")

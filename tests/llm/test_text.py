@@ -115,6 +115,22 @@ def brute_components(rows, width, percent):
     return {k: find(k) for k in sets}
 
 
+def test_links_of_a_bucket_are_fewer_than_its_labels(spark):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(120)] = f"x{i}"
+        texts.append(" ".join(w))
+    sketch = neardup.Sketcher(2, 32, 5, 4).sketch(texts)
+    rows = [(7, 0, 0, asks, i, i, sketch["sig"][i].tolist(), [7], t) for i, t in enumerate(texts) for asks in ((True, False) if i else (False,))]
+    held = spark.createDataFrame(rows, "bucket long, i long, j long, asks boolean, doc long, label long, sig array<long>, buckets array<long>, text string").coalesce(1)
+    got = neardup.label_links(held, 2, 4, 160.0, 80, 128).collect()
+    assert len(got) == 59 and brute_components([(i, t) for i, t in enumerate(texts)], 2, 80) == dict.fromkeys(range(60), 0)
+    assert {x for g in got for x in g} == set(range(60))
+
+
 @pytest.mark.parametrize(("width", "size"), [(2, 90), (5, 150)])
 def test_near_duplicates_against_brute_force(spark, width, size):
     r = random.Random(width)
