@@ -50,3 +50,27 @@ def test_points_on_the_rim_of_a_cylinder_count(spark):
     core = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], C)
     got = change.m3c2(core, cloud, cloud, 2.0, 3.0).first()
     assert (got.na, got.nb) == (len(z), len(z))
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_nearest_of_dense_points_make_few_pairs(spark, monkeypatch, dims):
+    r = np.random.default_rng(10)
+    p = np.round(r.uniform(0, 1, (1500, 3)), 2)  # some at equal distances
+    p[:5] += 3  # and some far from the others
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], P).cache()
+    pairs = []
+    join = neighbours.radius_join
+
+    def counted(*args, **kw):
+        near = join(*args, **kw)
+        pairs.append(near.count())
+        return near
+
+    monkeypatch.setattr(neighbours, "radius_join", counted)
+    got = {}
+    for x in neighbours.knn(points.withColumnRenamed("pid", "id"), points, 4, 2.0, 8.0, dims).collect():
+        got.setdefault(x.id, {})[x["rank"]] = x.pid
+    assert sum(pairs) < 60 * len(p)
+    for i, v in enumerate(p):
+        d2 = sum((p[:, a] - v[a]) * (p[:, a] - v[a]) for a in range(dims))
+        assert [got[i][k] for k in range(1, 5)] == np.lexsort([np.arange(len(p)), d2])[:4].tolist()
