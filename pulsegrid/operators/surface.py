@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell, finite
+from ..plans.scratch import cut
 
 
 def pulse_tops(points: DataFrame, size: float, height: str = "z") -> DataFrame:
@@ -26,18 +29,30 @@ def pulse_tops(points: DataFrame, size: float, height: str = "z") -> DataFrame:
     return keyed.groupBy("row", "col", "pulse").agg(F.max("h").alias("top"))
 
 
-def chance(n_a: Column, n_b: Column, m: Column, alpha: float) -> Column:
-    """``p`` of m pulses all in one survey, and ``need``: the fewest pulses for which that is at most ``alpha``; one pass of the counts."""
-    n = n_a + n_b
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("long").alias("need"))
+#: Pulses whose chances are taken at once, so that memory does not follow a cell's pulses.
+STEP = 65_536
 
-    def step(s: Column, i: Column) -> Column:
-        a = s["a"] * F.greatest(n_a - i + 1, F.lit(0)) / (n - i + 1)
-        b = s["b"] * F.greatest(n_b - i + 1, F.lit(0)) / (n - i + 1)
-        first = F.coalesce(s["need"], F.when(a + b <= alpha, i.cast("long")))
-        return F.struct(a.alias("a"), b.alias("b"), F.when(i == m, a + b).otherwise(s["p"]).alias("p"), first.alias("need"))
 
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), n), start, step)
+def chance(n_a: int, n_b: int, m: int, alpha: float) -> tuple[float | None, int | None]:
+    """``p`` of m pulses all in one survey, and ``need``: the fewest pulses for which that is at most ``alpha``.
+
+    Both products fall with the number of pulses, so counting ends where both are known.
+    """
+    n, a, b = n_a + n_b, 1.0, 1.0
+    p, need = None, None
+    for first in range(1, n + 1, STEP):
+        i = np.arange(first, min(first + STEP, n + 1), dtype="f8")
+        left = a * np.cumprod(np.maximum(n_a - i + 1, 0) / (n - i + 1))
+        right = b * np.cumprod(np.maximum(n_b - i + 1, 0) / (n - i + 1))
+        both = left + right
+        if first <= m < first + len(i):
+            p = float(both[m - first])
+        if need is None and both[-1] <= alpha:
+            need = first + int(np.argmax(both <= alpha))
+        if need is not None and m < first + len(i):
+            break
+        a, b = left[-1], right[-1]
+    return p, need
 
 
 def surface_change(a: DataFrame, b: DataFrame, size: float, alpha: float = 0.05, noise: float = 0.0, height: str = "z") -> DataFrame:
@@ -50,22 +65,30 @@ def surface_change(a: DataFrame, b: DataFrame, size: float, alpha: float = 0.05,
     pulses are too few for any difference to be.
     """
     tops = pulse_tops(a, size, height).withColumn("later", F.lit(0)).unionByName(pulse_tops(b, size, height).withColumn("later", F.lit(1)))
-    # a pulse's number may stand in both surveys
-    held = tops.groupBy("row", "col").agg(
-        F.max(F.when(F.col("later") == 0, F.col("top"))).alias("value_a"),
-        F.max(F.when(F.col("later") == 1, F.col("top"))).alias("value_b"),
-        F.sum(1 - F.col("later")).alias("n_a"),
-        F.sum("later").alias("n_b"),
-        F.sort_array(F.collect_list("top"), asc=False).alias("tops"),
+    # a pulse's number may stand in both surveys; equal tops are counted, so that no task holds a cell's pulses
+    keys = ["row", "col"]
+    counts = cut(tops.groupBy(*keys, "top").agg(F.sum(1 - F.col("later")).alias("a"), F.sum("later").alias("b")))
+    held = counts.groupBy(*keys).agg(
+        F.max(F.when(F.col("a") > 0, F.col("top"))).alias("value_a"), F.max(F.when(F.col("b") > 0, F.col("top"))).alias("value_b"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b")
     )
     held = held.filter("n_a > 0 and n_b > 0").withColumn("diff", F.col("value_b") - F.col("value_a"))
     gap = F.abs("diff")
     # pulses that would all have to be of one survey: those above the lower of the two maxima
-    m = F.greatest(F.size(F.filter("tops", lambda v: v > F.least("value_a", "value_b"))), F.lit(1)).cast("long")
-    held = held.withColumn("m", F.when(gap > 0, m).otherwise(F.lit(0))).withColumn("c", chance(F.col("n_a"), F.col("n_b"), F.col("m"), alpha))
+    above = counts.join(held.select(*keys, F.least("value_a", "value_b").alias("low")), keys).groupBy(*keys).agg(F.sum(F.when(F.col("top") > F.col("low"), F.col("a") + F.col("b")).otherwise(0)).alias("m"))
+    m = F.when(gap > 0, F.greatest("m", F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+    @F.pandas_udf("p double, need long")
+    def level(n_a: pd.Series, n_b: pd.Series, m: pd.Series) -> pd.DataFrame:
+        found = [chance(*v, alpha) for v in zip(n_a.tolist(), n_b.tolist(), m.tolist(), strict=True)]
+        return pd.DataFrame({"p": pd.Series([v[0] for v in found], dtype="float64"), "need": pd.Series([v[1] for v in found], dtype="Int64")})
+
+    held = cut(held.join(above, keys).withColumn("c", level("n_a", "n_b", m)))
     p = F.when(gap > 0, F.least(F.col("c.p"), F.lit(1.0))).otherwise(F.lit(1.0))
     # the difference that leaves just as many pulses above as are needed
-    reach = F.col("tops")[0] - F.get("tops", F.col("c.need").cast("int"))
+    upto = F.sum(F.col("a") + F.col("b")).over(Window.partitionBy(*keys).orderBy(F.desc("top")))
+    ranked = counts.withColumn("upto", upto).join(held.select(*keys, F.col("c.need").alias("need")), keys).filter(F.col("upto") > F.col("need"))
+    held = held.join(ranked.groupBy(*keys).agg(F.max("top").alias("top")), keys, "left")
+    reach = F.greatest("value_a", "value_b") - F.col("top")
     spread = 1.959963984540054 * noise * math.sqrt(2.0)
     lod = F.sqrt(reach * reach + spread * spread)
     out = held.select("row", "col", "value_a", "value_b", "diff", "n_a", "n_b", p.alias("p"), lod.alias("lod"))
