@@ -123,7 +123,15 @@ def grid_aggregates(points: DataFrame, size: float, **aggregates: Column) -> Dat
 
 
 def plot_metrics(points: DataFrame, plots: DataFrame, radius: float, **options) -> DataFrame:
-    return metrics(plot_points(points, plots, radius), ["id"], **options)
+    """All metrics of each plot ``id, x, y``; plots at one place share theirs."""
+    from .neighbours import places
+
+    shared = places(plots, ("x", "y"))
+    if shared is None:
+        return metrics(plot_points(points, plots, radius), ["id"], **options)
+    spots, members = shared
+    found = metrics(plot_points(points, spots, radius), ["id"], **options)
+    return found.withColumnRenamed("id", "place").join(members, "place").select("id", *found.columns[1:])
 
 
 def height_histogram(points: DataFrame, size: float, keys: tuple[str, ...] = (), height: str = "z") -> DataFrame:
