@@ -368,7 +368,7 @@ def scan_ids_whole(spark, d):
     """The nearest of all origins; the SQL of ``scan_ids`` holds five alone."""
     o = centres(spark, d).select(F.col("id").alias("pid"), "x", "y", F.lit(2.0).alias("z"))
     q = point_view(spark, d).select(F.col("pid").alias("id"), "x", "y", "z")
-    return neighbours.nearest(q, o, 8.0, 200.0).select(F.col("id").alias("pid"), F.col("pid").alias("scan_id"))
+    return neighbours.nearest_by_cells(q, o, 4.0, 200.0).select(F.col("id").alias("pid"), F.col("pid").alias("scan_id"))
 
 
 PLOT_TREES = "SELECT id AS tree_id, abs(value) / 21000.0::DOUBLE AS dbh, abs(value) / 310.0::DOUBLE AS height FROM centres"
