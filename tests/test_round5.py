@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import trees
+from pulsegrid.operators import fit, points, trees
+from pulsegrid.plans.scratch import cut
 
 
 def frame(spark, xyz, **more):
@@ -48,3 +49,34 @@ def test_top_down_trees_of_a_full_tile():
     began = time.monotonic()
     top = trees.grown(xy, np.full(len(xy), 2.0), 10.0)
     assert time.monotonic() - began < 60 and (top <= np.arange(len(xy))).all() and top.min() == 0
+
+
+def test_closest_in_a_task_against_all():
+    r = np.random.default_rng(1)
+    for k in range(12):
+        p = np.unique(np.round(r.random((200, 3)) * (1, 5, 30)[k % 3], 1), axis=0)
+        pid, q, reach = r.permutation(len(p)) + 5, np.round(r.random((150, 3)) * (40, 6)[k % 2] - (5, 0)[k % 2], 1), (0.3, 1.0, 4.0)[k // 4]
+        which, d2 = fit.closest_in_task(p, pid, reach)(q)
+        for i, at in enumerate(q):
+            e = (p - at) ** 2
+            e = e[:, 0] + e[:, 1] + e[:, 2]
+            best = np.lexsort((pid, e))[0]
+            assert (which[i], d2[i]) == (best, e[best]) if e[best] <= reach * reach else which[i] == -1
+
+
+def test_closest_points_write_no_pairs_in_a_round(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    xyz = r.random((800, 3)) * 12
+    df = frame(spark, np.concatenate([xyz, xyz[:200]]))  # a fifth of the places stand twice
+    m = points.translation(0.15, -0.1, 0.05) @ points.rotation_z(0.5)
+    cuts = []
+    monkeypatch.setattr(fit, "cut", lambda df: (cuts.append(1), cut(df))[1])
+    got, rmse, rounds = fit.icp(df, points.transform(df, m), 1.0)
+    assert rounds > 3 and len(cuts) == 3 and rmse < 1e-6 and np.abs(got - m).max() < 1e-6
+    got, _, _ = fit.icp(df, points.transform(df, m), 1.0, trim=0.7)
+    assert np.abs(got - m).max() < 1e-6
+    # a start other than none
+    far = points.translation(2.0, 0.0, 0.0)
+    wide = frame(spark, np.column_stack([*(r.random((2, 300)) * 60), np.zeros(300)]))
+    got, _, _ = fit.icp(wide, points.transform(wide, far), 1.0, start=points.translation(1.4, 0.1, 0.0))
+    assert np.abs(got - far).max() < 1e-3
