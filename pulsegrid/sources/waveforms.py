@@ -235,25 +235,28 @@ def encode(rows: pa.Table, scale: float) -> bytes:
     """
     n = rows.num_rows
     xyz = np.stack([rows[c].to_numpy().astype(float) for c in "xyz"], 1)
-    samples = [np.asarray(s, "f8") for s in rows["samples"].to_pylist()]
-    interval = rows["interval_ps"].to_pylist()
-    kinds: dict[tuple, list[int]] = {}
-    for i, s in enumerate(samples):
-        whole = bool(((s == np.floor(s)) & (s >= 0) & (s <= 65535)).all())
-        kinds.setdefault((len(s), interval[i], whole), []).append(i)
+    lists = rows["samples"].combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+    starts = np.cumsum(lengths) - lengths
+    odd = ~((flat == np.floor(flat)) & (flat >= 0) & (flat <= 65535))
+    whole = np.diff(np.cumsum(np.r_[0, odd])[np.c_[starts, starts + lengths]], axis=1)[:, 0] == 0
+    interval = rows["interval_ps"].to_numpy()
+    kinds, kind = np.unique(np.column_stack([lengths, interval, whole]).reshape(n, 3), axis=0, return_inverse=True)
     if len(kinds) > 255:
         raise ValueError("more than 255 kinds of packets in a file; write fewer waveforms a file")
-    vlrs, codes, descriptor = [], [b""] * n, np.zeros(n, "u1")
-    for k, ((length, step, whole), own) in enumerate(sorted(kinds.items())):
-        every = np.stack([samples[i] for i in own]) if length else np.zeros((len(own), 0))
-        base = 0.0 if whole or not every.size else float(every.min())
-        gain = 1.0 if whole or not every.size else (float(every.max()) - base) / 65535 or 1.0
+    vlrs, codes, descriptor = [], np.empty(len(flat), "<u2"), np.zeros(n, "u1")
+    for k, (length, step, plain) in enumerate(kinds.tolist()):
+        own = np.flatnonzero(kind.reshape(-1) == k)
+        where = starts[own][:, None] + np.arange(length)
+        every = flat[where]
+        base = 0.0 if plain or not every.size else float(every.min())
+        gain = 1.0 if plain or not every.size else (float(every.max()) - base) / 65535 or 1.0
         payload = struct.pack(DESCRIPTOR, 16, 0, length, step, gain, base)
         vlrs.append(struct.pack("<H16sHH32s", 0, b"LASF_Spec", FIRST_DESCRIPTOR_ID + k, len(payload), b"waveform packet") + payload)
-        for i, row in zip(own, np.rint((every - base) / gain).astype("<u2"), strict=True):
-            codes[i] = row.tobytes()
+        codes[where] = np.rint((every - base) / gain).astype("<u2")
         descriptor[own] = k + 1
-    sizes = np.array([len(c) for c in codes], "i8")
+    sizes = 2 * lengths
     at = LONG_RECORD_HEADER + np.cumsum(sizes) - sizes
     returns = np.maximum(1, rows["returns"].to_numpy()) if "returns" in rows.column_names else np.ones(n, "i8")
     row = np.repeat(np.arange(n), returns)
@@ -275,7 +278,7 @@ def encode(rows: pa.Table, scale: float) -> bytes:
     for c, name in (("location", "location_ps"), ("vx", "vx"), ("vy", "vy"), ("vz", "vz")):
         p[c] = rows[name].to_numpy()[row]
     block = b"".join(vlrs)
-    points = p.tobytes()
+    points = p.view("u1")
     packets_at = 375 + len(block) + len(points)
     h = bytearray(375)
     h[:4] = b"LASF"
@@ -285,9 +288,9 @@ def encode(rows: pa.Table, scale: float) -> bytes:
     struct.pack_into("<3d3d", h, 131, *[scale] * 3, *origin)
     struct.pack_into("<6d", h, 179, high[0], low[0], high[1], low[1], high[2], low[2])
     struct.pack_into("<QQIQ", h, 227, packets_at, packets_at, 1, len(row))
-    packets = b"".join(codes)
+    packets = codes.view("u1")
     long_record = struct.pack("<H16sHQ32s", 0, b"LASF_Spec", PACKETS_ID, len(packets), b"waveform data packets")
-    return bytes(h) + block + points + long_record + packets
+    return b"".join([h, block, points, long_record, packets])
 
 
 class Writer(DataSourceArrowWriter):

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import fit, points, trees
 from pulsegrid.plans.scratch import cut
+from pulsegrid.sources import waveforms
 
 
 def frame(spark, xyz, **more):
@@ -80,3 +83,17 @@ def test_closest_points_write_no_pairs_in_a_round(spark, monkeypatch):
     wide = frame(spark, np.column_stack([*(r.random((2, 300)) * 60), np.zeros(300)]))
     got, _, _ = fit.icp(wide, points.transform(wide, far), 1.0, start=points.translation(1.4, 0.1, 0.0))
     assert np.abs(got - far).max() < 1e-3
+
+
+def test_packets_are_encoded_in_little_memory():
+    r = np.random.default_rng(0)
+    n = 40_000
+    ends = np.r_[0, np.cumsum(r.integers(0, 12, n))].astype("i4")
+    some = {c: np.zeros(n) for c in ("gps_time", *"xyz", "location_ps", "vx", "vy", "vz")}
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(r.integers(1, 51, ends[-1]).astype("f4")))
+    rows = pa.table(some | {"returns": np.ones(n, "i4"), "interval_ps": np.full(n, 1000), "samples": lists})
+    tracemalloc.start()
+    got = waveforms.encode(rows, 0.001)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 6 * len(got)
