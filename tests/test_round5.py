@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import fit, points, trees
+from pulsegrid.operators import fit, points, scans, trees
 from pulsegrid.plans.scratch import cut
 from pulsegrid.sources import waveforms
 
@@ -97,3 +97,21 @@ def test_packets_are_encoded_in_little_memory():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 6 * len(got)
+
+
+@pytest.mark.parametrize("shared", [50, 22])
+def test_stem_maps_meet_by_few_pairs_or_by_all(spark, monkeypatch, shared):
+    tried, votes = [], scans.votes
+    monkeypatch.setattr(scans, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(scans, "votes", lambda *args: (tried.append(args[6]), votes(*args))[1])
+    r = np.random.default_rng(4)
+    at, dbh = r.uniform(0, 60, (60, 2)), r.uniform(0.1, 0.9, 60)
+    others = r.uniform(0, 60, (60 - shared, 2))
+    ids = np.r_[np.arange(shared), 200 + np.arange(60 - shared)]
+    a = spark.createDataFrame(pd.DataFrame({"id": np.r_[np.arange(60), 100 + np.arange(60)], "x": np.tile(at[:, 0], 2), "y": np.tile(at[:, 1], 2), "z": 0.0, "dbh": np.tile(dbh, 2)}))
+    b = spark.createDataFrame(pd.DataFrame({"id": ids, "x": np.r_[at[:shared, 0], others[:, 0]], "y": np.r_[at[:shared, 1], others[:, 1]], "z": 0.0, "dbh": np.r_[dbh[:shared], r.uniform(1, 2, 60 - shared)]}))
+    m = points.translation(7.0, -3.0, 0.0) @ points.rotation_z(40.0)
+    _, pairs = scans.match_stem_maps(a, points.transform(b, m), 0.05, 0.01, 1.0, 25.0)
+    assert {(p.id_a, p.id_b) for p in pairs.collect()} == {(i, i) for i in range(shared)}
+    # few pairs do where over half of a map meets; else all are asked before an answer
+    assert tried[0] < 25.0 and (tried[-1] == 25.0) == (shared < 30)
