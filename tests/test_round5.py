@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import fit, points, scans, trees
+from pulsegrid.operators import fit, points, scans, targets, trees
 from pulsegrid.plans.scratch import cut
 from pulsegrid.sources import waveforms
 
@@ -103,7 +103,7 @@ def test_packets_are_encoded_in_little_memory():
 def test_stem_maps_meet_by_few_pairs_or_by_all(spark, monkeypatch, shared):
     tried, votes = [], scans.votes
     monkeypatch.setattr(scans, "FIRST_PAIRS", 1)
-    monkeypatch.setattr(scans, "votes", lambda *args: (tried.append(args[6]), votes(*args))[1])
+    monkeypatch.setattr(scans, "votes", lambda *args: (tried.append(args[5]), votes(*args))[1])
     r = np.random.default_rng(4)
     at, dbh = r.uniform(0, 60, (60, 2)), r.uniform(0.1, 0.9, 60)
     others = r.uniform(0, 60, (60 - shared, 2))
@@ -115,3 +115,14 @@ def test_stem_maps_meet_by_few_pairs_or_by_all(spark, monkeypatch, shared):
     assert {(p.id_a, p.id_b) for p in pairs.collect()} == {(i, i) for i in range(shared)}
     # few pairs do where over half of a map meets; else all are asked before an answer
     assert tried[0] < 25.0 and (tried[-1] == 25.0) == (shared < 30)
+
+
+def test_targets_that_stand_several_times_meet_by_rare_triangles(spark, monkeypatch):
+    monkeypatch.setattr(targets, "FIRST_MEETINGS", 1)
+    monkeypatch.setattr(targets, "MEETINGS_EACH", 1)
+    r = np.random.default_rng(7)
+    at = np.tile(r.uniform([0, 0, 0], [40, 40, 4], (30, 3)), (8, 1))
+    a = spark.createDataFrame(pd.DataFrame({"id": np.arange(240), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]}))
+    m = points.translation(-4.0, 11.0, 0.5) @ points.rotation_z(-73.0)
+    got, pairs = targets.match_targets(a, points.transform(a.filter("id % 30 < 24"), m), 0.02, 0.01)
+    assert {(p.id_a, p.id_b) for p in pairs.collect()} == {(i, i) for i in range(24)} and np.abs(got - m).max() < 1e-6
