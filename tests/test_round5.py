@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import fit, points, scans, targets, trees
+from pulsegrid.plans import more
 from pulsegrid.plans.scratch import cut
 from pulsegrid.sources import waveforms
 
@@ -126,3 +127,10 @@ def test_targets_that_stand_several_times_meet_by_rare_triangles(spark, monkeypa
     m = points.translation(-4.0, 11.0, 0.5) @ points.rotation_z(-73.0)
     got, pairs = targets.match_targets(a, points.transform(a.filter("id % 30 < 24"), m), 0.02, 0.01)
     assert {(p.id_a, p.id_b) for p in pairs.collect()} == {(i, i) for i in range(24)} and np.abs(got - m).max() < 1e-6
+
+
+def test_waveforms_are_sampled_in_arrays(spark):
+    rows = spark.createDataFrame([(1, [3.0, 11.5]), (2, [0.25])], "wf_id long, heights array<double>")
+    got = {p.wf_id: p.samples for p in more.sampled(rows).collect()}
+    for k, at in ((1, [3.0, 11.5]), (2, [0.25])):
+        assert got[k] == pytest.approx([sum(40 * np.exp(-((i - h * 2 - 8) ** 2) / 8) for h in at) for i in range(80)], abs=1e-12)
