@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import points, scans
+from pulsegrid.operators import nearby, neighbours, points, scans
 
 
 def frame(spark, xyz, **more):
@@ -29,3 +29,42 @@ def test_stems_of_one_place_each_have_their_partner(spark):
         here = [i for i in range(k, 120, 40) if i % 7]
         want += list(zip(range(k, 120, 40), [i + 1000 for i in here]))
     assert sorted((p.id_a, p.id_b) for p in pairs.collect()) == sorted(want)
+
+
+def nearest_of(at, i, k, limit):
+    """The k nearest points by distance, then number."""
+    d2 = ((at - at[i]) ** 2).sum(axis=1)
+    order = np.lexsort((np.arange(len(at)), d2))[:k]
+    return order[d2[order] <= limit * limit]
+
+
+@pytest.mark.parametrize("size", [30, 100_000])
+def test_neighbours_of_tiles_agree_with_all_points(spark, monkeypatch, size):
+    monkeypatch.setattr(nearby, "TILE_POINTS", size)
+    monkeypatch.setattr(nearby, "LOOKED", 500)
+    r = np.random.default_rng(3)
+    # places on a grid, so that distances tie, most of them twice; a dense corner, and two points far off
+    at = np.r_[np.repeat(r.integers(0, 40, (150, 3)) / 4, 2, axis=0), r.uniform(0, 0.5, (150, 3)), [[60.0, 60, 0], [300.0, 0, 0]]]
+    at = at[r.permutation(len(at))]
+    df = frame(spark, at).withColumn("x", F.when(F.col("pid") == 7, float("nan")).otherwise(F.col("x")))
+    at = np.where(np.arange(len(at))[:, None] == 7, 1e9, at)
+    k, limit = 6, 70.0
+    got = {p.pid: p for p in neighbours.shape(df, k, 1.0, limit).collect()}
+    far = {p.pid: p for p in neighbours.statistical_outliers(df, k, 2.0, 1.0, limit).select("pid", "mean_distance").collect()}
+    for i in range(len(at)):
+        near = nearest_of(at, i, k, limit) if i != 7 else []
+        assert (i in got) == (len(near) >= 3)
+        if i in got:
+            values = np.linalg.eigvalsh(np.cov(at[near].T, bias=True))
+            assert got[i].planarity == pytest.approx((values[1] - values[0]) / values[2] if values[2] > 1e-12 else 0.0, abs=1e-6)
+            assert got[i].linearity == pytest.approx((values[2] - values[1]) / values[2] if values[2] > 1e-12 else 0.0, abs=1e-6)
+        d = np.sqrt(((at - at[i]) ** 2).sum(axis=1))
+        others = np.sort(np.delete(d, i))[:k]
+        others = others[others <= limit]
+        assert far[i].mean_distance == (pytest.approx(others.mean()) if len(others) else None)
+
+
+def test_neighbours_of_a_dense_cloud_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "radius_join", lambda *args, **more: pytest.fail("pairs"))
+    df = frame(spark, np.random.default_rng(5).uniform(0, 4, (4000, 3)))
+    assert neighbours.shape(df, 8, 1.0, 50.0).count() == neighbours.statistical_outliers(df, 8).filter("mean_distance > 0").count() == 4000
