@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import nearby, neighbours, points, scans
+from pulsegrid.operators import graph, nearby, neighbours, points, scans, trees
 
 
 def frame(spark, xyz, **more):
@@ -69,3 +69,22 @@ def test_neighbours_of_a_dense_cloud_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(nearby, "MARGIN", 2.0)
     df = frame(spark, np.random.default_rng(5).uniform(0, 4, (4000, 3)))
     assert neighbours.shape(df, 8, 1.0, 50.0).count() == neighbours.statistical_outliers(df, 8).filter("mean_distance > 0").count() == 4000
+
+
+def test_thinning_in_shares_agrees_with_one_point_after_another(spark, monkeypatch):
+    monkeypatch.setattr(trees, "FIRST_THINNED", 60)
+    monkeypatch.setattr(graph, "tiled_points", lambda p, d, f=graph.tiled_points: f(p, d, 40))
+    held = []
+    monkeypatch.setattr(trees, "thinned", lambda p, d, f=trees.thinned: (held.append(p.count()), f(p, d))[1])
+    r = np.random.default_rng(9)
+    at = np.r_[r.integers(0, 60, (900, 3)) / 10, np.repeat(r.uniform(0, 6, (20, 3)), 15, axis=0)]
+    at = at[r.permutation(len(at))]
+    at[17] = np.nan
+    kept = []
+    for i, p in enumerate(at):
+        if not any(((at[k] - p) ** 2).sum() < 1.0 for k in kept):
+            kept.append(i)
+    got = trees.min_distance_subsample(frame(spark, at), 1.0)
+    assert sorted(p.pid for p in got.collect()) == kept
+    # what stands near a kept point is never asked
+    assert len(held) > 3 and sum(held) < 400
