@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import ratio
-from .neighbours import radius_join
+from ..plans.scratch import cut
+from .nearby import Strips, met_in_tiles
+from .neighbours import places
 from .points import voxels
 
+#: Points of a tile that the cylinders of cores are looked up in.
+CLOUD_TILE = 500_000
+
 
 def difference_of_rasters(a: DataFrame, b: DataFrame, sd_a: float, sd_b: float, factor: float = 1.96) -> DataFrame:
     """b - a on the cells that both have, with the level of detection."""
@@ -56,29 +61,44 @@ def m3c2(cores: DataFrame, a: DataFrame, b: DataFrame, radius: float, depth: flo
     """Distance along each core point's normal between the means of two clouds in a cylinder.
 
     ``cores(id, x, y, z, nx, ny, nz)``; a cylinder with no points of one cloud
-    gives null, and too few points give no level of detection.  A long cylinder is
-    searched by balls in a row along its axis, each for its own stretch.
+    gives null, and too few points give no level of detection.  Tasks look up the
+    points of a tile's cylinders and hand on their number, mean and spread, so that
+    no pair moves; cores of one place and normal are looked up once.
     """
-    count = max(1, math.ceil(depth / radius))
-    step = 2 * depth / count
-    reach = math.sqrt(radius * radius + step * step / 4) * (1 + 1e-9)
-    keep = ("id", "nx", "ny", "nz", "px", "py", "pz", "k")
-    q = cores.withColumns({"px": F.col("x"), "py": F.col("y"), "pz": F.col("z"), "k": F.explode(F.sequence(F.lit(0), F.lit(count - 1)))})
-    place = F.lit(-depth) + (F.col("k") + 0.5) * step
-    q = q.withColumns({c: F.col(c) + place * F.col(f"n{c}") for c in "xyz"})
+    axes = ("x", "y", "z", "nx", "ny", "nz")
+    shared = places(cores, axes)
+    spots = cores if shared is None else shared[0]
+    reach = [(F.abs(f"n{c}") * depth + F.sqrt(F.greatest(1 - F.col(f"n{c}") * F.col(f"n{c}"), F.lit(0.0))) * radius) * (1 + 1e-6) + F.abs(c) * 1e-12 for c in "xy"]
+    known = sum((F.col(c) * 0 for c in axes), F.lit(0.0)) == 0
+    boxes = cut(spots.filter(known).select("id", *axes, *[(F.col(c) + sign * r).alias(f"{c}{k}") for c, r in zip("xy", reach, strict=True) for k, sign in enumerate((-1, 1))]))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            x, y, z = (left[c].to_numpy("f8") for c in "xyz")
+            strips = Strips(x, y, float((right["x1"] - right["x0"]).mean()) / 8)
+            x, y, z = (v[strips.order] for v in (x, y, z))
+            for i, px, py, pz, nx, ny, nz, x0, x1, y0, y1 in zip(*(right[c].tolist() for c in ("id", *axes, "x0", "x1", "y0", "y1")), strict=True):
+                some = strips.box(x0, x1, y0, y1)
+                dx, dy, dz = x[some] - px, y[some] - py, z[some] - pz
+                along = dx * nx + dy * ny + dz * nz
+                # the way off the axis by the cross product: d2 - s * s would lose the digits that decide on the rim
+                u, v, w = dy * nz - dz * ny, dz * nx - dx * nz, dx * ny - dy * nx
+                along = along[(np.abs(along) <= depth) & (u * u + v * v + w * w <= radius * radius)]
+                if len(along):
+                    rows.append((i, len(along), along.mean(), along.var() * len(along)))
+        return pd.DataFrame(rows, columns=["id", "n", "mean", "m2"])
 
     def side(cloud: DataFrame, name: str) -> DataFrame:
-        near = radius_join(q, cloud.select("x", "y", "z"), reach, 3, keep=keep)
-        along = (F.col("x") - F.col("px")) * F.col("nx") + (F.col("y") - F.col("py")) * F.col("ny") + (F.col("z") - F.col("pz")) * F.col("nz")
-        own = F.col("k") == F.least(F.floor((F.col("s") + depth) / step), F.lit(count - 1))
-        # the way off the axis by the cross product: d2 - s * s would lose the digits that decide on the rim
-        dx, dy, dz = (F.col(c) - F.col(f"p{c}") for c in "xyz")
-        crossed = (dy * F.col("nz") - dz * F.col("ny"), dz * F.col("nx") - dx * F.col("nz"), dx * F.col("ny") - dy * F.col("nx"))
-        off2 = sum((v * v for v in crossed), F.lit(0.0))
-        near = near.withColumn("s", along).filter((F.abs("s") <= depth) & own & (off2 <= radius * radius))
-        return near.groupBy("id").agg(F.avg("s").alias(f"m{name}"), F.stddev_samp("s").alias(f"s{name}"), F.count("*").alias(f"n{name}"))
-
-    j = cores.select("id").join(side(a, "a"), "id", "left").join(side(b, "b"), "id", "left").na.fill(0, ["na", "nb"])
+        parts = met_in_tiles(cloud.select(*[F.col(c).cast("double").alias(c) for c in "xyz"]), boxes, run, "id long, n long, mean double, m2 double", CLOUD_TILE)
+        n, total = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
+        spread = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * total / n
+        return parts.groupBy("id").agg((total / n).alias(f"m{name}"), F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))).alias(f"s{name}"), n.alias(f"n{name}"))
+
+    j = spots.select("id").join(side(a, "a"), "id", "left").join(side(b, "b"), "id", "left")
+    if shared is not None:
+        j = shared[1].join(j.withColumnRenamed("id", "place"), "place").drop("place")
+    j = j.na.fill(0, ["na", "nb"])
     d = F.col("mb") - F.col("ma")
     enough = (F.col("na") >= max(least, 2)) & (F.col("nb") >= max(least, 2))
     lod = F.when(enough, 1.96 * (F.sqrt(F.col("sa") * F.col("sa") / F.col("na") + F.col("sb") * F.col("sb") / F.col("nb")) + registration))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import graph, nearby, neighbours, points, scans, trees
+from pulsegrid.operators import change, graph, nearby, neighbours, points, scans, trees
 
 
 def frame(spark, xyz, **more):
@@ -88,3 +88,24 @@ def test_thinning_in_shares_agrees_with_one_point_after_another(spark, monkeypat
     assert sorted(p.pid for p in got.collect()) == kept
     # what stands near a kept point is never asked
     assert len(held) > 3 and sum(held) < 400
+
+
+@pytest.mark.parametrize("size", [20, 100_000])
+def test_cylinders_of_cores_make_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(change, "CLOUD_TILE", size)
+    monkeypatch.setattr(nearby, "FULLEST", 1)
+    monkeypatch.setattr(neighbours, "radius_join", lambda *args, **more: pytest.fail("pairs"))
+    r = np.random.default_rng(2)
+    clouds = [r.uniform(-6, 6, (700, 3)) for _ in "ab"]
+    n = r.normal(size=(5, 3))
+    cores = np.tile(np.c_[r.uniform(-3, 3, (5, 3)), n / np.linalg.norm(n, axis=1, keepdims=True)], (3, 1))
+    cores = np.r_[cores, [[50, 50, 0, 0, 0, 1]]]
+    rows = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(cores)], "id long, x double, y double, z double, nx double, ny double, nz double")
+    got = {x.id: x for x in change.m3c2(rows, *[frame(spark, c) for c in clouds], 1.5, 4.0).collect()}
+    assert len(got) == 16 and (got[15].na, got[15].nb, got[15].distance, got[15].significant) == (0, 0, None, False)
+    for i, c in enumerate(cores[:15]):
+        s = [(p - c[:3]) @ c[3:] for p in clouds]
+        a, b = (v[(np.abs(v) <= 4.0) & (((p - c[:3]) ** 2).sum(1) - v * v <= 2.25)] for v, p in zip(s, clouds))
+        assert (got[i].na, got[i].nb) == (len(a), len(b)) and min(len(a), len(b)) > 4
+        assert got[i].distance == pytest.approx(b.mean() - a.mean())
+        assert got[i].lod == pytest.approx(1.96 * np.sqrt(a.var(ddof=1) / len(a) + b.var(ddof=1) / len(b)))
