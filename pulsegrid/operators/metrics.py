@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell, finite
+from ..plans.scratch import cut
 
 QUANTILES = tuple(range(5, 100, 5))
 
@@ -122,16 +125,126 @@ def grid_aggregates(points: DataFrame, size: float, **aggregates: Column) -> Dat
     return points.groupBy(cell("y", size).alias("row"), cell("x", size).alias("col")).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+#: Points of a tile that plots are looked up in.
+PLOT_TILE = 200_000
+
+
 def plot_metrics(points: DataFrame, plots: DataFrame, radius: float, **options) -> DataFrame:
-    """All metrics of each plot ``id, x, y``; plots at one place share theirs."""
+    """All metrics of each plot ``id, x, y``; plots at one place share theirs.
+
+    Tasks look up the points of a tile's plots and hand on how many stand at each
+    height, so that what moves follows the points and the plots' heights, not the
+    points of every plot.
+    """
+    from .nearby import Strips, met_in_tiles
     from .neighbours import places
 
     shared = places(plots, ("x", "y"))
+    spots = (plots if shared is None else shared[0]).select("id", *[F.col(c).cast("double").alias(c) for c in "xy"])
+    reach = radius * (1 + 1e-9)
+    boxes = cut(spots.filter(finite("x") & finite("y")).select("id", "x", "y", *[(F.col(c) + d).alias(f"{c}{k}") for c in "xy" for k, d in enumerate((-reach, reach))]))
+    height, cover_break = options.get("height", "z"), options.get("cover_break", 2.0)
+    has = [c for c in ("intensity", "return_number", "classification") if c in points.columns]
+    held = retained(points, height, options.get("least"), options.get("drop_noise", True))
+    held = held.select(*[F.col(c).cast("double").alias(c) for c in "xy"], F.col(height).cast("double").alias("_h"), *[F.col(c).cast("double").alias(c) for c in has])
+    kind = plots.schema["id"].dataType.simpleString()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            x, y = left["x"].to_numpy("f8"), left["y"].to_numpy("f8")
+            strips = Strips(x, y, radius / 12)
+            left = left.iloc[strips.order]
+            x, y, h = (left[c].to_numpy("f8") for c in ("x", "y", "_h"))
+            n = np.zeros(len(h), "i8")
+            turn = left["return_number"].to_numpy("f8") if "return_number" in has else np.ones(len(h))
+            ground = left["classification"].to_numpy("f8") == 2 if "classification" in has else n
+            traits = ((np.where((turn >= 1) & (turn <= 5), np.nan_to_num(turn), 0).astype("i8") * 2 + (turn == 1)) * 2 + (h > cover_break)) * 2 + ground
+            values = {"h": h} | ({"i": left["intensity"].to_numpy("f8")} if "intensity" in has else {})
+            codes = {k: np.unique(v, return_inverse=True) for k, v in values.items()}
+            for i, px, py in zip(right["id"].tolist(), right["x"].tolist(), right["y"].tolist(), strict=True):
+                some = strips.box(px - reach, px + reach, py - reach, py + reach, (px, py, reach))
+                dx, dy = x[some] - px, y[some] - py
+                some = some[dx * dx + dy * dy <= radius * radius]
+                if not len(some):
+                    continue
+                row = [i, np.bincount(traits[some], minlength=48)]
+                for names, at in codes.values():
+                    held = at[some]
+                    if len(names) <= 4 * len(held):
+                        counts = np.bincount(held, minlength=len(names))
+                        held = np.flatnonzero(counts)
+                        counts = counts[held]
+                    else:
+                        held, counts = np.unique(held, return_counts=True)
+                    row += [names[held], counts]
+                rows.append(row)
+        return pd.DataFrame(rows, columns=["id", "traits", *[f"{c}{k}" for k in kinds for c in ("v", "c")]])
+
+    kinds = ["h", "i"] if "intensity" in has else ["h"]
+    parts = met_in_tiles(held, boxes, run, f"id {kind}, traits array<long>, " + ", ".join(f"v{k} array<double>, c{k} array<long>" for k in kinds), PLOT_TILE)
+    names = [c for c in metric_names(options.get("threshold", 2.0)) if c != "n"]
+    names += ["itot", "imax", "imean", "isd", "iskew", "ikurt"] if "intensity" in has else []
+    names += [f"p{k}th" for k in range(1, 6)] if "return_number" in has else []
+    names += ["pground"] if "classification" in has else []
+    options = {k: options[k] for k in ("threshold", "entropy_bin") if k in options}
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        counted = {}
+        for k in kinds:
+            v, at = np.unique(np.concatenate(pdf[f"v{k}"].tolist()), return_inverse=True)
+            counted[k] = v, np.bincount(at, weights=np.concatenate(pdf[f"c{k}"].tolist()))
+        traits = np.sum(pdf["traits"].tolist(), axis=0)
+        return pd.DataFrame([[pdf["id"].iloc[0], *counted_metrics(counted, traits, has, **options)]], columns=["id", "n", *names])
+
+    found = parts.groupBy("id").applyInPandas(merge, f"id {kind}, n long, " + ", ".join(f"`{c}` double" for c in names))
     if shared is None:
-        return metrics(plot_points(points, plots, radius), ["id"], **options)
-    spots, members = shared
-    found = metrics(plot_points(points, spots, radius), ["id"], **options)
-    return found.withColumnRenamed("id", "place").join(members, "place").select("id", *found.columns[1:])
+        return found
+    return found.withColumnRenamed("id", "place").join(shared[1], "place").select("id", *[f"`{c}`" for c in found.columns[1:]])
+
+
+def moments(v: np.ndarray, c: np.ndarray) -> list[float]:
+    """Mean, deviation, skewness and kurtosis of values that stand ``c`` times each; NaN without a basis."""
+    n = c.sum()
+    mean = (v * c).sum() / n
+    d = v - mean
+    m2, m3, m4 = ((c * d**k).sum() for k in (2, 3, 4))
+    flat = len(v) < 2 or m2 == 0
+    return [mean, (m2 / (n - 1)) ** 0.5 if n > 1 else np.nan, np.nan if flat else n**0.5 * m3 / m2**1.5, np.nan if flat else n * m4 / (m2 * m2)]
+
+
+def counted_metrics(counted: dict, traits: np.ndarray, has: list[str], threshold: float = 2.0, entropy_bin: float = 1.0) -> list:
+    """The values of ``metrics`` of one group, in their order, from the counts of its heights, intensities and traits (return number, first, above the break, ground)."""
+    h, c = counted["h"]
+    n, top, low = int(c.sum()), h[-1], h[0]
+    mean, *rest = moments(h, c)
+    bins = np.minimum(np.floor(h / entropy_bin), max(np.ceil(top / entropy_bin) - 1, 0))
+    share = np.bincount(np.unique(bins, return_inverse=True)[1], weights=c) / n
+    layers = np.ceil(top / entropy_bin)
+    entropy = -(share * np.log(share)).sum() / np.log(layers) if top >= 2 * entropy_bin and low >= 0 else np.nan
+    upto = np.cumsum(c)
+    quantiles = []
+    for q in QUANTILES:
+        at = (n - 1) * (q / 100.0)
+        a, b = h[np.searchsorted(upto, [np.floor(at), np.ceil(at)], "right")]
+        quantiles.append(a if a == b else (np.ceil(at) - at) * a + (at - np.floor(at)) * b)
+    tenth = np.floor(h / (top / 10.0)) if top > 0 else np.full(len(h), np.nan)
+    tenth = np.where(h < 0, -1, np.where((top > 0) & (h < top), tenth, np.nan))
+    whole = c[~np.isnan(tenth)].sum()
+    cum = [100.0 * c[tenth < k].sum() / whole if top > 0 and whole > 0 else 0.0 for k in range(1, 10)]
+    kinds = np.asarray(traits).reshape(6, 2, 2, 2)
+    firsts = kinds[:, 1].sum()
+    cover = 100.0 * kinds[:, 1, 1].sum() / firsts if firsts else np.nan
+    out = [n, top, mean, *rest, entropy, 100.0 * c[h > mean].sum() / n, 100.0 * c[h > threshold].sum() / n, *quantiles, *cum, cover, 1.0 - cover / 100.0]
+    if "intensity" in has:
+        v, w = counted["i"]
+        v, w = v[~np.isnan(v)], w[~np.isnan(v)]
+        out += [(v * w).sum(), v[-1], *moments(v, w)] if len(v) else [np.nan] * 6
+    if "return_number" in has:
+        out += [100.0 * kinds[k].sum() / n for k in range(1, 6)]
+    if "classification" in has:
+        out.append(100.0 * kinds[..., 1].sum() / n)
+    return out
 
 
 def height_histogram(points: DataFrame, size: float, keys: tuple[str, ...] = (), height: str = "z") -> DataFrame:

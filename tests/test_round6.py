@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import change, graph, nearby, neighbours, points, scans, trees
+from pulsegrid.operators import change, graph, metrics, nearby, neighbours, points, scans, trees
 
 
 def frame(spark, xyz, **more):
@@ -109,3 +109,23 @@ def test_cylinders_of_cores_make_no_pairs(spark, monkeypatch, size):
         assert (got[i].na, got[i].nb) == (len(a), len(b)) and min(len(a), len(b)) > 4
         assert got[i].distance == pytest.approx(b.mean() - a.mean())
         assert got[i].lod == pytest.approx(1.96 * np.sqrt(a.var(ddof=1) / len(a) + b.var(ddof=1) / len(b)))
+
+
+@pytest.mark.parametrize("size", [20, 100_000])
+def test_plots_count_heights_and_make_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(metrics, "PLOT_TILE", size)
+    monkeypatch.setattr(nearby, "FULLEST", 1)
+    r = np.random.default_rng(8)
+    n = 900
+    cloud = frame(spark, np.c_[r.uniform(0, 12, (n, 2)), r.integers(-20, 200, n) / 10], intensity=r.integers(0, 9, n), return_number=r.integers(1, 8, n), classification=r.integers(1, 9, n))
+    cloud = cloud.union(frame(spark, np.array([[30.0, 30, 1.5], [40.0, 40, 0], [40.0, 40, 0]]), intensity=[4, 5, 5], return_number=[2, 1, 1], classification=[1, 1, 1]))
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 12, (7, 2)))] + [(7, 30.0, 30.0), (8, 40.0, 40.0), (9, 90.0, 90.0), (10, None, 1.0)]
+    plots = spark.createDataFrame(rows, "id long, x double, y double")
+    want = metrics.metrics(metrics.plot_points(cloud, plots, 2.5), ["id"], least=-1.5, threshold=1.0).toPandas().sort_values("id").reset_index(drop=True)
+    monkeypatch.setattr(neighbours, "radius_join", lambda *args, **more: pytest.fail("pairs"))
+    for q in (plots, plots.union(plots.withColumn("id", F.col("id") + 20))):
+        df = metrics.plot_metrics(cloud, q, 2.5, least=-1.5, threshold=1.0)
+        got = df.toPandas().sort_values("id").reset_index(drop=True)
+        assert list(got.columns) == list(want.columns) and len(want) == 9
+        for k in range(0, len(got), 9):
+            pd.testing.assert_frame_equal(got.iloc[k : k + 9, 1:].reset_index(drop=True).astype(float), want.iloc[:, 1:].astype(float), rtol=1e-9, atol=1e-9)
