@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import change, graph, metrics, nearby, neighbours, points, scans, trees
+from pulsegrid.operators import change, fit, graph, metrics, nearby, neighbours, points, scans, trees
 
 
 def frame(spark, xyz, **more):
@@ -129,3 +129,26 @@ def test_plots_count_heights_and_make_no_pairs(spark, monkeypatch, size):
         assert list(got.columns) == list(want.columns) and len(want) == 9
         for k in range(0, len(got), 9):
             pd.testing.assert_frame_equal(got.iloc[k : k + 9, 1:].reset_index(drop=True).astype(float), want.iloc[:, 1:].astype(float), rtol=1e-9, atol=1e-9)
+
+
+def test_registrations_pair_in_tiles_that_are_dealt_once(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    xyz = np.round(r.uniform(0, 9, (700, 3)), 2)
+    xyz = np.r_[xyz, xyz[:300]]
+    n = r.normal(size=(1000, 3))
+    n[700:] = n[:300]
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    target = frame(spark, xyz, **{f"n{c}": n[:, i] for i, c in enumerate("xyz")})
+    source = frame(spark, xyz[::-1] + [0.004, -0.003, 0.002])
+    # a pid that stands twice counts once, with the nearer of its places
+    again = source.filter("pid < 3").withColumn("x", F.col("x") + 0.01)
+    got = scans.evaluate_registration(source.union(again), target, np.eye(4), 0.05).first()
+    assert (got.n_inliers, got.fitness) == (1000, pytest.approx(1000 / 1003)) and got.inlier_rmse == pytest.approx(29e-6**0.5)
+    dealt = []
+    monkeypatch.setattr(scans, "closest", lambda *args, **more: pytest.fail("pairs"))
+    monkeypatch.setattr(scans, "icp_tiles", lambda *args, f=scans.icp_tiles: (dealt.append(1), f(*args))[1])
+    m, _, rounds = scans.plane_icp(source, target, 0.05)
+    assert rounds > 1 and len(dealt) == 1 and np.abs(m[:3, 3] - [-0.004, 0.003, -0.002]).max() < 1e-6
+    tiles = fit.icp_tiles(source, target, np.eye(4), 0.1)
+    rounds_plan = fit.paired(tiles.sparkSession.createDataFrame(tiles.collect(), tiles.schema), np.eye(4), 0.05, np.zeros(3), True)._jdf.queryExecution().toString()
+    assert "Exchange" not in rounds_plan and sum(len(t.n) for t in tiles.collect()) == 700
