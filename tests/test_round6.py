@@ -152,3 +152,30 @@ def test_registrations_pair_in_tiles_that_are_dealt_once(spark, monkeypatch):
     tiles = fit.icp_tiles(source, target, np.eye(4), 0.1)
     rounds_plan = fit.paired(tiles.sparkSession.createDataFrame(tiles.collect(), tiles.schema), np.eye(4), 0.05, np.zeros(3), True)._jdf.queryExecution().toString()
     assert "Exchange" not in rounds_plan and sum(len(t.n) for t in tiles.collect()) == 700
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_paths_of_copies_run_over_places(spark, copies):
+    r = np.random.default_rng(6)
+    at = np.tile(np.r_[r.integers(0, 24, (60, 3)) / 4, [[20, 0, 0]]], (copies, 1))
+    at = np.r_[at, at[:5], [[np.nan, 0, 0], [np.nan, 0, 0]]]
+    # some places have sources among their copies only, and one point without a place is a source
+    sources = sorted({i for i in range(len(at)) if i % 17 == 3} | {1, 61 * copies + 1, len(at) - 1})
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    near = (d <= 1.5) & ~np.eye(len(at), dtype=bool)
+    label = {i: (0.0, i) for i in sources}
+    while True:
+        new = dict(label)
+        for i, (far, s) in label.items():
+            for j in np.flatnonzero(near[i]):
+                new[j] = min(new.get(j, (np.inf, 0)), (far + d[i, j], s))
+        if new == label:
+            break
+        label = new
+    got = graph.near_paths(frame(spark, at), 1.5, spark.createDataFrame([(i,) for i in sources], "pid long")).collect()
+    assert sorted(p.pid for p in got) == list(range(len(at)))
+    for p in got:
+        assert (p.dist, p.source) == label.get(p.pid, (None, None))
+        prior = [i for i in np.flatnonzero(near[p.pid]) if d[i, p.pid] > 0 and i in label and label[p.pid] == (label[i][0] + d[i, p.pid], label[i][1])] if p.pid in label else []
+        # a source is its own, and what else stands at its place hangs on it
+        assert p.pred == (min(prior, default=p.pid if p.pid in sources else label[p.pid][1]) if p.pid in label else None)
