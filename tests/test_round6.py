@@ -179,3 +179,9 @@ def test_paths_of_copies_run_over_places(spark, copies):
         prior = [i for i in np.flatnonzero(near[p.pid]) if d[i, p.pid] > 0 and i in label and label[p.pid] == (label[i][0] + d[i, p.pid], label[i][1])] if p.pid in label else []
         # a source is its own, and what else stands at its place hangs on it
         assert p.pred == (min(prior, default=p.pid if p.pid in sources else label[p.pid][1]) if p.pid in label else None)
+
+
+def test_a_pid_at_two_places_has_a_row_for_each(spark):
+    rows = [(i, float(i // 3), 0.0, 0.0) for i in range(12)] + [(9, 50.0, 0.0, 0.0)]
+    got = graph.near_paths(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 1.0, spark.createDataFrame([(0,)], "pid long")).collect()
+    assert len(got) == 13 and sorted(p.dist for p in got if p.pid == 9) == [3.0, 3.0]
